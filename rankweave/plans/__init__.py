@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("aggregations",)
+_MODULES = ("aggregations", "scans", "pairs", "joins")
 
 
 def _load():
@@ -18,4 +18,5 @@ def queries() -> dict:
 
 
 def oracles() -> dict[str, str]:
-    return dict(_load().ORACLES)
+    registry = _load()
+    return {name: registry.with_ctes(sql) for name, sql in registry.ORACLES.items()}
