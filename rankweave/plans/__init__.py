@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("aggregations", "scans", "pairs", "joins")
+_MODULES = ("scans", "pairs", "joins", "aggregations")
 
 
 def _load():
