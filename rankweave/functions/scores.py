@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values that results must share.
 ABSOLUTE_TOLERANCE = 1e-8
@@ -65,7 +66,7 @@ def relative_difference(reference: Column, other: Column) -> Column:
     return F.abs(other - reference) / F.greatest(F.abs(reference), F.lit(ABSOLUTE_TOLERANCE))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def float32_steps(left: pd.Series, right: pd.Series) -> pd.Series:
     """Representable single-precision steps between two numbers; null on overflow."""
     def position(values: pd.Series):

@@ -149,7 +149,7 @@ def centroid_features(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return out.withColumns({"centroid_distance": moved, "cosine_shift": cosine}).drop("_d")
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _block_best(left: pd.Series, right: pd.Series) -> pd.Series:
     """Largest dot product of every left vector within one bounded right block."""
     return pd.Series([

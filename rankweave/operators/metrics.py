@@ -20,20 +20,14 @@ def truth_ranks(marked: DataFrame, scores: Sequence[str]) -> DataFrame:
     descending; ties keep the stored order.  0 where the answer is not in the list.
     All columns share one exchange, and no list is sorted again.
     """
-    window = Window.partitionBy("query_id")
-    answer = {f"_t_{s}": F.max(F.when(F.col("is_truth"), F.col(s))).over(window) for s in scores}
-    answer["_t_rank"] = F.max(F.when(F.col("is_truth"), F.col("rank"))).over(window)
-
-    def place(score: str) -> Column:
-        here, there = F.col(score), F.col(f"_t_{score}")
-        ahead = (here > there) | ((here == there) & (F.col("rank") <= F.col("_t_rank")))
-        return F.count_if(ahead).alias(score)
-
+    answer = [f"max(CASE WHEN is_truth THEN `{c}` END) OVER (PARTITION BY query_id) AS `_t_{c}`"
+              for c in (*scores, "rank")]
+    ahead = [f"count_if(`{s}` > `_t_{s}` OR (`{s}` = `_t_{s}` AND rank <= _t_rank)) AS `{s}`" for s in scores]
     return (
-        marked.withColumns(answer).groupBy("query_id")
-        .agg(F.max("n").alias("list_len"),
-             F.coalesce(F.max(F.when(F.col("is_truth"), F.col("rank"))), F.lit(0)).alias("prior_rank"),
-             *[place(s) for s in scores])
+        marked.selectExpr("query_id", "rank", "n", *[f"`{s}`" for s in scores], *answer)
+        .groupBy("query_id")
+        .agg(F.max("n").alias("list_len"), F.coalesce(F.max("_t_rank"), F.lit(0)).alias("prior_rank"),
+             *[F.expr(e) for e in ahead])
     )
 
 

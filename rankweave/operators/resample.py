@@ -313,12 +313,103 @@ def contrast_permutation(rows: DataFrame, key: str, value: str, label: str, left
     return upper_tail(statistic, observed, draws, True).select(F.lit(observed).alias("contrast"), "p_value")
 
 
-def stratified_sums(totals: DataFrame, stratum: str, values: Sequence[str], draws: int, seed: int) -> DataFrame:
-    """Sums per draw with clusters drawn independently inside fixed strata."""
-    return resampled_sums(totals, [*values, "n"], draws, seed, [stratum])
+def three_way_bootstrap(
+    rows: DataFrame, value: str, seeds: Sequence[int], replicates: Sequence[int], draws: int, seed: int,
+) -> DataFrame:
+    """Clusters, seeds and replicates resampled independently in every draw.
+
+    ``rows`` has (cluster_key, seed, replicate, value); seeds and replicates are few.
+    """
+    cells = [(s, r) for s in seeds for r in replicates]
+    totals = materialise(rows.groupBy(F.col("cluster_key").alias("cluster")).agg(
+        (F.count(F.lit(1)) / len(cells)).alias("n"),
+        *[F.sum(F.when((F.col("seed") == s) & (F.col("replicate") == r), F.col(value))).alias(f"v_{s}_{r}") for s, r in cells]))
+    columns = [f"v_{s}_{r}" for s, r in cells]
+    sums = resampled_sums(totals, [*columns, "n"], draws, seed)
+    sums = seed_weights(seed_weights(sums, "w", seeds, seed + 1), "u", replicates, seed + 2)
+    total: Column = F.lit(0.0)
+    effect: Column = F.lit(0.0)
+    for s, r in cells:
+        total = total + F.col(f"v_{s}_{r}") * F.col(f"w_{s}") * F.col(f"u_{r}")
+        effect = effect + F.sum(f"v_{s}_{r}")
+    estimates = sums.withColumn("estimate", total / (F.col("n") * len(cells)))
+    point = totals.agg((effect / (F.sum("n") * len(cells))).alias("effect"))
+    return point.join(F.broadcast(interval(estimates, "estimate")))
+
+
+def _paired_draws(joint: DataFrame, metrics: Sequence[str], seeds: Sequence[int], draws: int, seed: int, weight_seeds: tuple[int, int]):
+    """Totals and per-draw sums of old and new effects with separate seed weights."""
+    values = [f"{side}_{m}" for side in ("new", "old", "loss") for m in metrics]
+    totals = effect_totals(joint, values, seeds, per_seed=True)
+    columns = [f"s_{side}_{m}_{s}" for side in ("new", "old") for m in metrics for s in seeds]
+    sums = resampled_sums(totals, ["n", *[f"s_loss_{m}" for m in metrics], *columns], draws, seed)
+    sums = seed_weights(seed_weights(sums, "a", seeds, weight_seeds[0]), "b", seeds, weight_seeds[1])
+    return totals, sums
+
+
+def transfer_summary(
+    joint: DataFrame, metrics: Sequence[str], seeds: Sequence[int], draws: int, seed: int, weight_seeds: tuple[int, int],
+) -> DataFrame:
+    """Old and new effect, their difference, and its cluster and crossed intervals.
+
+    Both pools share the cluster draw; each has its own seed draw.
+    """
+    totals, sums = _paired_draws(joint, metrics, seeds, draws, seed, weight_seeds)
+    out = None
+    for m in metrics:
+        new, old = weighted_mean(f"s_new_{m}", "b", seeds), weighted_mean(f"s_old_{m}", "a", seeds)
+        draws_of = sums.select("draw", (F.col(f"s_loss_{m}") / F.col("n")).alias("plain"), (new - old).alias("crossed"))
+        point = totals.agg(F.sum("n").alias("n"), *[(F.sum(f"s_{side}_{m}") / F.sum("n")).alias(name)
+                                                    for side, name in (("old", "old_effect"), ("new", "new_effect"), ("loss", "loss"))])
+        crossed = interval(draws_of, "crossed").withColumnsRenamed({"low": "crossed_low", "high": "crossed_high"})
+        row = point.join(F.broadcast(interval(draws_of, "plain"))).join(F.broadcast(crossed)).withColumn("metric", F.lit(m))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def pool_difference(joint: DataFrame, metric: str, seeds: Sequence[int], draws: int, seed: int, weight_seeds: tuple[int, int]) -> DataFrame:
+    """Intervals of two pools and of their difference from shared cluster draws."""
+    _, sums = _paired_draws(joint, [metric], seeds, draws, seed, weight_seeds)
+    new, old = weighted_mean(f"s_new_{metric}", "b", seeds), weighted_mean(f"s_old_{metric}", "a", seeds)
+    terms = sums.select("draw", old.alias("old"), new.alias("new"), (new - old).alias("difference"))
+    return interval(terms.unpivot(["draw"], ["old", "new", "difference"], "term", "estimate"), "estimate", ["term"])
+
+
+def stratified_bootstrap(
+    effects: DataFrame, value: str, stratum: str, seeds: Sequence[int], draws: int, seed: int, contrast: tuple[int, int],
+) -> DataFrame:
+    """Effect interval per stratum and of one contrast; strata share the seed draw.
+
+    An empty stratum has no row, so its contrast is null.
+    """
+    totals = effect_totals(effects, [value], seeds, by=[stratum], per_seed=True)
+    sums = resampled_sums(totals, ["n", *[f"s_{value}_{s}" for s in seeds]], draws, seed, [stratum])
+    sums = seed_weights(sums, "w", seeds, seed + 1)
+    each = sums.select("draw", stratum, weighted_mean(f"s_{value}", "w", seeds).alias("estimate"))
+    high, low = contrast
+    both = each.groupBy("draw").agg(
+        (F.max(F.when(F.col(stratum) == high, F.col("estimate"))) - F.max(F.when(F.col(stratum) == low, F.col("estimate")))).alias("estimate"))
+    strata = interval(each, "estimate", [stratum]).withColumn("term", F.col(stratum).cast("string")).drop(stratum)
+    return strata.unionByName(interval(both, "estimate").withColumn("term", F.lit("contrast")))
+
+
+def contrast_bootstrap(rows: DataFrame, value: str, label: str, left: Sequence, right: Sequence, draws: int, seed: int) -> DataFrame:
+    """Interval of a difference of means, both sides resampled by cluster independently."""
+    side = F.when(F.col(label).isin(*left), "left").when(F.col(label).isin(*right), "right")
+    totals = materialise(rows.withColumn("side", side).filter(F.col("side").isNotNull()).groupBy(
+        "side", F.col("cluster_key").alias("cluster")).agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(value).alias("s_value")))
+    sums = resampled_sums(totals, ["n", "s_value"], draws, seed, ["side"])
+    mean = F.col("s_value") / F.col("n")
+    both = sums.groupBy("draw").agg((F.max(F.when(F.col("side") == "left", mean)) - F.max(F.when(F.col("side") == "right", mean))).alias("e"))
+    return interval(both, "e")
+
+
+def significance(totals: DataFrame, values: Sequence[str], draws: int, seed: int) -> DataFrame:
+    """Effect, cluster interval and sign-flip p-value per value."""
+    return cluster_bootstrap(totals, values, draws, seed).join(sign_flip(totals, values, draws, seed + 1), "metric")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_mcnemar(promoted: pd.Series, lost: pd.Series) -> pd.Series:
     """Two-sided exact binomial p-value of discordant counts at one half; 1 when none."""
     return pd.Series([min(1.0, 2.0 * binomial_half_tail(int(b + c), int(min(b, c)))) if b + c else 1.0
@@ -356,7 +447,7 @@ def binomial_half_tail(n: int, k: int) -> float:
     return 1.0 - front * fraction(b, a, 1.0 - x) / b
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def two_sided_normal(z: pd.Series) -> pd.Series:
     """Two-sided normal p-value of a z score; null stays null."""
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v == v and v is not None else None)

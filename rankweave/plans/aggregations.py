@@ -19,7 +19,8 @@ from rankweave.plans.registry import Tables, cte, query
 from rankweave.rng import SPAN, random_sql, with_random
 from rankweave.scale import quantiles
 
-N = F.count(F.lit(1))
+def rows_():
+    return F.count(F.lit(1))
 
 
 @query("g01_coverage", """
@@ -70,7 +71,7 @@ SELECT arm, seed, max(total) AS n, round(sum(CASE WHEN rank = 1 THEN 1.0::DOUBLE
 FROM ranks_historical, (SELECT count(*) AS total FROM plain_qs) GROUP BY arm, seed""")
 def g03_end(t: Tables):
     """The same with every query in the denominator."""
-    total = V.plain_queries(t).agg(N.alias("total"))
+    total = V.plain_queries(t).agg(rows_().alias("total"))
     return V.rounded(M.end_to_end_metrics(V.ranks(t), ["arm", "seed"], total, (1, 5)))
 
 
@@ -83,7 +84,7 @@ def g04(t: Tables):
     """Mean and deviation over seeds; end-to-end is scaled by coverage."""
     rows = V.ranks(t).filter(F.col("prior_rank") > 0)
     per_seed = M.ranking_metrics(rows, ["arm", "seed"], (1, 3))
-    total = V.plain_queries(t).agg(N.alias("_total"))
+    total = V.plain_queries(t).agg(rows_().alias("_total"))
     fraction = per_seed.agg(F.max("n").alias("_n")).join(F.broadcast(total)).select((F.col("_n") / F.col("_total")).alias("_c"))
     summary = M.seed_summary(per_seed, ["arm"], ["top1", "top3", "mrr"])
     return V.rounded(summary.join(F.broadcast(fraction)).withColumn("end_to_end", F.col("mean") * F.col("_c")).drop("_c"))
@@ -112,7 +113,7 @@ def g05(t: Tables):
         P.overlap_by_query(V.pool(t, "alpha"), V.pool(t, "beta")), "query_id", "left")
     per = per.withColumn("jaccard", F.coalesce("jaccard", F.lit(1.0)))
     counts = per.agg(
-        N.alias("n_queries"), F.avg("jaccard").alias("mean_jaccard"), F.sum("shared").alias("shared"),
+        rows_().alias("n_queries"), F.avg("jaccard").alias("mean_jaccard"), F.sum("shared").alias("shared"),
         (F.sum("shared") / F.sum("combined")).alias("global_jaccard"),
         F.count_if(F.coalesce("n_b", F.lit(0)) == 0).alias("without_b"), F.max("combined").alias("longest"))
     median = quantiles(per, [], "jaccard", [0.5], "_q").select(F.col("_q")[0].alias("median_jaccard"))
@@ -151,9 +152,9 @@ FROM (SELECT class, seed, count(*) AS n, avg(1.0::DOUBLE / base_rank) AS b, avg(
 def g09(t: Tables):
     """Seed means per class, then mean and deviation over seeds."""
     per = V.effects(t).groupBy("class", "seed").agg(
-        N.alias("n"), F.avg(S.reciprocal_rank(F.col("base_rank"))).alias("b"), F.avg(S.reciprocal_rank(F.col("aug_rank"))).alias("a"))
+        rows_().alias("n"), F.avg(S.reciprocal_rank(F.col("base_rank"))).alias("b"), F.avg(S.reciprocal_rank(F.col("aug_rank"))).alias("a"))
     return V.rounded(per.groupBy("class").agg(
-        N.alias("n_seeds"), F.max("n").alias("n"), F.avg("b").alias("baseline"), F.avg("a").alias("augmented"),
+        rows_().alias("n_seeds"), F.max("n").alias("n"), F.avg("b").alias("baseline"), F.avg("a").alias("augmented"),
         F.avg(F.col("a") - F.col("b")).alias("delta"), F.coalesce(F.stddev_samp(F.col("a") - F.col("b")), F.lit(0.0)).alias("sd_delta")))
 
 
@@ -179,7 +180,7 @@ def g10(t: Tables):
     """Effects by list length; lists of one must show exactly none."""
     rows = query_effects(t).withColumn("bin", S.length_bin(F.col("list_len")))
     return V.rounded(rows.groupBy("bin").agg(
-        N.alias("n"), F.count_distinct("cluster_key").alias("n_clusters"), F.avg("e_top1").alias("top1"), F.avg("e_mrr").alias("mrr"),
+        rows_().alias("n"), F.count_distinct("cluster_key").alias("n_clusters"), F.avg("e_top1").alias("top1"), F.avg("e_mrr").alias("mrr"),
         F.max(F.abs("e_mrr")).alias("_m")).withColumn("gate", (F.col("bin") != "1") | (F.col("_m") == 0)).drop("_m"))
 
 
@@ -191,7 +192,7 @@ def g10_rank(t: Tables):
     """Effects by the rounded-up median baseline rank; harm only where rank was 1."""
     rows = query_effects(t).withColumn("bin", S.rank_bin(F.col("median_rank")))
     out = rows.groupBy("bin").agg(
-        N.alias("n"), F.count_if(F.col("e_mrr") > 1e-12).alias("promoted"), F.count_if(F.col("e_mrr") < -1e-12).alias("degraded"),
+        rows_().alias("n"), F.count_if(F.col("e_mrr") > 1e-12).alias("promoted"), F.count_if(F.col("e_mrr") < -1e-12).alias("degraded"),
         F.count_if(F.abs("e_mrr") <= 1e-12).alias("unchanged"))
     return V.rounded(out.withColumn("harm_rate", F.when(F.col("bin") == "1", F.col("degraded") / F.col("n"))))
 
@@ -256,7 +257,7 @@ SELECT split, round(sum(n * (m - g) * (m - g)), 6) AS statistic FROM (SELECT spl
 JOIN (SELECT split, avg(e_mrr) AS g FROM query_effects GROUP BY split) USING (split) GROUP BY split""")
 def g14(t: Tables):
     """Between-class sum of squares of the effect."""
-    sums = query_effects(t).groupBy("split", "class").agg(F.sum("e_mrr").alias("total"), N.alias("n"))
+    sums = query_effects(t).groupBy("split", "class").agg(F.sum("e_mrr").alias("total"), rows_().alias("n"))
     return V.rounded(RS.between_group(sums, ["split"]))
 
 
@@ -333,8 +334,8 @@ def g17_coverage(t: Tables):
         part = covered_ids(t, name).withColumn("pool", F.lit(name))
         covered = part if covered is None else covered.unionByName(part)
     common = common_cohort(t).withColumn("_c", F.lit(1))
-    total = V.plain_queries(t).agg(N.alias("_total"))
-    out = covered.join(common, "query_id", "left").groupBy("pool").agg(N.alias("n_covered"), F.count("_c").alias("in_common"))
+    total = V.plain_queries(t).agg(rows_().alias("_total"))
+    out = covered.join(common, "query_id", "left").groupBy("pool").agg(rows_().alias("n_covered"), F.count("_c").alias("in_common"))
     return V.rounded(out.join(F.broadcast(total)).select(
         "pool", "n_covered", (F.col("n_covered") / F.col("_total")).alias("coverage"), "in_common",
         (F.col("in_common") / F.col("n_covered")).alias("common_share")))
@@ -406,7 +407,7 @@ def g20_variation(t: Tables):
     from rankweave.operators.features import overlapping_strata
     rows = replicate_rows(t).withColumn("cv", D.variation(None, REPLICATES)).withColumnRenamed("stratum", "leaf")
     rows = overlapping_strata(rows, "leaf")
-    out = rows.groupBy("stratum").agg(N.alias("n"), F.count("cv").alias("defined"), F.avg("cv").alias("mean_cv"))
+    out = rows.groupBy("stratum").agg(rows_().alias("n"), F.count("cv").alias("defined"), F.avg("cv").alias("mean_cv"))
     median = quantiles(rows, ["stratum"], "cv", [0.5], "_q").select("stratum", F.col("_q")[0].alias("median_cv"))
     return V.rounded(out.join(median, "stratum"))
 
@@ -471,7 +472,7 @@ def g26(t: Tables):
     rows = beams.join(V.queries(t).select("query_id", "truth_key"), "query_id")
     any_ = F.exists("b", lambda x: x["cand_key"] == F.col("truth_key"))
     return V.rounded(rows.groupBy("pool").agg(
-        N.alias("n"), F.avg((F.col("b")[0]["cand_key"] == F.col("truth_key")).cast("double")).alias("beam1"),
+        rows_().alias("n"), F.avg((F.col("b")[0]["cand_key"] == F.col("truth_key")).cast("double")).alias("beam1"),
         F.avg(any_.cast("double")).alias("beam5"), F.count_if(F.col("truth_key") == -1).alias("invalid")))
 
 
@@ -489,7 +490,7 @@ def g27(t: Tables):
     tau = D.concordance(F.col("items"), lambda v: v["prior"], lambda v: v["augmented_42"])
     rows = packed.select((F.col("a") == F.col("b")).cast("double").alias("same"), tau.alias("tau"))
     return V.rounded(rows.agg(F.avg("same").alias("agreement"), F.avg("tau").alias("mean_tau"), F.count("tau").alias("tau_defined"),
-                              (N - F.count("tau")).alias("tau_undefined")))
+                              (rows_() - F.count("tau")).alias("tau_undefined")))
 
 
 @query("g29_grid_gate", """
@@ -562,8 +563,8 @@ def g34(t: Tables):
     """Post-stratified total cost with an engineering range."""
     rows = t.orders.select(F.col("o_orderpriority").alias("stratum"), "o_custkey", "o_totalprice", "o_orderstatus")
     batches = rows.filter(F.col("o_orderstatus") == "F").groupBy("stratum", (F.col("o_custkey") % 20).alias("batch")).agg(
-        N.alias("attempted"), F.sum(F.col("o_totalprice") / 1000).alias("cost"))
-    return V.rounded(D.expansion(batches, rows.groupBy("stratum").agg(N.alias("population")), "stratum"), 4)
+        rows_().alias("attempted"), F.sum(F.col("o_totalprice") / 1000).alias("cost"))
+    return V.rounded(D.expansion(batches, rows.groupBy("stratum").agg(rows_().alias("population")), "stratum"), 4)
 
 
 @query("g35_system_comparison", """

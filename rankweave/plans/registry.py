@@ -20,9 +20,14 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = tune(spark)
         self.folder = folder.rstrip("/")
+        self._readers: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        if name.startswith("_"):
+            raise AttributeError(name)
+        if name not in self._readers:
+            self._readers[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self._readers[name]
 
 
 def cte(name: str, body: str) -> None:

@@ -14,7 +14,7 @@ from rankweave.functions.scores import normalised_rank
 from rankweave.operators import pools as P
 from rankweave.operators.metrics import truth_ranks
 from rankweave.plans.registry import Tables, cte
-from rankweave.rng import SPAN, random_sql, with_random
+from rankweave.rng import SPAN, random_sql, with_randoms
 
 SEEDS = (42, 43, 44, 45, 46)
 ARMS = ("baseline", "augmented")
@@ -93,12 +93,12 @@ def all_lists(t: Tables, names: tuple[str, ...] = POOLS) -> DataFrame:
 def scored_lists(t: Tables, name: str, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """Lists with one score column per arm and seed, e.g. ``baseline_42``."""
     df = lists(t, name).withColumn("norm", normalised_rank(F.col("rank"), F.col("n")))
-    for seed in seeds:
-        df = with_random(df, f"u_{seed}", seed, "query_id", "cand_key")
-        base = F.col("norm") + F.lit(NOISE) * (F.col(f"u_{seed}") / F.lit(SPAN))
-        df = df.withColumn(f"baseline_{seed}", base).withColumn(
-            f"augmented_{seed}", base + F.lit(FEATURE_WEIGHT) * F.col("feat"))
-    return df.drop(*[f"u_{seed}" for seed in seeds])
+    df = with_randoms(df, {f"u_{s}": s for s in seeds}, "query_id", "cand_key")
+    kept = [c for c in df.columns if not c.startswith("u_")]
+    base = {s: F.col("norm") + F.lit(NOISE) * (F.col(f"u_{s}") / F.lit(SPAN)) for s in seeds}
+    return df.select(
+        *kept, *[base[s].alias(f"baseline_{s}") for s in seeds],
+        *[(base[s] + F.lit(FEATURE_WEIGHT) * F.col("feat")).alias(f"augmented_{s}") for s in seeds])
 
 
 def wide_ranks(t: Tables, name: str, seeds: tuple[int, ...] = SEEDS) -> DataFrame:

@@ -40,27 +40,31 @@ def absorb_array(state, counter) -> np.ndarray:
 
 
 def with_random(df: DataFrame, name: str, seed: int, *counters: Column | str) -> DataFrame:
-    """Add ``name``: an integer in [0, 2^32) determined by the seed and counters.
+    """Add ``name``: an integer in [0, 2^32) determined by the seed and counters."""
+    return with_randoms(df, {name: seed}, *counters)
 
-    Built in stages, because each stage uses the one before twice.
+
+def with_randoms(df: DataFrame, seeds: dict[str, int], *counters: Column | str) -> DataFrame:
+    """Add one draw per entry of ``seeds`` (name to seed), all for the same counters.
+
+    Built in stages, because each stage uses the one before twice; one projection per stage
+    serves all names.
     """
-    state: Column = F.lit(mix(seed)).cast("long")
-    mask, factor = F.lit(MASK).cast("long"), F.lit(MULTIPLIER).cast("long")
-    temporary = []
-    for index, counter in enumerate(counters):
-        value = (F.col(counter) if isinstance(counter, str) else counter).cast("long")
-        stage = [f"_{name}_{index}_{part}" for part in range(3)]
-        df = df.withColumn(
-            stage[0],
-            (state + value.bitwiseAND(mask) + F.shiftrightunsigned(value, 32)).bitwiseAND(mask))
-        for before, after in zip(stage, stage[1:]):
-            x = F.col(before)
-            df = df.withColumn(
-                after, (x.bitwiseXOR(F.shiftright(x, 16)) * factor).bitwiseAND(mask))
-        x = F.col(stage[2])
-        state = x.bitwiseXOR(F.shiftright(x, 16))
-        temporary += stage
-    return df.withColumn(name, state).drop(*temporary)
+    kept = [f"`{c}`" for c in df.columns if c not in seeds]
+    made = {f"_counter_{i}": c for i, c in enumerate(counters) if not isinstance(c, str)}
+    if made:
+        df = df.select(*kept, *[c.cast("long").alias(n) for n, c in made.items()])
+    carried = [*kept, *made]
+    states = {name: f"{mix(seed)}L" for name, seed in seeds.items()}
+    for i, counter in enumerate(counters):
+        value = f"CAST(`{counter}` AS BIGINT)" if isinstance(counter, str) else f"_counter_{i}"
+        folded = f"({value} & {MASK}L) + shiftrightunsigned({value}, 32)"
+        df = df.selectExpr(*carried, *[f"({state} + {folded}) & {MASK}L AS `_x_{n}`" for n, state in states.items()])
+        for _ in range(2):
+            df = df.selectExpr(*carried, *[
+                f"((`_x_{n}` ^ shiftright(`_x_{n}`, 16)) * {MULTIPLIER}L) & {MASK}L AS `_x_{n}`" for n in states])
+        states = {n: f"(`_x_{n}` ^ shiftright(`_x_{n}`, 16))" for n in states}
+    return df.selectExpr(*kept, *[f"{state} AS `{n}`" for n, state in states.items()])
 
 
 def random_sql(name: str, seed: int, *counters: str) -> str:
