@@ -27,6 +27,7 @@ from rankweave.scale import midranked, ranked
 from rankweave.session import materialise
 
 BLOCK = 65_536
+ROWS_PER_TASK = 1_000_000
 _CHUNK = 500
 LOW, HIGH = 0.025, 0.975
 FLIP_TOLERANCE = 1e-15
@@ -65,39 +66,51 @@ def indexed(clusters: DataFrame, key: str, strata: Sequence[str] = ()) -> DataFr
     return placed.withColumn("idx", F.col("idx") - 1)
 
 
-def _slots(placed: DataFrame, strata: Sequence[str], draws: int, seed: int) -> DataFrame:
+def spread(df: DataFrame, rows: int, draws: int, *keys: str) -> DataFrame:
+    """Partition a small table for the rows it is about to be multiplied into."""
+    return df.repartition(max(1, -(-rows * draws // ROWS_PER_TASK)), *keys)
+
+
+def _slots(placed: DataFrame, strata: Sequence[str], draws: int, seed: int, rows: int) -> DataFrame:
     """One pick per draw and cluster slot: (strata, draw, idx, size)."""
-    slots = placed.select(*strata, F.col("idx").alias("_slot"), "size",
-                          F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    wide = spread(placed.select(*strata, F.col("idx").alias("_slot"), "size"), rows, draws, *strata, "_slot")
+    slots = wide.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     drawn = with_random(slots, "_r", seed, F.lit(0), F.col("draw"), F.col("_slot"))
     return drawn.select(*strata, "draw", (F.col("_r") % F.col("size")).alias("idx"), "size")
 
 
 def picks(clusters: DataFrame, key: str, draws: int, seed: int, strata: Sequence[str] = ()) -> DataFrame:
     """The cluster index chosen by every slot of every draw."""
-    return _slots(indexed(clusters, key, strata), strata, draws, seed)
+    return _slots(indexed(clusters, key, strata), strata, draws, seed, clusters.count())
 
 
 def resampled_sums(
     totals: DataFrame, values: Sequence[str], draws: int, seed: int,
     strata: Sequence[str] = (), key: str = "cluster", block: int = BLOCK,
 ) -> DataFrame:
-    """Per draw (and stratum): sums of ``values`` over clusters drawn with replacement."""
+    """Per draw (and stratum): sums of ``values`` over clusters drawn with replacement.
+
+    ``totals`` should be stored already (see ``effect_totals``).  The result has one row per
+    draw and is written too, because several summaries read it.
+    """
     strata = list(strata)
     placed = indexed(totals.select(*strata, key, *values), key, strata)
-    if totals.count() <= block:
-        chosen = _slots(placed, strata, draws, seed)
+    rows = totals.count()
+    if rows <= block:
+        chosen = _slots(placed, strata, draws, seed, rows)
         lookup = F.broadcast(placed.select(*strata, "idx", *values))
-        return chosen.join(lookup, [*strata, "idx"]).groupBy(*strata, "draw").agg(
+        sums = chosen.join(lookup, [*strata, "idx"]).groupBy(*strata, "draw").agg(
             *[F.sum(v).alias(v) for v in values])
-    return _blocked_sums(placed, values, draws, seed, strata, block)
+    else:
+        sums = _blocked_sums(placed, values, draws, seed, strata, block, rows)
+    return materialise(sums)
 
 
-def _blocked_sums(placed, values, draws, seed, strata, block) -> DataFrame:
+def _blocked_sums(placed, values, draws, seed, strata, block, rows) -> DataFrame:
     """As above for many clusters: counts per block first, then picks inside each block."""
     placed = materialise(placed.withColumn("block", F.floor(F.col("idx") / block)))
     per_block = (
-        _slots(placed, strata, draws, seed).withColumn("block", F.floor(F.col("idx") / block))
+        _slots(placed, strata, draws, seed, rows).withColumn("block", F.floor(F.col("idx") / block))
         .groupBy(*strata, "block", "draw").agg(F.count(F.lit(1)).alias("_k"))
         .withColumn("chunk", F.floor(F.col("draw") / _CHUNK))
     )
@@ -197,7 +210,7 @@ def sign_flip(totals: DataFrame, values: Sequence[str], draws: int, seed: int, b
     observed = long.groupBy(*group).agg(
         F.sum("n").alias("_n"), F.abs(F.sum("total") / F.sum("n")).alias("_observed"),
         F.count_if(F.col("total") != 0).alias("_nonzero"))
-    moving = long.filter(F.col("total") != 0).select(
+    moving = spread(long.filter(F.col("total") != 0), totals.count() * len(values), draws, *group, "cluster").select(
         *group, key_number("cluster", kinds["cluster"]).alias("_key"), "total",
         F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     flipped = with_random(moving, "_r", seed, F.col("draw"), F.col("_key"))
@@ -225,9 +238,9 @@ def permuted_sums(
     for label, n in sizes:
         ends.append((label, upto, upto + n))
         upto += n
-    spread = rows.select(F.col(key).alias("_id"), F.col(value).alias("_value"),
-                         F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
-    drawn = with_random(spread, "_u", seed, F.col("draw"), F.col("_id"))
+    wide = spread(rows.select(F.col(key).alias("_id"), F.col(value).alias("_value")), total, draws, "_id")
+    drawn = with_random(wide.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")),
+                        "_u", seed, F.col("draw"), F.col("_id"))
 
     def label_of(place: Column) -> Column:
         out = None

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("scans", "pairs", "joins", "aggregations", "windows", "scalars", "inference")
+_MODULES = ("scans", "pairs", "joins", "aggregations", "windows", "scalars", "inference", "integrity", "streams")
 
 
 def _load():

@@ -297,7 +297,7 @@ def r14(t: Tables):
     totals = RS.effect_totals(joint_effects(t), values, SEEDS, by=["pool"])
     effect = totals.groupBy("pool").agg(*[(F.sum(f"s_{v}") / F.sum("n")).alias(v) for v in values]).unpivot(["pool"], values, "metric", "loss")
     tests = effect.join(RS.sign_flip(totals, values, DRAWS, 81, ["pool"]), ["pool", "metric"])
-    out = D.holm(tests, ["metric"], ["pool"])
+    out = D.holm(materialise(tests), ["metric"], ["pool"])
     return V.rounded(out.withColumn("metric", F.substring("metric", 6, 10)))
 
 
@@ -416,7 +416,7 @@ def g09_tests(t: Tables):
     draws = RS.resampled_sums(totals, ["n", "s_d_mrr"], DRAWS, 95, ["class"]).withColumn("e", F.col("s_d_mrr") / F.col("n"))
     effect = totals.groupBy("class").agg((F.sum("s_d_mrr") / F.sum("n")).alias("effect"))
     tests = effect.join(RS.interval(draws, "e", ["class"]), "class").join(RS.sign_flip(totals, ["d_mrr"], DRAWS, 96, ["class"]).drop("metric"), "class")
-    return V.rounded(D.benjamini_hochberg(tests, [], ["class"]))
+    return V.rounded(D.benjamini_hochberg(materialise(tests), [], ["class"]))
 
 
 _SYSTEMS = {"prior": "prior_rank", "baseline": "baseline_{s}", "augmented": "augmented_{s}"}

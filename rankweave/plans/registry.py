@@ -35,10 +35,11 @@ def cte(name: str, body: str) -> None:
     _CTES[name] = body.strip()
 
 
-def _needed(body: str, seen: dict[str, None]) -> None:
+def _needed(body: str, seen: dict[str, None], above: tuple[str, ...] = ()) -> None:
+    words = set(re.findall(r"\w+", body))
     for name in _CTES:
-        if name not in seen and re.search(rf"\b{name}\b", body):
-            _needed(_CTES[name], seen)
+        if name in words and name not in seen and name not in above:
+            _needed(_CTES[name], seen, (*above, name))
             seen[name] = None
 
 
