@@ -33,7 +33,7 @@ def _match(positives: DataFrame, negatives: DataFrame, seed: int, k: int, featur
     slots = starts.withColumn("_j", F.explode(F.sequence(F.lit(0), F.least(F.lit(k), F.col("_count")).cast("int") - 1)))
     slots = slots.select(
         QUERY, F.col(CAND).alias("pos_key"), *[F.col(c).alias(f"pos_{c}") for c in features],
-        ((F.col("_start") + F.col("_j")) % F.col("_count")).alias("_place"))
+        F.coalesce((F.col("_start") + F.col("_j")) % F.col("_count"), F.lit(0)).alias("_place"))
     partners = placed.select(QUERY, "_place", F.col(CAND).alias("neg_key"),
                              *[F.col(c).alias(f"neg_{c}") for c in features])
     return slots.join(partners, [QUERY, "_place"]).drop("_place")

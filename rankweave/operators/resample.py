@@ -29,6 +29,7 @@ from rankweave.session import materialise
 BLOCK = 65_536
 ROWS_PER_TASK = 1_000_000
 _CHUNK = 500
+_SORTED = 4_096
 LOW, HIGH = 0.025, 0.975
 FLIP_TOLERANCE = 1e-15
 
@@ -76,7 +77,8 @@ def _slots(placed: DataFrame, strata: Sequence[str], draws: int, seed: int, rows
     wide = spread(placed.select(*strata, F.col("idx").alias("_slot"), "size"), rows, draws, *strata, "_slot")
     slots = wide.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     drawn = with_random(slots, "_r", seed, F.lit(0), F.col("draw"), F.col("_slot"))
-    return drawn.select(*strata, "draw", (F.col("_r") % F.col("size")).alias("idx"), "size")
+    idx = F.coalesce(F.col("_r") % F.col("size"), F.lit(0))  # not null, as in ``rng``
+    return drawn.select(*strata, "draw", idx.alias("idx"), "size")
 
 
 def picks(clusters: DataFrame, key: str, draws: int, seed: int, strata: Sequence[str] = ()) -> DataFrame:
@@ -248,11 +250,11 @@ def permuted_sums(
             out = F.when(place <= end, label) if out is None else out.when(place <= end, label)
         return out
 
-    if total <= block:
+    if total <= min(block, _SORTED):
         place = F.row_number().over(Window.partitionBy("draw").orderBy("_u", "_id"))
         return drawn.withColumn("label", label_of(place)).groupBy("draw", "label").agg(
             F.sum("_value").alias("total"), F.count(F.lit(1)).alias("n"))
-    bits = min(16, max(1, math.ceil(math.log2(total / max(1, block // 16)))))
+    bits = min(20, max(1, math.ceil(math.log2(total / max(1, min(block, _SORTED) // 4)))))
     bucketed = drawn.withColumn("_bucket", F.shiftright("_u", 32 - bits))
     buckets = bucketed.groupBy("draw", "_bucket").agg(
         F.count(F.lit(1)).alias("_c"), F.sum("_value").alias("_s"))

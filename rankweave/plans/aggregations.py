@@ -18,6 +18,7 @@ from rankweave.plans.pairs import labelled_lists, train_pairs
 from rankweave.plans.registry import Tables, cte, query
 from rankweave.rng import SPAN, random_sql, with_random
 from rankweave.scale import quantiles
+from rankweave.session import materialise
 
 def rows_():
     return F.count(F.lit(1))
@@ -111,7 +112,7 @@ def g05(t: Tables):
     """Overlap of two pools; two empty lists count as equal."""
     per = V.plain_queries(t).select("query_id").join(
         P.overlap_by_query(V.pool(t, "alpha"), V.pool(t, "beta")), "query_id", "left")
-    per = per.withColumn("jaccard", F.coalesce("jaccard", F.lit(1.0)))
+    per = materialise(per.withColumn("jaccard", F.coalesce("jaccard", F.lit(1.0))))
     counts = per.agg(
         rows_().alias("n_queries"), F.avg("jaccard").alias("mean_jaccard"), F.sum("shared").alias("shared"),
         (F.sum("shared") / F.sum("combined")).alias("global_jaccard"),
@@ -164,9 +165,12 @@ FROM effects_historical GROUP BY ALL""")
 
 
 def query_effects(t: Tables) -> DataFrame:
-    """Seed means per query; the median is over the few seeds of one query."""
-    return V.effects(t).groupBy("query_id", "cluster_key", "class", "split", "list_len", "prior_rank").agg(
-        F.avg("d_top1").alias("e_top1"), F.avg("d_mrr").alias("e_mrr"), F.ceil(F.percentile("base_rank", 0.5)).alias("median_rank"))
+    """Seed means per query, written once for the several passes over them.
+
+    The median is over the few seeds of one query.
+    """
+    return materialise(V.effects(t).groupBy("query_id", "cluster_key", "class", "split", "list_len", "prior_rank").agg(
+        F.avg("d_top1").alias("e_top1"), F.avg("d_mrr").alias("e_mrr"), F.ceil(F.percentile("base_rank", 0.5)).alias("median_rank")))
 
 
 _LEN_BIN = """CASE WHEN list_len = 1 THEN '1' WHEN list_len <= 3 THEN '2-3' WHEN list_len <= 6 THEN '4-6' WHEN list_len <= 9 THEN '7-9' ELSE '10' END"""
@@ -310,7 +314,7 @@ cte("desc_long", _LONG)
 
 def descriptor_rows(t: Tables, names: tuple[str, ...] = V.POOLS) -> DataFrame:
     wide = descriptors(t, names).select("pool", "query_id", *[F.col(c).cast("double").alias(c) for c in DESCRIPTORS])
-    return wide.unpivot(["pool", "query_id"], list(DESCRIPTORS), "feature", "value")
+    return materialise(wide).unpivot(["pool", "query_id"], list(DESCRIPTORS), "feature", "value")
 
 
 @query("g17_descriptor_summary", """
@@ -598,6 +602,6 @@ def g36(t: Tables):
     """Rank correlation of descriptors and effects, one column per pool."""
     names = ("alpha", "beta")
     means = V.effects(t, names).groupBy("pool", "query_id").agg(F.round(F.avg("d_mrr"), 9).alias("m"))
-    rows = descriptor_rows(t, names).withColumn("value", F.round("value", 9)).join(means, ["pool", "query_id"])
+    rows = materialise(descriptor_rows(t, names).withColumn("value", F.round("value", 9)).join(means, ["pool", "query_id"]))
     rho = D.correlation(rows, ["pool", "feature"], "value", "m", True)
     return V.rounded(rho.groupBy("feature").pivot("pool", list(names)).agg(F.max("correlation")), 4)

@@ -39,14 +39,21 @@ UNION ALL SELECT product_key, 'prior_order_inversion', cand_key FROM (SELECT a.p
 
 
 def two_files(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """The same candidates as two text files with faults on different lines, classified."""
-    return C.classify(candidate_lines(t)), C.classify(candidate_lines(t, 7))
+    """The same candidates as two text files with faults on different lines.
+
+    Parsed once each and written: every check reads the parsed lines.
+    """
+    return tuple(materialise(C.classify(candidate_lines(t, shift)).drop("value")) for shift in (0, 7))
+
+
+def ordered_pool(parsed: DataFrame) -> DataFrame:
+    """Ordered pool of one parsed file, written because several checks read it."""
+    pool = P.full_list(P.dedupe(C.accepted(parsed)))
+    return materialise(pool.select("query_id", "cand_key", "prior", "first_seen", "rank"))
 
 
 def two_pools(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Ordered pools of both files, written once: every check reads them."""
-    a, b = two_files(t)
-    return tuple(materialise(P.full_list(P.dedupe(C.accepted(x))).select("query_id", "cand_key", "prior", "first_seen", "rank")) for x in (a, b))
+    return tuple(ordered_pool(parsed) for parsed in two_files(t))
 
 
 @query("q01_pool_issues", "SELECT query_id, issue, cand_key FROM cmp_issues")
@@ -65,7 +72,7 @@ SELECT i.*, false AS audit_counts_exact, false AS reference_loads, false AS othe
 def q01_summary(t: Tables):
     """All checks of the comparison in one row."""
     a, b = two_files(t)
-    issues = A.pool_issues(*two_pools(t))
+    issues = A.pool_issues(ordered_pool(a), ordered_pool(b))
     return A.comparison_summary(issues, (C.scan_audit(a), C.scan_audit(b)), (C.rejected(a), C.rejected(b)))
 
 

@@ -12,6 +12,7 @@ from rankweave.plans import views as V
 from rankweave.plans.aggregations import query_effects
 from rankweave.plans.registry import Tables, cte, query
 from rankweave.scale import midranked, ranked
+from rankweave.session import materialise
 
 
 @query("w01_prior_order", "SELECT query_id, cand_key, rank, n FROM pool_historical")
@@ -73,9 +74,10 @@ SELECT split, class, seed, round(CAST(sum(CASE WHEN d_mrr < 0 THEN 1 ELSE 0 END)
 
 
 def tests_table(t: Tables):
+    """Family of p-values, written before it is ordered several times."""
     worse = F.count_if(F.col("d_mrr") < 0) + 1
-    return V.effects(t).groupBy("split", "class", "seed").agg(
-        F.round(worse.cast("double") / (F.count(F.lit(1)) + 1), 9).alias("p_value"))
+    return materialise(V.effects(t).groupBy("split", "class", "seed").agg(
+        F.round(worse.cast("double") / (F.count(F.lit(1)) + 1), 9).alias("p_value")))
 
 
 @query("w08_benjamini_hochberg", """
@@ -182,4 +184,4 @@ def t04(t: Tables):
     paired = V.effects(t).groupBy("query_id").agg(
         F.count_if((b > 1) & (a == 1)).alias("promoted"), F.count_if((b == 1) & (a > 1)).alias("lost"),
         F.round(F.avg(b - a), 6).alias("gain"), F.round(F.avg(b), 6).alias("before"))
-    return D.case_studies(paired)
+    return D.case_studies(materialise(paired))

@@ -64,7 +64,9 @@ def with_randoms(df: DataFrame, seeds: dict[str, int], *counters: Column | str)
             df = df.selectExpr(*carried, *[
                 f"((`_x_{n}` ^ shiftright(`_x_{n}`, 16)) * {MULTIPLIER}L) & {MASK}L AS `_x_{n}`" for n in states])
         states = {n: f"(`_x_{n}` ^ shiftright(`_x_{n}`, 16))" for n in states}
-    return df.selectExpr(*kept, *[f"{state} AS `{n}`" for n, state in states.items()])
+    # Never null: otherwise a join on a draw would add a null check that Catalyst pushes
+    # below the stages, writing the whole hash out many times over.
+    return df.selectExpr(*kept, *[f"coalesce({state}, 0L) AS `{n}`" for n, state in states.items()])
 
 
 def random_sql(name: str, seed: int, *counters: str) -> str:

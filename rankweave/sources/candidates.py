@@ -42,20 +42,25 @@ def classify(lines: DataFrame) -> DataFrame:
     blank, malformed_json, non_object_json, missing_required_fields, invalid_prior,
     nonfinite_prior, invalid_product, invalid_reactant or ok.
     """
-    parsed = lines.withColumn("_v", F.try_parse_json(F.trim("value")))
-    field = {name: F.try_variant_get("_v", f"$.{name}", "string") for name in REQUIRED}
+    # Each stage passes through a one-element explode: filters on its results are then not
+    # rewritten into repeated parsing of the same line.
+    parsed = lines.select("line_no", "value", F.explode(F.array(F.try_parse_json(F.trim("value")))).alias("_v"))
     absent: Column | None = None
     for name in REQUIRED:
         gone = F.try_variant_get("_v", f"$.{name}", "variant").isNull()
         absent = gone if absent is None else absent | gone
-    number = F.when(field["prior"].rlike(_NUMBER), F.trim(field["prior"]).try_cast("double"))
-    staged = parsed.select(
-        "line_no", "value", F.col("_v").isNull().alias("_bad"),
+    fields = F.struct(
+        F.col("_v").isNull().alias("_bad"),
         (~F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))).alias("_other"),
-        absent.alias("_absent"), field["product"].alias("raw_product"),
-        field["reactant"].alias("raw_reactant"), number.alias("prior"),
-        single_key(field["product"]).alias("product_key"),
-        set_key(field["reactant"]).alias("cand_key"))
+        absent.alias("_absent"),
+        *[F.try_variant_get("_v", f"$.{name}", "string").alias(f"_{name}") for name in REQUIRED])
+    opened = parsed.select("line_no", "value", F.inline(F.array(fields)))
+    number = F.when(F.col("_prior").rlike(_NUMBER), F.trim("_prior").try_cast("double"))
+    keyed = F.struct(number.alias("prior"), single_key("_product").alias("product_key"),
+                     set_key("_reactant").alias("cand_key"))
+    staged = opened.select(
+        "line_no", "value", "_bad", "_other", "_absent", F.col("_product").alias("raw_product"),
+        F.col("_reactant").alias("raw_reactant"), F.inline(F.array(keyed)))
     finite = ~F.isnan("prior") & (F.abs("prior") != F.lit(float("inf")))
     status = (
         F.when(F.trim("value") == "", "blank").when(F.col("_bad"), "malformed_json")
@@ -89,25 +94,24 @@ def fatal(classified: DataFrame) -> DataFrame:
 def scan_audit(classified: DataFrame) -> DataFrame:
     """The twelve audit counters of one file, as one row."""
     def counted(*names: str) -> Column:
-        return F.count_if(F.col("status").isin(*names))
-
-    lines = classified.agg(
-        F.count(F.lit(1)).alias("physical_lines"), counted("blank").alias("blank_lines"),
+        return F.coalesce(F.sum(F.when(F.col("status").isin(*names), F.col("k"))), F.lit(0))
+
+    # One pass over the text: duplicates, candidates and products are counted level by level.
+    kept = F.col("status") == "ok"
+    per_candidate = classified.groupBy("status", "product_key", "cand_key").agg(F.count(F.lit(1)).alias("k"))
+    per_product = per_candidate.groupBy("status", "product_key").agg(F.sum("k").alias("k"), F.count(F.lit(1)).alias("c"))
+    return per_product.agg(
+        F.coalesce(F.sum("k"), F.lit(0)).alias("physical_lines"), counted("blank").alias("blank_lines"),
         counted("ok", "invalid_product", "invalid_reactant").alias("candidate_records"),
         counted("malformed_json", "non_object_json").alias("malformed_json_lines"),
         counted("missing_required_fields").alias("missing_required_fields"),
         counted("invalid_prior").alias("invalid_prior_records"),
         counted("nonfinite_prior").alias("nonfinite_prior_records"),
         counted("invalid_product").alias("invalid_product_records"),
-        counted("invalid_reactant").alias("invalid_reactant_records"))
-    unique = (
-        accepted(classified).groupBy("query_id", "cand_key").agg(F.count(F.lit(1)).alias("copies"))
-        .groupBy("query_id").agg(F.count(F.lit(1)).alias("c"), F.sum("copies").alias("k"))
-        .agg(F.coalesce(F.sum(F.col("k") - F.col("c")), F.lit(0)).alias("canonical_duplicate_records"),
-             F.count(F.lit(1)).alias("unique_products"),
-             F.coalesce(F.sum("c"), F.lit(0)).alias("unique_candidates"))
-    )
-    return lines.join(F.broadcast(unique))
+        counted("invalid_reactant").alias("invalid_reactant_records"),
+        F.coalesce(F.sum(F.when(kept, F.col("k") - F.col("c"))), F.lit(0)).alias("canonical_duplicate_records"),
+        F.count_if(kept).alias("unique_products"),
+        F.coalesce(F.sum(F.when(kept, F.col("c"))), F.lit(0)).alias("unique_candidates"))
 
 
 def tolerant_audit(classified: DataFrame) -> DataFrame:
