@@ -199,3 +199,26 @@ def lists_from_json(rows: DataFrame, column: str) -> DataFrame:
         "query_id", F.size("items").cast("long").alias("n"), F.posexplode("items").alias("pos", "cand_key")
     ).select("query_id", "cand_key", (F.col("pos") + 1).cast("long").alias("rank"), "n").withColumn(
         "prior", normalised_rank(F.col("rank"), F.col("n")))
+
+
+def read_reactions(spark: SparkSession, path: str, metadata_path: str | None = None) -> DataFrame:
+    """Query rows from a CSV file with a header; the id is the zero-based row number.
+
+    A header that does not have the required columns is an error.
+    """
+    raw = (
+        spark.read.schema(REACTION_SCHEMA).option("header", "true").option("enforceSchema", "false")
+        .option("mode", "FAILFAST").csv(path).withColumn("_place", F.monotonically_increasing_id())
+    )
+    numbered = ranked(raw, [], [F.col("_place")], "id").withColumn("id", F.col("id") - 1).drop("_place")
+    metadata = None
+    if metadata_path is not None:
+        metadata = spark.read.schema("reaction_id LONG, source_split STRING, reaction_class INT").option(
+            "header", "true").csv(metadata_path)
+    return load_reactions(numbered, metadata)
+
+
+def read_candidates(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(ordered lists, audit) of a candidate JSONL file, tolerant of bad lines."""
+    parsed = classify(read_lines(spark, path))
+    return P.full_list(P.dedupe(accepted(parsed))), scan_audit(parsed)
