@@ -124,8 +124,8 @@ def fit_pairwise_ranker(pairs: DataFrame, features: Sequence[str], reg: float =
     deltas = pairs.select(*[(F.col(f"pos_{c}") - F.col(f"neg_{c}")).alias(c) for c in features])
     both = deltas.withColumn("label", F.lit(1.0)).unionByName(
         deltas.select(*[(-F.col(c)).alias(c) for c in features]).withColumn("label", F.lit(0.0)))
-    data = VectorAssembler(inputCols=list(features), outputCol="x").transform(both)
-    model = LogisticRegression(featuresCol="x", labelCol="label", fitIntercept=False,
+    data = VectorAssembler(inputCols=list(features), outputCol="_features").transform(both)
+    model = LogisticRegression(featuresCol="_features", labelCol="label", fitIntercept=False,
                                standardization=False, regParam=reg, maxIter=iterations).fit(data)
     return dict(zip(features, (float(w) for w in model.coefficients)))
 
@@ -149,8 +149,8 @@ def fit_logit(frame: DataFrame, label: str, numeric: Sequence[str], category: st
         *[((F.col(c) - moments[f"m_{c}"]) / moments[f"s_{c}"]).alias(c) for c in used],
         *[(F.col(category) == level).cast("double").alias(f"class_{i}") for i, level in enumerate(levels) if i])
     terms = [*used, *[f"class_{i}" for i in range(1, len(levels))]]
-    data = VectorAssembler(inputCols=terms, outputCol="x").transform(prepared)
-    model = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="x", labelCol="label").fit(data)
+    data = VectorAssembler(inputCols=terms, outputCol="_features").transform(prepared)
+    model = GeneralizedLinearRegression(family="binomial", link="logit", featuresCol="_features", labelCol="label").fit(data)
     names = [*used, *[f"{category}={level}" for level in levels[1:]]]
     rows = [("intercept", float(model.intercept))] + list(zip(names, (float(v) for v in model.coefficients)))
     return frame.sparkSession.createDataFrame(rows, "term STRING, coefficient DOUBLE").withColumn(
