@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.scores import float32_steps, relative_difference, within_tolerance
 from rankweave.operators import pools as P
-from rankweave.scale import following, ranked
+from rankweave.scale import following, ranked, with_row
 
 QUERY, CAND = P.QUERY, P.CAND
 
@@ -230,7 +230,7 @@ def comparison_summary(
         F.count_distinct(QUERY).alias("discrepancy_product_count"))
     left, right = audits
     counters = left.columns
-    pair = left.join(F.broadcast(right.select(*[F.col(c).alias(f"{c}_b") for c in counters])))
+    pair = with_row(left, right.select(*[F.col(c).alias(f"{c}_b") for c in counters]))
     same: Column = F.lit(True)
     for column in counters:
         same = same & (F.col(column) == F.col(f"{column}_b"))
@@ -245,7 +245,7 @@ def comparison_summary(
     b = ranked(rejects[1], [], [F.col("line_no")], "place").select("place", *kept)
     differ = a.exceptAll(b).unionByName(b.exceptAll(a)).agg(
         (F.count(F.lit(1)) == 0).alias("rejected_records_exact"))
-    row = found.join(F.broadcast(counts)).join(F.broadcast(differ))
+    row = with_row(with_row(found, counts), differ)
     passed = (
         F.col("product_identity_exact") & F.col("product_order_exact") & F.col("identity_order_exact")
         & F.col("prior_tolerance_passed") & (F.col("prior_inversion_count") == 0)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankweave.operators.features import pair_count, pair_fold
-from rankweave.scale import midranked, quantiles, ranked, running
+from rankweave.scale import midranked, quantiles, ranked, running, with_row
 
 QUERY, CAND = "query_id", "cand_key"
 QUARTILES = (0.25, 0.5, 0.75)
@@ -24,7 +24,7 @@ def distribution(rows: DataFrame, by: Sequence[str], value: str, sample: bool =
                                     F.min(value).alias("min"), F.max(value).alias("max"))
     points = quantiles(rows, by, value, probabilities, "_q").select(
         *by, *[F.col("_q")[i].alias(f"q{round(p * 1000):03d}") for i, p in enumerate(probabilities)])
-    return moments.join(points, by, "left") if by else moments.join(F.broadcast(points), how="left")
+    return moments.join(points, by, "left") if by else with_row(moments, points)
 
 
 def correlation(rows: DataFrame, by: Sequence[str], x: str, y: str, spearman: bool = False, least: int = 3) -> DataFrame:
@@ -79,7 +79,7 @@ def prior_summary(lists: DataFrame, by: Sequence[str] = (), value: str = "prior"
         F.count(F.lit(1)).alias("n_lists"), F.avg("skew").alias("mean_skew"), F.count("skew").alias("skew_defined"),
         F.count("gap").alias("gap_defined"), F.avg(F.when(F.col("tied"), 1.0).otherwise(0.0)).alias("tie_fraction"))
     gaps = gaps.select(*by, F.col("_q")[0].alias("median_gap"))
-    return out.join(gaps, list(by), "left") if by else out.join(F.broadcast(gaps), how="left")
+    return out.join(gaps, list(by), "left") if by else with_row(out, gaps)
 
 
 def gap_groups(lists: DataFrame, value: str = "prior") -> DataFrame:
@@ -90,7 +90,7 @@ def gap_groups(lists: DataFrame, value: str = "prior") -> DataFrame:
     gaps = lists.filter(F.col("rank") <= 2).groupBy(QUERY).agg(
         (F.max(F.when(F.col("rank") == 1, F.col(value))) - F.max(F.when(F.col("rank") == 2, F.col(value)))).alias("gap"))
     cuts = quantiles(gaps, [], "gap", QUARTILES, "_cuts")
-    joined = gaps.join(F.broadcast(cuts), how="left")
+    joined = with_row(gaps, cuts)
     group = F.when(F.col("gap").isNull(), -1)
     for i in range(3):
         group = group.when(F.col("gap") <= F.col("_cuts")[i], i)
@@ -183,7 +183,7 @@ def clipping(rows: DataFrame, normaliser: DataFrame, features: Sequence[str], cl
 
     ``normaliser`` is one row with m_<feature> and s_<feature>.
     """
-    joined = rows.join(F.broadcast(normaliser))
+    joined = with_row(rows, normaliser)
     z = {c: (F.col(c) - F.col(f"m_{c}")) / F.col(f"s_{c}") for c in features}
     below = [F.avg(F.when(z[c] < -clip, 1.0).otherwise(0.0)).alias(f"{c}_below") for c in features]
     above = [F.avg(F.when(z[c] > clip, 1.0).otherwise(0.0)).alias(f"{c}_above") for c in features]

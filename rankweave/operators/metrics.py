@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankweave.functions.scores import rank_hit, reciprocal_rank
+from rankweave.scale import with_row
 
 KS = (1, 3, 5, 10, 20, 50)
 
@@ -66,7 +67,7 @@ def end_to_end_metrics(
 ) -> DataFrame:
     """Metrics with every query in the denominator; ``n_queries`` is a one-row table."""
     total = n_queries.select(F.col(n_queries.columns[0]).alias("_total"))
-    joined = ranks.join(F.broadcast(total))
+    joined = with_row(ranks, total)
     return joined.groupBy(*by).agg(
         F.max("_total").alias("n"),
         *metric_columns(F.col("rank"), ks, F.max("_total")))

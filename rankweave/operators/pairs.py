@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.rng import with_random
-from rankweave.scale import ranked
+from rankweave.scale import ranked, with_row
 
 QUERY, CAND = "query_id", "cand_key"
 
@@ -160,5 +160,5 @@ def fit_logit(frame: DataFrame, label: str, numeric: Sequence[str], category: st
 def convergence_choice(trials: DataFrame, config_order: Sequence[str] = ("config",)) -> DataFrame:
     """Best configuration by mean validation score; ties within 1e-12 go to the lowest index."""
     best = trials.agg(F.max("mean").alias("_best"))
-    near = trials.join(F.broadcast(best)).filter(F.col("_best") - F.col("mean") <= 1e-12)
+    near = with_row(trials, best).filter(F.col("_best") - F.col("mean") <= 1e-12)
     return near.agg(F.min(F.struct(*config_order, "mean")).alias("s")).select("s.*")

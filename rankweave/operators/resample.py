@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rankweave.rng import absorb_array, mix, with_random
-from rankweave.scale import midranked, ranked
+from rankweave.scale import midranked, ranked, with_row
 from rankweave.session import materialise
 
 BLOCK = 65_536
@@ -266,7 +266,8 @@ def permuted_sums(
     whole = placed.filter(~cut).select("draw", label_of(F.col("_end")).alias("label"), F.col("_s").alias("_v"), F.col("_c").alias("_k"))
     # One bucket per draw and inner boundary at most.
     edges = placed.filter(cut).select("draw", "_bucket", "_start")
-    inside = bucketed.join(F.broadcast(edges), ["draw", "_bucket"])
+    few = draws * (len(ends) - 1) <= ROWS_PER_TASK
+    inside = bucketed.join(F.broadcast(edges) if few else edges, ["draw", "_bucket"])
     spot = F.col("_start") + F.row_number().over(Window.partitionBy("draw", "_bucket").orderBy("_u", "_id"))
     split = inside.select("draw", label_of(spot).alias("label"), F.col("_value").alias("_v"), F.lit(1).cast("long").alias("_k"))
     return whole.unionByName(split).groupBy("draw", "label").agg(F.sum("_v").alias("total"), F.sum("_k").alias("n"))
@@ -349,7 +350,7 @@ def three_way_bootstrap(
         effect = effect + F.sum(f"v_{s}_{r}")
     estimates = sums.withColumn("estimate", total / (F.col("n") * len(cells)))
     point = totals.agg((effect / (F.sum("n") * len(cells))).alias("effect"))
-    return point.join(F.broadcast(interval(estimates, "estimate")))
+    return with_row(point, interval(estimates, "estimate"))
 
 
 def _paired_draws(joint: DataFrame, metrics: Sequence[str], seeds: Sequence[int], draws: int, seed: int, weight_seeds: tuple[int, int]):
@@ -377,7 +378,7 @@ def transfer_summary(
         point = totals.agg(F.sum("n").alias("n"), *[(F.sum(f"s_{side}_{m}") / F.sum("n")).alias(name)
                                                     for side, name in (("old", "old_effect"), ("new", "new_effect"), ("loss", "loss"))])
         crossed = interval(draws_of, "crossed").withColumnsRenamed({"low": "crossed_low", "high": "crossed_high"})
-        row = point.join(F.broadcast(interval(draws_of, "plain"))).join(F.broadcast(crossed)).withColumn("metric", F.lit(m))
+        row = with_row(with_row(point, interval(draws_of, "plain")), crossed).withColumn("metric", F.lit(m))
         out = row if out is None else out.unionByName(row)
     return out
 
@@ -479,7 +480,7 @@ def wilcoxon_pratt(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataF
         F.count(F.lit(1)).cast("double").alias("n"), F.count_if(d == 0).cast("double").alias("zeros"),
         F.coalesce(F.sum(F.when(d > 0, F.col("_rank"))), F.lit(0.0)).alias("w_plus"),
         F.coalesce(F.sum(F.when(d < 0, F.col("_rank"))), F.lit(0.0)).alias("w_minus"))
-    joined = sums.join(ties, by, "left") if by else sums.join(F.broadcast(ties))
+    joined = sums.join(ties, by, "left") if by else with_row(sums, ties)
     n, z = F.col("n"), F.col("zeros")
     mean = (n * (n + 1) - z * (z + 1)) / 4
     variance = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - 0.5 * F.coalesce("_ties", F.lit(0.0))) / 24

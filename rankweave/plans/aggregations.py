@@ -13,11 +13,11 @@ from rankweave.operators import pairs as X
 from rankweave.operators import pools as P
 from rankweave.operators import resample as RS
 from rankweave.plans import views as V
-from rankweave.plans.joins import SIZE_STRATA, covered_ids, features
+from rankweave.plans.joins import covered_ids
 from rankweave.plans.pairs import labelled_lists, train_pairs
 from rankweave.plans.registry import Tables, cte, query
 from rankweave.rng import SPAN, random_sql, with_random
-from rankweave.scale import quantiles
+from rankweave.scale import quantiles, with_row
 from rankweave.session import materialise
 
 def rows_():
@@ -86,9 +86,9 @@ def g04(t: Tables):
     rows = V.ranks(t).filter(F.col("prior_rank") > 0)
     per_seed = M.ranking_metrics(rows, ["arm", "seed"], (1, 3))
     total = V.plain_queries(t).agg(rows_().alias("_total"))
-    fraction = per_seed.agg(F.max("n").alias("_n")).join(F.broadcast(total)).select((F.col("_n") / F.col("_total")).alias("_c"))
+    fraction = with_row(per_seed.agg(F.max("n").alias("_n")), total).select((F.col("_n") / F.col("_total")).alias("_c"))
     summary = M.seed_summary(per_seed, ["arm"], ["top1", "top3", "mrr"])
-    return V.rounded(summary.join(F.broadcast(fraction)).withColumn("end_to_end", F.col("mean") * F.col("_c")).drop("_c"))
+    return V.rounded(with_row(summary, fraction).withColumn("end_to_end", F.col("mean") * F.col("_c")).drop("_c"))
 
 
 @query("g04_paired_summary", """
@@ -118,7 +118,7 @@ def g05(t: Tables):
         (F.sum("shared") / F.sum("combined")).alias("global_jaccard"),
         F.count_if(F.coalesce("n_b", F.lit(0)) == 0).alias("without_b"), F.max("combined").alias("longest"))
     median = quantiles(per, [], "jaccard", [0.5], "_q").select(F.col("_q")[0].alias("median_jaccard"))
-    return V.rounded(counts.join(F.broadcast(median)))
+    return V.rounded(with_row(counts, median))
 
 
 @query("g06_winner_dedup", """
@@ -340,7 +340,7 @@ def g17_coverage(t: Tables):
     common = common_cohort(t).withColumn("_c", F.lit(1))
     total = V.plain_queries(t).agg(rows_().alias("_total"))
     out = covered.join(common, "query_id", "left").groupBy("pool").agg(rows_().alias("n_covered"), F.count("_c").alias("in_common"))
-    return V.rounded(out.join(F.broadcast(total)).select(
+    return V.rounded(with_row(out, total).select(
         "pool", "n_covered", (F.col("n_covered") / F.col("_total")).alias("coverage"), "in_common",
         (F.col("in_common") / F.col("n_covered")).alias("common_share")))
 
@@ -461,7 +461,7 @@ def g25(t: Tables):
     rr = S.reciprocal_rank(F.col("aug_rank"))
     v = V.effects(t).groupBy((F.col("seed") % 3).alias("variant")).agg(F.avg(rr).alias("mean"), F.stddev_samp(rr).alias("sd"))
     base = v.filter(F.col("variant") == 0).select(F.col("mean").alias("_base"))
-    return V.rounded(v.join(F.broadcast(base)).withColumn("delta", F.col("mean") - F.col("_base")).drop("_base"))
+    return V.rounded(with_row(v, base).withColumn("delta", F.col("mean") - F.col("_base")).drop("_base"))
 
 
 @query("g26_round_trip_rates", """
@@ -587,7 +587,7 @@ def g35(t: Tables):
     hit = F.avg(F.when((F.col("rank") >= 1) & (F.col("rank") <= F.col("k")), 1.0).otherwise(0.0))
     longest = wide.agg(F.max("list_len").alias("_longest"))
     out = rows.groupBy("k").pivot("system", ["prior", "baseline", "augmented"]).agg(hit)
-    return V.rounded(out.join(F.broadcast(longest)).withColumns({
+    return V.rounded(with_row(out, longest).withColumns({
         "augmented_minus_baseline": F.col("augmented") - F.col("baseline"), "augmented_minus_prior": F.col("augmented") - F.col("prior"),
         "vacuous": F.col("_longest") <= F.col("k")}).drop("_longest"))
 

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from rankweave.functions import keys as K
 from rankweave.operators import audits as A
-from rankweave.operators import diagnostics as D
 from rankweave.operators import pairs as X
 from rankweave.operators import pools as P
 from rankweave.plans import views as V

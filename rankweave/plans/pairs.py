@@ -13,6 +13,7 @@ from rankweave.operators import pools as P
 from rankweave.plans import views as V
 from rankweave.plans.registry import Tables, cte, query
 from rankweave.rng import random_sql
+from rankweave.scale import with_row
 
 SEED, K = 42, 5
 
@@ -169,7 +170,7 @@ def m07(t: Tables):
     configs = X.grid(t.spark, {"width": [1, 2, 3], "rate": [0.1, 0.2, 0.3]}).select(
         "config", F.col("width").cast("int").alias("width"), "rate")
     total = V.effects(t).agg(F.avg("d_mrr").alias("m"))
-    return V.rounded(configs.join(F.broadcast(total)).select(
+    return V.rounded(with_row(configs, total).select(
         "config", "width", "rate", (F.col("m") * F.col("width") + F.col("rate")).alias("mean")))
 
 

@@ -21,7 +21,7 @@ from rankweave.plans.joins import features, thinned_pool
 from rankweave.plans.pairs import train_pairs
 from rankweave.plans.registry import Tables, cte, query
 from rankweave.rng import random_sql
-from rankweave.scale import ranked
+from rankweave.scale import ranked, with_row
 
 STOP_TOKENS = ["small", "red", "old"]
 
@@ -154,7 +154,7 @@ def f11(t: Tables):
     """Standardised and clipped prior."""
     lists = V.lists(t, "historical")
     fitted = lists.agg(F.avg("prior").alias("m"), F.greatest(F.stddev_pop("prior"), F.lit(1e-6)).alias("s"))
-    out = lists.join(F.broadcast(fitted))
+    out = with_row(lists, fitted)
     return V.rounded(out.select("query_id", "cand_key", S.standardised(F.col("prior"), F.col("m"), F.col("s"), 1.5).alias("z")))
 
 

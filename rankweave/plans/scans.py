@@ -7,11 +7,9 @@ from pyspark.sql import functions as F
 
 from rankweave.operators import audits as A
 from rankweave.operators import metrics as M
-from rankweave.operators import pairs as X
 from rankweave.operators import pools as P
 from rankweave.plans import views as V
 from rankweave.plans.registry import Tables, cte, query
-from rankweave.scale import ranked
 from rankweave.session import shared_dir
 from rankweave.sources import candidates as C
 from rankweave.sources import results as R
@@ -207,7 +205,7 @@ FROM wide_historical w JOIN ids USING (query_id) JOIN top_historical t ON t.quer
 def s10(t: Tables):
     """Everything known about the largest order of each class: lists and ranks."""
     ids = t.orders.groupBy("o_orderpriority").agg(F.max_by("o_orderkey", "o_totalprice").alias("query_id")).select("query_id")
-    wide = V.wide_ranks(t, "historical", (42,)).join(F.broadcast(ids), "query_id", "left_semi")
+    wide = V.wide_ranks(t, "historical", (42,)).join(ids, "query_id", "left_semi")
     lists = V.lists(t, "historical").select("query_id", "cand_key", "rank", F.round("prior", 6).alias("prior"))
     return wide.select("query_id", "truth_key", "prior_rank", "list_len", "baseline_42", "augmented_42").join(lists, "query_id")
 

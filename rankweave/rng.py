@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 # A public 32-bit integer mixing function (xor-shift and multiply, twice).
 MULTIPLIER = 73244475

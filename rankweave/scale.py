@@ -18,7 +18,7 @@ from pyspark.sql.window import Window
 HOT_ROWS_CONF = "spark.rankweave.hotGroupRows"
 SMALL_BYTES_CONF = "spark.rankweave.smallInputBytes"
 DEFAULT_HOT_ROWS = 1_000_000
-DEFAULT_SMALL_BYTES = 48 * 1024 * 1024
+DEFAULT_SMALL_BYTES = 16 * 1024 * 1024
 # Upper bound on pieces over all huge groups together; keeps the broadcast cut table
 # and piece totals bounded whatever the input size.
 MAX_PIECES = 4096
@@ -167,6 +167,17 @@ def running(
     return tagged.withColumns(columns).drop(*carry)
 
 
+def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row aggregate to every row, as a scalar subquery.
+
+    The value is computed once and used as a constant: no join takes place.  Without a row
+    the columns are null.
+    """
+    packed = one_row.select(F.struct(*one_row.columns).alias("_row")).scalar()
+    return df.withColumn("_row", packed).select(
+        *[F.col(f"`{c}`") for c in df.columns], *[F.col("_row")[c].alias(c) for c in one_row.columns])
+
+
 def ranked(
     df: DataFrame,
     keys: Sequence[str],
@@ -221,7 +232,7 @@ def quantiles(
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
     upto = running(counts, keys, [F.col(value)], {"_upto": ("sum", F.col("_t"))})
     sizes = counts.groupBy(*keys).agg(F.sum("_t").alias("_n"))
-    placed = upto.join(sizes, keys) if keys else upto.join(F.broadcast(sizes))
+    placed = upto.join(sizes, keys) if keys else with_row(upto, sizes)
 
     def at(position: Column) -> Column:
         covers = (F.col("_upto") - F.col("_t") < position) & (position <= F.col("_upto"))
