@@ -353,34 +353,44 @@ def three_way_bootstrap(
     return with_row(point, interval(estimates, "estimate"))
 
 
-def _paired_draws(joint: DataFrame, metrics: Sequence[str], seeds: Sequence[int], draws: int, seed: int, weight_seeds: tuple[int, int]):
-    """Totals and per-draw sums of old and new effects with separate seed weights."""
+def _paired_draws(joint: DataFrame, metrics: Sequence[str], seeds: Sequence[int], draws: int, seed: int,
+                  weight_seeds: tuple[int, int], by: Sequence[str] = ()):
+    """Totals and per-draw sums of old and new effects with separate seed weights.
+
+    Groups with the same clusters get the same cluster draws.
+    """
     values = [f"{side}_{m}" for side in ("new", "old", "loss") for m in metrics]
-    totals = effect_totals(joint, values, seeds, per_seed=True)
+    totals = effect_totals(joint, values, seeds, by=by, per_seed=True)
     columns = [f"s_{side}_{m}_{s}" for side in ("new", "old") for m in metrics for s in seeds]
-    sums = resampled_sums(totals, ["n", *[f"s_loss_{m}" for m in metrics], *columns], draws, seed)
+    sums = resampled_sums(totals, ["n", *[f"s_loss_{m}" for m in metrics], *columns], draws, seed, by)
     sums = seed_weights(seed_weights(sums, "a", seeds, weight_seeds[0]), "b", seeds, weight_seeds[1])
     return totals, sums
 
 
 def transfer_summary(
-    joint: DataFrame, metrics: Sequence[str], seeds: Sequence[int], draws: int, seed: int, weight_seeds: tuple[int, int],
+    joint: DataFrame, metrics: Sequence[str], seeds: Sequence[int], draws: int, seed: int,
+    weight_seeds: tuple[int, int], by: Sequence[str] = ("pool",),
 ) -> DataFrame:
-    """Old and new effect, their difference, and its cluster and crossed intervals.
+    """Old and new effect, their difference, and its cluster and crossed intervals, per group and metric.
 
     Both pools share the cluster draw; each has its own seed draw.
     """
-    totals, sums = _paired_draws(joint, metrics, seeds, draws, seed, weight_seeds)
-    out = None
-    for m in metrics:
+    totals, sums = _paired_draws(joint, metrics, seeds, draws, seed, weight_seeds, by)
+    keys = [*by, "metric"]
+
+    def estimates(m: str) -> Column:
         new, old = weighted_mean(f"s_new_{m}", "b", seeds), weighted_mean(f"s_old_{m}", "a", seeds)
-        draws_of = sums.select("draw", (F.col(f"s_loss_{m}") / F.col("n")).alias("plain"), (new - old).alias("crossed"))
-        point = totals.agg(F.sum("n").alias("n"), *[(F.sum(f"s_{side}_{m}") / F.sum("n")).alias(name)
-                                                    for side, name in (("old", "old_effect"), ("new", "new_effect"), ("loss", "loss"))])
-        crossed = interval(draws_of, "crossed").withColumnsRenamed({"low": "crossed_low", "high": "crossed_high"})
-        row = with_row(with_row(point, interval(draws_of, "plain")), crossed).withColumn("metric", F.lit(m))
-        out = row if out is None else out.unionByName(row)
-    return out
+        return F.struct(F.lit(m).alias("metric"), (F.col(f"s_loss_{m}") / F.col("n")).alias("plain"), (new - old).alias("crossed"))
+
+    drawn = sums.select(*by, F.explode(F.array(*[estimates(m) for m in metrics])).alias("e")).select(*by, "e.*")
+    ends = F.array(F.lit(LOW), F.lit(HIGH))
+    intervals = drawn.groupBy(*keys).agg(F.percentile("plain", ends).alias("p"), F.percentile("crossed", ends).alias("c")).select(
+        *keys, F.col("p")[0].alias("low"), F.col("p")[1].alias("high"), F.col("c")[0].alias("crossed_low"), F.col("c")[1].alias("crossed_high"))
+    sides = (("old", "old_effect"), ("new", "new_effect"), ("loss", "loss"))
+    point = totals.groupBy(*by).agg(F.sum("n").alias("n"), F.array(*[F.struct(
+        F.lit(m).alias("metric"), *[(F.sum(f"s_{side}_{m}") / F.sum("n")).alias(name) for side, name in sides]) for m in metrics]).alias("e"))
+    point = point.select(*by, "n", F.explode("e").alias("e")).select(*by, "n", "e.*")
+    return point.join(intervals, keys)
 
 
 def pool_difference(joint: DataFrame, metric: str, seeds: Sequence[int], draws: int, seed: int, weight_seeds: tuple[int, int]) -> DataFrame:

@@ -148,12 +148,8 @@ FROM boot_{p} d JOIN w_31 a ON a.draw = d.draw JOIN w_32 b ON b.draw = d.draw"""
 @query("r04_transfer_intervals", _TRANSFER)
 def r04(t: Tables):
     """Change of the effect between pools: shared clusters, separate seeds per pool."""
-    joint = joint_effects(t)
-    parts = None
-    for pool in _OTHERS:
-        part = RS.transfer_summary(joint.filter(F.col("pool") == pool), METRICS, SEEDS, DRAWS, 23, (31, 32)).withColumn("pool", F.lit(pool))
-        parts = part if parts is None else parts.unionByName(part)
-    return V.rounded(parts.withColumn("n", F.col("n").cast("long")))
+    out = RS.transfer_summary(joint_effects(t), METRICS, SEEDS, DRAWS, 23, (31, 32))
+    return V.rounded(out.withColumn("n", F.col("n").cast("long")))
 
 
 @query("r05_pool_difference", f"""

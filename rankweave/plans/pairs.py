@@ -14,6 +14,7 @@ from rankweave.plans import views as V
 from rankweave.plans.registry import Tables, cte, query
 from rankweave.rng import random_sql
 from rankweave.scale import with_row
+from rankweave.session import materialise
 
 SEED, K = 42, 5
 
@@ -178,5 +179,5 @@ def m07(t: Tables):
 def m08(t: Tables):
     """Odds ratios of an improvement by list properties and class."""
     rows = V.effects(t).groupBy("query_id", "class", "list_len", "prior_rank").agg(F.avg("d_mrr").alias("d"))
-    frame = rows.filter(F.abs("d") > 1e-12).withColumn("improved", F.col("d") > 0)
+    frame = materialise(rows.withColumn("improved", F.col("d") > 0))
     return V.rounded(X.fit_logit(frame, "improved", ["list_len", "prior_rank"], "class"), 4)
