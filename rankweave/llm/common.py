@@ -44,4 +44,23 @@ def identity(*columns: Column) -> list[Column]:
     return [F.xxhash64(*columns).alias("_a"), F.xxhash64(F.lit(1), *columns).alias("_b")]
 
 
-__all__ = ["BATCH_BYTES", "identity", "materialise", "pack", "prepare", "table", "unpack"]
+def labelled_sample(rows: DataFrame, label: str, unit: Column, rows_per_label: int, labels: int) -> DataFrame:
+    """About ``rows_per_label`` rows of each label: those whose hashed ``unit`` lies in the share that gives
+    that many.  Counts of the labels, at most ``labels`` of them, reach the driver; more are refused.
+
+    No group is gathered anywhere: each row decides for itself, and the result is bounded by
+    ``labels * rows_per_label`` up to the binomial spread.
+    """
+    counts = rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).limit(labels + 1).collect()
+    if len(counts) > labels:
+        raise ValueError(f"more than {labels} labels")
+    if not counts:
+        return rows.limit(0)
+    share = F.lit(0.0)
+    for row in counts:
+        share = F.when(F.col(label) == F.lit(row[0]), F.lit(min(1.0, rows_per_label / row["n"]))).otherwise(share)
+    place = F.pmod(F.xxhash64(F.lit(7), unit), F.lit(1 << 40)) / float(1 << 40)
+    return rows.filter(place < share)
+
+
+__all__ = ["BATCH_BYTES", "identity", "labelled_sample", "materialise", "pack", "prepare", "table", "unpack"]

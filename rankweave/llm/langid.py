@@ -17,9 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from rankweave.llm.common import pack, unpack
+from rankweave.llm.common import labelled_sample, pack, unpack
 
 UNDETERMINED = "und"
 # The documented bounds of the sample: rows of a language, characters of a row, symbols of all languages.
@@ -27,6 +26,7 @@ SAMPLE_ROWS = 64
 SAMPLE_CHARS = 1_500
 SAMPLE_SYMBOLS = 60_000
 TOTAL_SYMBOLS = 1_000_000
+MAX_LANGUAGES = 500
 PIECE = 192
 _ALPHABET = 120
 _GAP, _OTHER, _PAD = 0, 1, 2
@@ -154,17 +154,16 @@ def parse(parser: Parser, texts: list[str | None]) -> list[tuple[str, float]]:
 
 
 def sample(docs: DataFrame, id_column: str, text_column: str, label: str) -> dict[str, list[str]]:
-    """Slices of at most SAMPLE_CHARS characters from SAMPLE_ROWS rows of each label, chosen by hash."""
+    """Slices of at most SAMPLE_CHARS characters from about SAMPLE_ROWS rows of each label, chosen by hash."""
     text = F.col("row")[text_column]
     name = F.col("row")[id_column].cast("string")
-    place = F.pmod(F.xxhash64(F.lit(7), name), F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1)))
+    place = F.pmod(F.xxhash64(F.lit(3), name), F.greatest(F.length(text) - SAMPLE_CHARS + 1, F.lit(1)))
     rows = pack(docs).filter(F.col("row")[label].isNotNull() & text.rlike("\\p{L}")).select(
-        F.col("row")[label].cast("string").alias("label"), F.xxhash64(name, F.lit(3)).alias("h"),
+        F.col("row")[label].cast("string").alias("label"), name.alias("name"),
         text.substr((place + 1).cast("int"), F.lit(SAMPLE_CHARS)).alias("slice"))
-    chosen = rows.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("h", "slice"))).filter(
-        F.col("r") <= SAMPLE_ROWS).orderBy("label", "r").collect()
+    chosen = labelled_sample(rows, "label", F.col("name"), SAMPLE_ROWS, MAX_LANGUAGES).collect()
     found: dict[str, list[str]] = {}
-    for row in chosen:
+    for row in sorted(chosen, key=lambda r: (r["label"], r["name"] or "", r["slice"])):
         found.setdefault(row["label"], []).append(row["slice"])
     return found
 
