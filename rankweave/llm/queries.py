@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import langid, line_dedup, mixing, segment, simhash
-from rankweave.llm.common import table
+from rankweave.llm import ann, chat, langid, line_dedup, mixing, secret_scan, segment, simhash, toxicity
+from rankweave.llm.common import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,12 +48,78 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+@query()
+def op2_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector, among all."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20)
+
+
+@query("""
+WITH t AS (SELECT conv_id, list(struct_pack(role := coalesce(role, 'unknown'), text := coalesce(text, ''))
+                                ORDER BY turn, role, text) AS c FROM conversations GROUP BY conv_id),
+l AS (SELECT conv_id, c, list_max([i FOR i IN range(1, len(c) + 1) IF c[i].role = 'assistant']) AS last FROM t),
+b AS (SELECT conv_id, c, c[last].text AS reply FROM l WHERE last IS NOT NULL),
+s AS (SELECT l.conv_id, l.c, CASE WHEN l.last IS NULL OR b.conv_id IS NULL THEN l.c ELSE
+        [struct_pack(role := l.c[i].role, text := CASE WHEN i = l.last THEN b.reply ELSE l.c[i].text END)
+         FOR i IN range(1, len(l.c) + 1)] END AS r
+      FROM l LEFT JOIN b ON b.conv_id = xor(l.conv_id, 1)),
+n AS (SELECT *, coalesce(list_min([i - 1 FOR i IN range(1, len(c) + 1) IF c[i] <> r[i]]), len(c)) AS n FROM s),
+m AS (SELECT conv_id, n,
+        array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10) FOR x IN c[1:n]], '') AS prompt,
+        c[n + 1:] AS c, r[n + 1:] AS r FROM n),
+o AS (SELECT *,
+        [CAST(length(prompt) + coalesce(list_sum([length(y.role) + length(y.text) + 13 FOR y IN c[1:i - 1]]), 0) + length(c[i].role) + 5 AS BIGINT)
+         FOR i IN range(1, len(c) + 1)] AS cs,
+        [CAST(length(prompt) + coalesce(list_sum([length(y.role) + length(y.text) + 13 FOR y IN r[1:i - 1]]), 0) + length(r[i].role) + 5 AS BIGINT)
+         FOR i IN range(1, len(r) + 1)] AS rs FROM m),
+p AS (SELECT conv_id, n, prompt,
+        coalesce(array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10) FOR x IN c], ''), '') AS chosen,
+        coalesce(array_to_string(['<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10) FOR x IN r], ''), '') AS rejected,
+        coalesce(array_to_string([cs[i] || ':' || (cs[i] + length(c[i].text)) FOR i IN range(1, len(c) + 1) IF c[i].role = 'assistant'], ','), '') AS chosen_mask,
+        coalesce(array_to_string([rs[i] || ':' || (rs[i] + length(r[i].text)) FOR i IN range(1, len(r) + 1) IF r[i].role = 'assistant'], ','), '') AS rejected_mask
+      FROM o)
+SELECT conv_id AS pair_id, CAST(n AS BIGINT) AS n_common, coalesce(prompt, '') AS prompt, chosen, rejected, chosen_mask, rejected_mask,
+       chosen <> rejected AND chosen_mask <> '' AND rejected_mask <> '' AS usable
+FROM p
+""")
+def op3_chat(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation against itself with its partner's last reply, as prompt and masked completions."""
+    chosen, rejected = chat.swapped_replies(table(spark, folder, "conversations"))
+    spans = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["start"], x["end"])), ",").alias(c)
+    return chat.preference(chosen, rejected).select(
+        "pair_id", "n_common", "prompt", "chosen", "rejected", spans("chosen_mask"), spans("rejected_mask"), "usable")
+
+
 @query()
 def op4_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query()
+def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, learned from four fifths of the ids, and the threshold of its language."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    known = table(spark, folder, "labels").select("doc_id", "toxic").filter(remainder(5) != 0)
+    model = toxicity.train(docs.join(known, "doc_id"))
+    scored = materialise(toxicity.apply(docs, model).select(
+        "doc_id", "lang", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted"))
+    # Language decides the extra flag alone, never the score.
+    limits = toxicity.thresholds(scored.filter("NOT held_out").join(known, "doc_id"), "lang", "toxic")
+    limits = materialise(limits.withColumnRenamed("lang", "_lang"))
+    joined = scored.join(limits, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    limit = F.coalesce("threshold", F.lit(0.5))
+    return joined.select("doc_id", "held_out", "score", "predicted", limit.alias("threshold"), (F.col("score") >= limit).cast("int").alias("flagged"))
+
+
+@query()
+def op6_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets of every document, each distinct text scanned once."""
+    found, _ = secret_scan.scan(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 @query()
 def op7_language(spark: SparkSession, folder: str) -> DataFrame:
     """Predicted language of every document, learned from three quarters of the ids."""
