@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import ann, chat, langid, line_dedup, mixing, secret_scan, segment, simhash, toxicity
+from rankweave.llm import ann, chat, langid, line_dedup, minhash, mixing, secret_scan, segment, simhash, toxicity
 from rankweave.llm.common import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +135,12 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.schedule(table(spark, folder, "documents").select("doc_id", "source"))
 
 
+@query()
+def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and how alike they are."""
+    return minhash.compare_with_next(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query()
 def op10_segmentation(spark: SparkSession, folder: str) -> DataFrame:
     """Best segmentation of every text, with scores and digests of the N best."""
