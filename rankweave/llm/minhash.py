@@ -15,7 +15,6 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from rankweave.llm.common import materialise, pack
 from rankweave.llm.components import connect
@@ -24,6 +23,7 @@ PERMUTATIONS = 64
 BANDS = 16
 SHINGLE = 5
 THRESHOLD = 0.8
+BROADCAST_IDS = 2_000_000
 _BLOCK = 2_048
 _CACHED = 400_000
 _EMPTY = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
@@ -77,50 +77,59 @@ def edited(text: str, following: str) -> str:
     return text[:len(text) - k] + following[:k]
 
 
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, text) to (id, zstd of the text as UTF-8)."""
+    made = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        texts = [made.compress((t or "").encode("utf-8", "replace")) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], ["id", "z"])
+
+
 def _deal(bounds: np.ndarray):
-    """Rows to the range of ids they fall in; a range's first id also goes to the range before."""
+    """Rows (id, z, class_id) to the range of ids they fall in; a range's first id also goes to the range before."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack_ = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            ids = batch.column(0)
-            keys = ids.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-            texts = pa.array([pack_.compress((t or "").encode("utf-8", "replace")) for t in batch.column(1).to_pylist()], pa.binary())
+            keys = batch.column(0).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
             place = np.searchsorted(bounds, keys, "right") - 1
-            first = np.flatnonzero(keys == bounds[place])
-            rows = pa.RecordBatch.from_arrays([pa.array(place), pa.array(np.zeros(len(keys), bool)), ids, texts], ["p", "halo", "id", "z"])
-            yield rows
-            if len(first):
-                halo = rows.take(pa.array(first))
-                yield pa.RecordBatch.from_arrays([pa.array((place[first] - 1) % len(bounds)), pa.array(np.ones(len(first), bool)),
-                                                  halo.column(2), halo.column(3)], ["p", "halo", "id", "z"])
+            # Texts only: a class is needed in its own range alone.
+            first = np.flatnonzero((keys == bounds[place]) & batch.column(1).is_valid().to_numpy(zero_copy_only=False))
+            for rows, p, halo in ((batch, place, False), (batch.take(pa.array(first)), (place[first] - 1) % len(bounds), True)):
+                yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(np.full(len(p), halo)), *rows.columns], ["p", "halo", "id", "z", "class_id"])
     return run
 
 
+_RESULT = pa.schema([
+    ("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+    ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("class_id", pa.int64())])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each row against the row after it in its range, as they arrive in order."""
-    unpack_ = zstandard.ZstdDecompressor()
-    kind = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
-                      ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
-    held = None
+    """Each text against the one after it in its range, as they arrive in order; its class comes before it."""
+    plain = zstandard.ZstdDecompressor()
+    held, last_class = None, (None, None)
     for batch in batches:
         out = []
-        for p, halo, name, z in zip(*[batch.column(i).to_pylist() for i in range(4)]):
-            text = unpack_.decompress(z).decode()
+        for p, halo, name, z, class_id in zip(*[batch.column(i).to_pylist() for i in range(5)]):
+            if z is None:
+                last_class = (name, class_id)
+                continue
+            text = plain.decompress(z).decode()
             made = signature(shingles(text))
             if held is not None and held[0] == p:
-                _, before, own, mark = held
+                _, before, own, mark, known = held
                 changed = edited(own, text)
                 other = signature(shingles(changed))
                 out.append((before, len(own), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), text_of(mark),
-                            text_of(other), likeness(mark, other), likeness(mark, made)))
-            held = None if halo else (p, name, text, made)
-        yield pa.RecordBatch.from_pylist([dict(zip(kind.names, row)) for row in out], kind)
+                            text_of(other), likeness(mark, other), likeness(mark, made), known))
+            held = None if halo else (p, name, text, made, last_class[1] if last_class[0] == name else name)
+        yield pa.RecordBatch.from_pylist([dict(zip(_RESULT.names, row)) for row in out], _RESULT)
 
 
-def compare_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Per row, in order of id: fingerprint, that of the edited text (see ``edited``), and likenesses.
+def compare_with_next(docs: DataFrame, classes: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """Per row, in order of id: fingerprint, that of the edited text (see ``edited``), likenesses, ``class_id``.
 
-    The next of the last row is the first.  A null text counts as empty, a null id comes first, rows of
+    ``classes`` has (id, class_id) for rows in a class of several; others are their own.  The next of the
+    last row is the first.  A null text counts as empty, a null id comes first and has no class, rows of
     one id follow each other in a fixed order.  An empty table gives no rows.
 
     Ranges of ids are cut by Spark's range partitioning; their first ids (one per partition) reach the
@@ -129,35 +138,84 @@ def compare_with_next(docs: DataFrame, id_column: str = "doc_id", text_column: s
     """
     row = F.col("row")
     base = pack(docs).select(row[id_column].cast("long").alias("id"), row[text_column].alias("text"))
-    dealt = materialise(base.select("id").repartitionByRange(F.asc_nulls_first("id")).select("id", F.spark_partition_id().alias("p")))
-    lows = [r["low"] for r in dealt.select("p", F.coalesce("id", F.lit(-(1 << 63))).alias("i")).groupBy("p").agg(F.min("i").alias("low")).collect()]
-    schema = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    low = F.coalesce("id", F.lit(-(1 << 63)))
+    cut = materialise(base.select(low.alias("id")).repartitionByRange("id").select("id", F.spark_partition_id().alias("p")))
+    lows = [r["low"] for r in cut.groupBy("p").agg(F.min("id").alias("low")).collect()]
+    kind = ("id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+            "near_edited double, near_next double, class_id long")
     if not lows:
-        return docs.sparkSession.createDataFrame([], schema).withColumnRenamed("id", id_column)
-    spread = base.mapInArrow(_deal(np.array(sorted(set(lows)), np.int64)), "p long, halo boolean, id long, z binary")
-    placed = spread.repartition("p").sortWithinPartitions("p", "halo", F.asc_nulls_first("id"), "z")
-    return placed.mapInArrow(_compare, schema).withColumnRenamed("id", id_column)
+        return docs.sparkSession.createDataFrame([], kind).withColumnRenamed("id", id_column)
+    texts = base.mapInArrow(_compressed, "id long, z binary").withColumn("class_id", F.lit(None).cast("long"))
+    marks = classes.select("id", F.lit(None).cast("binary").alias("z"), "class_id")
+    spread = texts.unionByName(marks).mapInArrow(
+        _deal(np.array(sorted(set(lows)), np.int64)), "p long, halo boolean, id long, z binary, class_id long")
+    placed = spread.repartition("p").sortWithinPartitions("p", "halo", F.asc_nulls_first("id"), F.asc_nulls_first("z"))
+    return placed.mapInArrow(_compare, kind).withColumnRenamed("id", id_column)
 
 
 def sketched(text: Column) -> Column:
-    """Struct of a text: ``set_a``, ``set_b`` (128-bit hash of its words in order), ``bands`` (one 64-bit key per band)."""
+    """Struct of a text: ``set_a``, ``set_b`` (128-bit hash of its shingle set), ``bands`` (one 64-bit key per band)."""
     @F.arrow_udf("set_a long, set_b long, bands array<long>")
     def apply(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts.to_pylist():
             runs = np.unique(shingles(t))
             made = signature(runs).reshape(BANDS, -1)
-            whole = xxhash.xxh128_digest(runs.tobytes())
+            a, b = np.frombuffer(xxhash.xxh128_digest(runs.tobytes()), np.int64)
             keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(made)]
-            a, b = np.frombuffer(whole, np.int64)
             rows.append({"set_a": int(a), "set_b": int(b), "bands": np.array(keys, np.uint64).view(np.int64).tolist()})
         return pa.array(rows, pa.struct([("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))]))
     return apply.asNondeterministic()(text)
 
 
-def _sets(text: Column) -> Column:
-    """Distinct shingle hashes of each text."""
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def apply(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingles(t)).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
-    return apply.asNondeterministic()(text)
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, zu, zv) to the pairs whose shingle sets have a Jaccard similarity of THRESHOLD or more."""
+    plain = zstandard.ZstdDecompressor()
+    known: dict[int, np.ndarray] = {}
+
+    def runs(name, z):
+        if name not in known:
+            if len(known) > 64:
+                known.clear()
+            known[name] = np.unique(shingles(plain.decompress(z).decode()))
+        return known[name]
+
+    for batch in batches:
+        keep = []
+        for u, v, zu, zv in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            x, y = runs(u, zu), runs(v, zv)
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            keep.append(both >= THRESHOLD * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+
+def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, class_id) of rows in a class of several: links of Jaccard similarity 0.8 or more on five-word shingles.
+
+    Texts of one shingle set are one item, named by its smallest id.  Items that share a signature band
+    meet in the band's bucket, where each is compared with the bucket's smallest item only:
+    one pair per item and band, never all pairs of a bucket; sixteen bands give an item up to sixteen partners.  Null ids take no part; texts
+    without words are one item.  If an id has several texts, one of them stands for it in a comparison.
+    """
+    row = F.col("row")
+    base = pack(docs).select(row[id_column].cast("long").alias("id"), row[text_column].alias("text")).filter("id IS NOT NULL")
+    made = materialise(base.withColumn("s", sketched(F.col("text"))).select("id", "s.*"))
+    items = materialise(made.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
+    buckets = items.select("rep", F.explode("bands").alias("band"))
+    least = materialise(buckets.groupBy("band").agg(F.min("rep").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    starred = buckets.join(least.select("band", "u"), "band").filter("rep > u").select("u", F.col("rep").alias("v"))
+    pairs = materialise(starred.select("u", "v").distinct())
+    wanted = materialise(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+    # Ids of checked size filter the texts where they are read; more of them meet the texts in a join.
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = base.join(wanted, "id", "left_semi").mapInArrow(_compressed, "id long, z binary")
+    single = materialise(texts.dropDuplicates(["id"]))
+    left = pairs.join(single.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u")
+    both = left.join(single.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v").select("u", "v", "zu", "zv")
+    linked = connect(both.mapInArrow(_verified, "u long, v long"), "u", "v")
+    rooted = materialise(items.select("set_a", "set_b", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
+        "set_a", "set_b", F.coalesce("root", "rep").alias("class_id")))
+    members = made.select("id", "set_a", "set_b").join(rooted, ["set_a", "set_b"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
+    # A class's smallest id needs no row: it is its own class.
+    return members.filter("id <> class_id")

@@ -137,8 +137,9 @@ def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
 
 @query()
 def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
-    """Fingerprints of every text and its edited text, and how alike they are."""
-    return minhash.compare_with_next(table(spark, folder, "documents").select("doc_id", "text"))
+    """Fingerprints of every text and its edited text, how alike they are, and near-duplicate classes."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return minhash.compare_with_next(docs, minhash.near_duplicates(docs))
 
 
 @query()
