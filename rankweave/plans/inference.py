@@ -44,7 +44,7 @@ def draws_sql(name: str, totals: str, values: Sequence[str], draws: int, seed: i
     part = f"PARTITION BY {', '.join(strata)} " if strata else ""
     cte(f"{name}_idx", f"SELECT *, row_number() OVER ({part}ORDER BY cluster) - 1 AS idx, count(*) OVER ({part}) AS size FROM {totals}")
     cte(f"{name}_slots", f"""
-SELECT {keys}draw, r % size AS idx FROM (SELECT {keys}size, draw, {random_sql("r", seed, "0", "draw", "slot")}
+SELECT {keys}draw, r % size AS idx FROM (SELECT {keys}size, draw, {random_sql("r", seed, "1", "draw", "slot")}
   FROM (SELECT {keys}size, idx AS slot, unnest(range(0, {draws})) AS draw FROM {name}_idx))""")
     using = "".join(f"s.{c} = i.{c} AND " for c in strata)
     cte(name, f"""

@@ -9,6 +9,7 @@ joined by their totals.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -19,10 +20,12 @@ HOT_ROWS_CONF = "spark.rankweave.hotGroupRows"
 SMALL_BYTES_CONF = "spark.rankweave.smallInputBytes"
 DEFAULT_HOT_ROWS = 1_000_000
 DEFAULT_SMALL_BYTES = 16 * 1024 * 1024
-# Upper bound on pieces over all huge groups together; keeps the broadcast cut table
-# and piece totals bounded whatever the input size.
-MAX_PIECES = 4096
+# Cut points and piece totals are broadcast up to this many pieces; beyond it they are joined, and AQE
+# splits the large side.  A piece has the same size either way.
+BROADCAST_PIECES = 4096
 _OVERSAMPLE = 8
+# Logical nodes whose output can be any number of times their input: no size estimate sees through them.
+_FAN_OUT = re.compile(r"\b(Generate|Expand|MapIn\w+|FlatMap\w+|PythonUDTF|ScriptTransform\w*)\b")
 
 
 def _conf(df: DataFrame, key: str, default: int) -> int:
@@ -39,9 +42,27 @@ def estimated_bytes(df: DataFrame) -> int | None:
 
 
 def is_small(df: DataFrame) -> bool:
-    """True when the whole input is small enough for any grouping of it."""
+    """True when the whole input is small enough for any grouping of it.
+
+    Only where Catalyst's estimate bounds the input: a plan that multiplies rows never counts as small.
+    """
     size = estimated_bytes(df)
-    return size is not None and size <= _conf(df, SMALL_BYTES_CONF, DEFAULT_SMALL_BYTES)
+    if size is None or size > _conf(df, SMALL_BYTES_CONF, DEFAULT_SMALL_BYTES):
+        return False
+    return not _FAN_OUT.search(df._jdf.queryExecution().optimizedPlan().toString())
+
+
+def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which nulls meet nulls; the columns of ``left`` keep their names."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    condition = F.lit(True)
+    for k in keys:
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_right_{k}"))
+    return left.join(renamed, condition, how).drop(*[f"_right_{k}" for k in keys])
+
+
+def _few(df: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(df) if few else df
 
 
 def hot_limit(df: DataFrame, keys: Sequence[str]) -> int | None:
@@ -52,29 +73,26 @@ def hot_limit(df: DataFrame, keys: Sequence[str]) -> int | None:
     limit = _conf(df, HOT_ROWS_CONF, DEFAULT_HOT_ROWS)
     if is_small(df):
         return None
-    row = (
-        df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-        .agg(F.max("n").alias("largest"), F.sum("n").alias("total"))
-        .first()
-    )
-    limit = max(limit, (row["total"] or 0) // MAX_PIECES)
+    row = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("largest")).first()
     return limit if (row["largest"] or 0) > limit else None
 
 
-def _hot_cuts(df: DataFrame, keys: list[str], order: Column, limit: int) -> DataFrame:
-    """Ascending cut points per huge group: about one per ``limit`` rows."""
+def _hot_cuts(df: DataFrame, keys: list[str], order: Column, limit: int) -> tuple[DataFrame, bool]:
+    """Ascending cut points per huge group, about one per ``limit`` rows, and whether they are few."""
     hot = (
         df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         .filter(F.col("_n") > limit).select(*keys)
     )
     step = max(1, limit // _OVERSAMPLE)
     sample = df.withColumn("_o", order).filter(F.pmod(F.xxhash64("_o", *keys), F.lit(step)) == 0)
-    # At most total/limit <= MAX_PIECES huge groups, so both broadcasts are bounded.
+    pieces = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > limit).agg(
+        F.sum(F.ceil(F.col("_n") / limit)).alias("p")).first()["p"] or 0
+    few = pieces <= BROADCAST_PIECES
     return (
-        sample.join(F.broadcast(hot), keys, "left_semi")
+        meet(sample, _few(hot, few), keys, "left_semi")
         .groupBy(*keys).agg(F.array_sort(F.collect_list("_o")).alias("_s"))
         .select(*keys, F.filter("_s", lambda x, i: i % _OVERSAMPLE == 0).alias("_cuts"))
-    )
+    ), few
 
 
 def _piece(cuts: Column, row: Column) -> Column:
@@ -89,14 +107,14 @@ def _piece(cuts: Column, row: Column) -> Column:
         )
 
     start = F.struct(F.lit(0).alias("lo"), F.size(cuts).alias("hi"))
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(16)), start, narrow, lambda s: s["lo"])
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(32)), start, narrow, lambda s: s["lo"])
     return F.when(cuts.isNull(), F.lit(0)).otherwise(found)
 
 
 _FOLD = {"count": F.sum, "sum": F.sum, "max": F.max, "min": F.min}
 _JOIN = {
     "count": lambda carry, here: F.coalesce(carry, F.lit(0)) + here,
-    "sum": lambda carry, here: F.coalesce(carry, F.lit(0)) + here,
+    "sum": lambda carry, here: F.coalesce(carry + here, carry, here),
     "max": lambda carry, here: F.greatest(carry, here),
     "min": lambda carry, here: F.least(carry, here),
 }
@@ -135,12 +153,12 @@ def running(
         return source.withColumns(columns).drop("_all")
 
     row = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])
-    cuts = _hot_cuts(source, keys, row, limit)
-    tagged = source.withColumn("_o", row).join(F.broadcast(cuts), keys, "left")
+    cuts, few = _hot_cuts(source, keys, row, limit)
+    tagged = meet(source.withColumn("_o", row), _few(cuts, few), keys, "left")
     tagged = tagged.withColumn("_piece", _piece(F.col("_cuts"), F.col("_o"))).drop("_cuts")
 
     totals = (
-        source.withColumn("_o", row).join(F.broadcast(cuts), keys, "inner")
+        meet(source.withColumn("_o", row), _few(cuts, few), keys)
         .withColumn("_piece", _piece(F.col("_cuts"), F.col("_o")))
         .groupBy(*keys, "_piece")
         .agg(F.count(F.lit(1)).alias("_n"),
@@ -154,7 +172,7 @@ def running(
         *[_FOLD[how](f"_t_{name}").over(earlier).alias(f"_c_{name}")
           for name, (how, _) in outputs.items()],
     )
-    tagged = tagged.join(F.broadcast(carried), [*keys, "_piece"], "left")
+    tagged = meet(tagged, _few(carried, few), [*keys, "_piece"], "left")
     piece = Window.partitionBy(*keys, "_piece")
     inside = piece.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     columns = {
@@ -207,10 +225,10 @@ def midranked(
     cumulated = running(counts, keys, [F.col("_v")], {"_upto": ("sum", F.col("_t"))})
     ranks = cumulated.select(
         *keys, "_v", (F.col("_upto") - F.col("_t") + (F.col("_t") + 1) / F.lit(2.0)).alias(name))
-    out = source.join(ranks, [*keys, "_v"])
+    out = meet(source, ranks, [*keys, "_v"])
     if size:
         sizes = source.groupBy(*keys).agg(F.count(F.lit(1)).alias(size))
-        out = out.join(sizes, keys) if keys else out.withColumn(size, F.lit(df.count()))
+        out = meet(out, sizes, keys) if keys else with_row(out, sizes)
     return out.drop("_v")
 
 
@@ -232,7 +250,7 @@ def quantiles(
     counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
     upto = running(counts, keys, [F.col(value)], {"_upto": ("sum", F.col("_t"))})
     sizes = counts.groupBy(*keys).agg(F.sum("_t").alias("_n"))
-    placed = upto.join(sizes, keys) if keys else with_row(upto, sizes)
+    placed = meet(upto, sizes, keys) if keys else with_row(upto, sizes)
 
     def at(position: Column) -> Column:
         covers = (F.col("_upto") - F.col("_t") < position) & (position <= F.col("_upto"))

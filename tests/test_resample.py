@@ -42,7 +42,7 @@ def test_generator_is_spread_evenly():
 def brute_sums(frame, draws, seed):
     size, out = len(frame), []
     for d in range(draws):
-        picked = np.array([int(uniform(seed, 0, d, s)) % size for s in range(size)])
+        picked = np.array([int(uniform(seed, 1, d, s)) % size for s in range(size)])
         out.append(frame.iloc[picked][["s_a", "n"]].sum().to_numpy())
     return np.array(out)
 

@@ -68,6 +68,42 @@ def test_quantiles(hot, keys):
         assert np.allclose(row.q, np.quantile(values, [0.0, 0.25, 0.5, 0.9, 1.0]))
 
 
+def with_nulls(seed=4):
+    """As ``skewed``, with a huge group under a null key and null values in every group."""
+    frame = skewed(seed)
+    keys = frame["k"].astype("Int64").mask(frame["k"] == 1)
+    values = frame["v"].mask(frame["i"] % 7 == 0)
+    return [(None if pd.isna(k) else int(k), None if pd.isna(v) else float(v), int(i)) for k, v, i in zip(keys, values, frame["i"])]
+
+
+@pytest.mark.parametrize("keys", [["k"], []])
+def test_nulls_give_the_same_on_both_paths(hot, keys):
+    df = hot.createDataFrame(with_nulls(), "k long, v double, i long")
+
+    def answers():
+        order = [F.col("v").isNull().cast("int"), F.col("v"), F.col("i")]
+        found = [scale.ranked(df, keys, order, "r", "n"), scale.midranked(df, keys, F.col("v"), "m", "n"),
+                 scale.running(df, keys, [F.col("i")], {"s": ("sum", F.col("v")), "c": ("count", F.lit(1))}, "n"),
+                 scale.quantiles(df, keys, "v", [0.1, 0.5, 1.0], "q")]
+        return [sorted(str([round(x, 9) if isinstance(x, float) else x for x in (list(r["q"]) if "q" in r else r)] + ([r["k"]] if "k" in r else []))
+                       for r in one.select(*sorted(one.columns)).collect()) for one in found]
+
+    cut = answers()
+    hot.conf.set("spark.rankweave.hotGroupRows", "1000000")
+    assert cut == answers()
+    assert all(len(rows) == df.count() for rows in cut[:3])
+
+
+def test_a_plan_that_multiplies_rows_is_never_small(spark):
+    few = spark.range(100)
+    assert scale.is_small(few) and not scale.is_small(few.select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("x")))
+
+
+def test_many_pieces_are_joined_instead_of_broadcast(hot, monkeypatch):
+    monkeypatch.setattr(scale, "BROADCAST_PIECES", 0)
+    test_rank_and_size(hot, ["k"])
+
+
 def test_next_value_across_blocks(spark):
     df = spark.range(1, 101).select(F.lit("a").alias("k"), F.col("id").alias("r"), (F.col("id") * 2).alias("v"))
     got = scale.following(df, ["k"], "r", {"nxt": "v"}, block=7).toPandas().sort_values("r")
