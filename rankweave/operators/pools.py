@@ -36,8 +36,8 @@ def dedupe(lines: DataFrame, extras: Sequence[str] = (), by: Sequence[str] = (QU
 
 
 def list_order() -> list[Column]:
-    """Stable list order: prior descending, then first seen, then identity."""
-    return [-F.col("prior"), F.col("first_seen"), F.col(CAND)]
+    """Stable list order: prior descending (null last), then first seen, then identity."""
+    return [F.col("prior").isNull(), -F.col("prior"), F.col("first_seen"), F.col(CAND)]
 
 
 def full_list(pool: DataFrame, by: Sequence[str] = (QUERY,)) -> DataFrame:

@@ -214,7 +214,7 @@ def shuffle_sql(source: str, sizes: str, draws: int, seed: int) -> str:
   JOIN ({sizes}) z ON p.place > z.lo AND p.place <= z.hi GROUP BY draw, label"""
 
 
-cte("perm_rows", "SELECT query_id AS id, e_mrr AS v, class AS label FROM query_effects WHERE split = 'test'")
+cte("perm_rows", "SELECT query_id AS id, e_mrr AS v, class AS label FROM query_effects")
 _SIZES = "SELECT label, coalesce(sum(c) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, sum(c) OVER (ORDER BY label) AS hi FROM (SELECT label, count(*) AS c FROM {} GROUP BY label)"
 
 
@@ -224,7 +224,7 @@ o AS (SELECT sum(t * t / c) - sum(t) * sum(t) / sum(c) AS obs FROM (SELECT sum(v
 SELECT round(obs, 6) AS statistic, round((count(*) FILTER (WHERE s >= obs - 1e-15 - 1e-12 * abs(obs)) + 1) / 201.0::DOUBLE, 6) AS p_value FROM st, o GROUP BY obs""")
 def r09(t: Tables):
     """Permutation test of equal class means."""
-    rows = query_effects(t).filter(F.col("split") == "test")
+    rows = query_effects(t)
     return V.rounded(RS.omnibus_permutation(rows, "query_id", "e_mrr", "class", DRAWS, 71))
 
 
@@ -237,25 +237,25 @@ o AS (SELECT avg(v) FILTER (WHERE label = 'left') - avg(v) FILTER (WHERE label =
 SELECT round(obs, 6) AS contrast, round((count(*) FILTER (WHERE abs(s) >= abs(obs) - 1e-15 - 1e-12 * abs(obs)) + 1) / 201.0::DOUBLE, 6) AS p_value FROM st, o GROUP BY obs""")
 def r10(t: Tables):
     """Two-sided permutation test of a contrast."""
-    rows = query_effects(t).filter(F.col("split") == "test")
+    rows = query_effects(t)
     return V.rounded(RS.contrast_permutation(rows, "query_id", "e_mrr", "class", ["1-URGENT"], ["4-NOT SPECIFIED", "5-LOW"], DRAWS, 72))
 
 
 cte("mcnemar", """
 SELECT seed, promoted, lost, CASE WHEN promoted + lost = 0 THEN 1.0::DOUBLE ELSE least(1.0::DOUBLE, 2 * (SELECT sum(exp(lgamma(b + 1) - lgamma(k + 1) - lgamma(b - k + 1) - b * ln(2.0::DOUBLE)))
   FROM (SELECT unnest(range(0, least(promoted, lost) + 1)) AS k, promoted + lost AS b))) END AS p FROM (
-  SELECT seed, count(*) FILTER (WHERE d_top1 > 0) AS promoted, count(*) FILTER (WHERE d_top1 < 0) AS lost FROM effects_historical WHERE split = 'test' GROUP BY seed)""")
+  SELECT seed, count(*) FILTER (WHERE d_top1 > 0) AS promoted, count(*) FILTER (WHERE d_top1 < 0) AS lost FROM effects_historical GROUP BY seed)""")
 
 
 @query("r11_exact_mcnemar", "SELECT seed, promoted, lost, round(p, 6) AS p_value FROM mcnemar")
 def r11(t: Tables):
     """Exact test of discordant top-1 counts per seed."""
-    counts = V.effects(t).filter(F.col("split") == "test").groupBy("seed").agg(
+    counts = V.effects(t).groupBy("seed").agg(
         F.count_if(F.col("d_top1") > 0).alias("promoted"), F.count_if(F.col("d_top1") < 0).alias("lost"))
     return V.rounded(counts.withColumn("p_value", RS.exact_mcnemar("promoted", "lost")))
 
 
-cte("wil_rows", "SELECT seed, round(d_mrr, 9) AS d FROM effects_historical WHERE split = 'test' AND class <> '5-LOW' AND list_len > 2")
+cte("wil_rows", "SELECT seed, round(d_mrr, 9) AS d FROM effects_historical")
 cte("wil", """
 SELECT seed, least(wp, wm) AS statistic, (least(wp, wm) - (n * (n + 1) - z * (z + 1)) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - 0.5 * coalesce(tt, 0)) / 24) AS score
 FROM (SELECT seed, count(*)::DOUBLE AS n, (count(*) FILTER (WHERE d = 0))::DOUBLE AS z, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS wp, coalesce(sum(r) FILTER (WHERE d < 0), 0) AS wm FROM (
@@ -267,8 +267,7 @@ LEFT JOIN (SELECT seed, sum(c * (c * c - 1)) AS tt FROM (SELECT seed, count(*)::
 SELECT seed, round(statistic, 6) AS statistic, round(score, 6) AS z, round(greatest(1 - 2 * (SELECT sum(exp(-x * x / 2)) * abs(score) / 4000 / sqrt(2 * pi()) FROM (SELECT (unnest(range(0, 4000)) + 0.5) * abs(score) / 4000 AS x)), 0), 4) AS p_value FROM wil""")
 def r12(t: Tables):
     """Signed-rank test with zeros kept in the ranking."""
-    rows = V.effects(t).filter((F.col("split") == "test") & (F.col("class") != "5-LOW") & (F.col("list_len") > 2))
-    out = RS.wilcoxon_pratt(rows.withColumn("d", F.round("d_mrr", 9)), "d", ["seed"])
+    out = RS.wilcoxon_pratt(V.effects(t).withColumn("d", F.round("d_mrr", 9)), "d", ["seed"])
     return out.select("seed", F.round("statistic", 6).alias("statistic"), F.round("z", 6).alias("z"), (F.round("p_value", 4)).alias("p_value"))
 
 

@@ -18,7 +18,7 @@ def chunk_files(t: Tables) -> str:
     lines = V.raw_lines(t, "beta").select(
         "query_id", F.when(F.col("cand_key") % 23 != 0, F.col("cand_key")).alias("cand_key"),
         F.when(F.col("cand_key") % 29 == 0, -F.col("prior")).otherwise(F.col("prior")).alias("prior"), "line_no")
-    lines.repartition(8, "query_id", "cand_key").write.parquet(path)
+    lines.repartition("query_id", "cand_key").write.parquet(path)
     return path
 
 

@@ -28,10 +28,13 @@ def tune(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's checkpoint folder.
 
-    A machine-local folder is used only when the session names none, as in tests.
+    A machine-local folder is used only by a local session that names none, as in tests; on a cluster
+    the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/rankweave-{uuid.uuid4().hex}"

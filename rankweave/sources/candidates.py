@@ -20,12 +20,19 @@ _NUMBER = r"(?i)^\s*[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf|infinity|nan)\s*$"
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Text lines with a 1-based file position that survives splitting.
+    """Text lines numbered from 1 through all files of ``path``, in order of file name and place in the file."""
+    return in_file_order(spark.read.text(path), "line_no")
 
-    ``line_no`` grows in file order; a file that Spark splits keeps that order because
-    monotone ids follow the split order.
+
+def in_file_order(rows: DataFrame, number: str) -> DataFrame:
+    """Rows of a file scan numbered from 1 by file path, split offset and place in the split.
+
+    Spark packs splits into tasks by size, so the order of tasks alone says nothing about files.
     """
-    return spark.read.text(path).select("value", (F.monotonically_increasing_id() + 1).alias("line_no"))
+    placed = rows.select("*", F.struct("_metadata.file_path", "_metadata.file_block_start",
+                                       F.monotonically_increasing_id().alias("at")).alias("_place"))
+    order = [F.col("_place.file_path"), F.col("_place.file_block_start"), F.col("_place.at")]
+    return ranked(placed, [], order, number).drop("_place")
 
 
 def require_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -134,7 +141,7 @@ def load_reactions(source: DataFrame, metadata: DataFrame | None = None) -> Data
     """Query rows with keys; rows without a product or answer key are flagged, not lost.
 
     ``source`` has (id, products_smiles, reactants_smiles, set).  Optional metadata has a
-    unique ``reaction_id`` with ``source_split`` and ``reaction_class``.
+    unique ``reaction_id`` with ``source_split`` and ``reaction_class``; a repeated one is an error.
     """
     require_columns(source, ("id", "products_smiles", "reactants_smiles", "set"))
     keyed = source.select(
@@ -142,9 +149,11 @@ def load_reactions(source: DataFrame, metadata: DataFrame | None = None) -> Data
         single_key("products_smiles").alias("product_key"),
         set_key("reactants_smiles").alias("truth_key"))
     if metadata is not None:
-        keyed = keyed.join(
-            metadata.select(F.col("reaction_id").alias("query_id"), "source_split", "reaction_class"),
-            "query_id", "left")
+        once = metadata.groupBy(F.col("reaction_id").alias("query_id")).agg(
+            F.count(F.lit(1)).alias("_n"), F.first("source_split").alias("source_split"), F.first("reaction_class").alias("reaction_class"))
+        keyed = keyed.join(once, "query_id", "left").withColumn("reaction_class", F.when(
+            F.coalesce("_n", F.lit(1)) == 1, F.col("reaction_class")).otherwise(
+                F.raise_error(F.lit("a reaction id occurs twice in the metadata")).cast("int"))).drop("_n")
         agrees = F.col("source_split").isNull() | (F.col("source_split") == F.col("split"))
         keyed = keyed.withColumn(
             "split", F.when(agrees, F.col("split"))
@@ -208,9 +217,9 @@ def read_reactions(spark: SparkSession, path: str, metadata_path: str | None = N
     """
     raw = (
         spark.read.schema(REACTION_SCHEMA).option("header", "true").option("enforceSchema", "false")
-        .option("mode", "FAILFAST").csv(path).withColumn("_place", F.monotonically_increasing_id())
+        .option("mode", "FAILFAST").csv(path)
     )
-    numbered = ranked(raw, [], [F.col("_place")], "id").withColumn("id", F.col("id") - 1).drop("_place")
+    numbered = in_file_order(raw, "id").withColumn("id", F.col("id") - 1)
     metadata = None
     if metadata_path is not None:
         metadata = spark.read.schema("reaction_id LONG, source_split STRING, reaction_class INT").option(

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.functions.scores import rank_hit, reciprocal_rank
-from rankweave.scale import following, ranked
+from rankweave.scale import following, ranked, with_row
 
 NESTED_METRICS = "map<string,map<string,map<string,map<string,double>>>>"
 
@@ -22,9 +22,23 @@ def write_records(df: DataFrame, path: str, kind: str = "parquet") -> None:
 
 
 def read_predictions(spark: SparkSession, path: str, schema: str, pattern: str = r"seed_(\d+)") -> DataFrame:
-    """Prediction files of all seeds in one scan; the seed comes from the file path."""
-    seed = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).cast("int")
-    return spark.read.schema(schema).option("header", "true").csv(path).select("*", seed.alias("seed"))
+    """Prediction files of all seeds in one scan; the seed comes from the file path.
+
+    A header without the columns of ``schema``, a path without a seed and an id that a seed has twice
+    are errors.
+    """
+    seed = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1).try_cast("int")
+    known = F.when(seed.isNotNull(), seed).otherwise(F.raise_error(F.lit("no seed in the file path")).cast("int"))
+    rows = spark.read.schema(schema).option("header", "true").option("enforceSchema", "false").option("mode", "FAILFAST").csv(path)
+    return unique(rows.select("*", known.alias("seed")), ["seed", rows.columns[0]])
+
+
+def unique(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows unchanged; a combination of ``keys`` that occurs twice is an error."""
+    most = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n").alias("_most"))
+    first = F.col(f"`{keys[0]}`")
+    return with_row(rows, most).withColumn(keys[0], F.when(F.coalesce("_most", F.lit(1)) == 1, first).otherwise(
+        F.raise_error(F.lit(f"not unique: {', '.join(keys)}")).cast(dict(rows.dtypes)[keys[0]]))).drop("_most")
 
 
 def unpivot_ranks(wide: DataFrame, ids: DataFrame, id_columns: Sequence[str] = ("query_id",)) -> DataFrame:

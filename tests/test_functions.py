@@ -66,10 +66,17 @@ def test_bins_hold_every_value(spark):
 
 
 def test_midrank_scores(spark):
-    rows = spark.createDataFrame([("a", 0.9), ("a", 0.5), ("a", 0.5), ("a", 0.1), ("b", 0.2)], "q STRING, p DOUBLE")
+    groups = {"x": [3.0, 7.0, 7.0, 7.0, -2.0, 3.0], "y": [0.25], "z": [6.0, 6.0]}
+    rows = spark.createDataFrame([(q, p) for q, values in groups.items() for p in values], "q STRING, p DOUBLE")
     ranks = midranked(rows, ["q"], F.col("p"), "m", "n")
-    got = [(r[0], r[1]) for r in ranks.select("q", S.normalised_midrank(F.col("m"), F.col("n")).alias("s")).orderBy("q", F.desc("s")).collect()]
-    assert got == [("a", 1.0), ("a", 0.5), ("a", 0.5), ("a", 0.0), ("b", 1.0)]
+    got = sorted((r[0], r[1]) for r in ranks.select("q", S.normalised_midrank(F.col("m"), F.col("n")).alias("s")).collect())
+
+    def brute(p, values):
+        place = sum(v < p for v in values) + (sum(v == p for v in values) + 1) / 2
+        return (place - 1) / (len(values) - 1) if len(values) > 1 else 1.0
+
+    want = sorted((q, brute(p, values)) for q, values in groups.items() for p in values)
+    assert [g[0] for g in got] == [w[0] for w in want] and [g[1] for g in got] == pytest.approx([w[1] for w in want])
 
 
 def test_negative_log_prior_is_an_error(spark):
@@ -87,11 +94,16 @@ def test_rank_zero_scores_zero(spark):
 
 
 def test_holm_and_step_up(spark):
-    rows = spark.createDataFrame([(0, 0.04), (1, 0.01), (2, 0.03)], "i INT, p_value DOUBLE")
-    got = [r["p_holm"] for r in D.holm(rows, [], ["i"]).orderBy("i").collect()]
-    assert got == pytest.approx([0.06, 0.03, 0.06])
-    got = [r["p_bh"] for r in D.benjamini_hochberg(rows, [], ["i"]).orderBy("i").collect()]
-    assert got == pytest.approx([0.04, 0.03, 0.04])
+    p = [0.2, 0.005, 0.05, 0.0125, 0.05, 0.9]
+    order = sorted(range(len(p)), key=lambda i: (p[i], i))
+    down, up, high, low = [0.0] * len(p), [0.0] * len(p), 0.0, 1.0
+    for k, i in enumerate(order):
+        high = down[i] = max(high, min(1.0, p[i] * (len(p) - k)))
+    for k, i in reversed(list(enumerate(order))):
+        low = up[i] = min(low, p[i] * len(p) / (k + 1))
+    rows = spark.createDataFrame(list(enumerate(p)), "i INT, p_value DOUBLE")
+    assert [r["p_holm"] for r in D.holm(rows, [], ["i"]).orderBy("i").collect()] == pytest.approx(down)
+    assert [r["p_bh"] for r in D.benjamini_hochberg(rows, [], ["i"]).orderBy("i").collect()] == pytest.approx(up)
 
 
 def lists(spark, rows):

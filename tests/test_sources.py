@@ -45,11 +45,41 @@ def test_reactions_from_csv(spark, tmp_path):
     meta.write_text("reaction_id,source_split,reaction_class\n0,valid,4\n")
     with pytest.raises(Exception, match="split differs"):
         C.read_reactions(spark, str(source), str(meta)).collect()
+    meta.write_text("reaction_id,source_split,reaction_class\n0,train,4\n0,train,5\n")
+    with pytest.raises(Exception, match="occurs twice"):
+        C.read_reactions(spark, str(source), str(meta)).collect()
     source.write_text("wrong,products_smiles,set\na,b,c\n")
     with pytest.raises(Exception):
         C.read_reactions(spark, str(source)).collect()
 
 
+def test_lines_of_several_files_follow_their_names(spark, tmp_path):
+    # The later file is much longer, so Spark reads it first.
+    (tmp_path / "part-0.txt").write_text("first\n")
+    (tmp_path / "part-1.txt").write_text("".join(f"line {i}\n" for i in range(5000)))
+    (tmp_path / "part-2.txt").write_text("last one\nlast\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        rows = C.read_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [r["value"] for r in rows] == ["first", *[f"line {i}" for i in range(5000)], "last one", "last"]
+    assert [r["line_no"] for r in rows] == list(range(1, 5004))
+
+
+def test_predictions_must_be_unique_and_named(spark, tmp_path):
+    def write(text, name="seed_4.csv"):
+        for old in tmp_path.glob("*.csv"):
+            old.unlink()
+        (tmp_path / name).write_text(text)
+        return R.read_predictions(spark, str(tmp_path), "query_id LONG, rank LONG")
+
+    assert [tuple(r) for r in write("query_id,rank\n1,2\n2,1\n").orderBy("query_id").collect()] == [(1, 2, 4), (2, 1, 4)]
+    for text, name, message in (("query_id,rank\n1,2\n1,3\n", "seed_4.csv", "not unique"), ("id,place\n1,2\n", "seed_4.csv", "."), ("query_id,rank\n1,2\n", "x.csv", "no seed")):
+        with pytest.raises(Exception, match=message):
+            write(text, name).collect()
+
+
 def test_decoded_cells_take_the_winners_position(spark):
     rows = spark.createDataFrame([(1, "('a', 0.2)\t('b', 0.5)\t?\t('a', 0.5)\t('c', 0.9)")], "query_id INT, value STRING")
     got = [(r["cand_key"], r["pos"], r["prior"]) for r in C.decode_cells(rows, 3).orderBy("rank").collect()]
