@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from rankweave.session import materialise, tune
 
 # Bytes of one Arrow batch: very long texts then travel in small batches.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
