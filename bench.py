@@ -24,8 +24,10 @@ HEADLINE = (
     "m01_training_pairs", "s03_strict_audit", "q01_pool_issues", "w03_midrank_score",
     "r04_transfer_intervals", "r14_transfer_loss", "t03_anchored_extension", "u05_list_jaccard",
 )
+# As many draws as published analyses use; the registered r queries draw fewer, for their SQL.
 BOOTSTRAP_DRAWS = 10_000
-PERMUTATIONS = 1_000
+FLIPS = 100_000
+PERMUTATIONS = 10_000
 
 
 def bootstrap_10k(spark: SparkSession, folder: str) -> DataFrame:
@@ -38,13 +40,24 @@ def sign_flip_10k(spark: SparkSession, folder: str) -> DataFrame:
     return RS.sign_flip(INF.historical_totals(Tables(spark, folder)), INF.METRICS, BOOTSTRAP_DRAWS, 61)
 
 
-def omnibus_1k(spark: SparkSession, folder: str) -> DataFrame:
-    """Permutation test of class means with 1,000 draws over every covered query."""
+def omnibus_10k(spark: SparkSession, folder: str) -> DataFrame:
+    """Permutation test of class means with 10,000 draws over every covered query."""
     rows = query_effects(Tables(spark, folder))
     return RS.omnibus_permutation(rows, "query_id", "e_mrr", "class", PERMUTATIONS, 71)
 
 
-EXTRA = {"bootstrap_10k": bootstrap_10k, "sign_flip_10k": sign_flip_10k, "omnibus_1k": omnibus_1k}
+def r04_10k(spark: SparkSession, folder: str) -> DataFrame:
+    """Transfer intervals of three pools and two metrics with 10,000 draws."""
+    return INF.r04(Tables(spark, folder), BOOTSTRAP_DRAWS)
+
+
+def r14_100k(spark: SparkSession, folder: str) -> DataFrame:
+    """Sign-flip tests of transfer loss, three pools and two metrics, with 100,000 draws."""
+    return INF.r14(Tables(spark, folder), FLIPS)
+
+
+EXTRA = {"bootstrap_10k": bootstrap_10k, "sign_flip_10k": sign_flip_10k, "omnibus_10k": omnibus_10k,
+         "r04_10k": r04_10k, "r14_100k": r14_100k}
 
 
 def main() -> None:

@@ -28,7 +28,7 @@ from rankweave.scale import midranked, ranked, with_row
 from rankweave.session import materialise
 
 BLOCK = 65_536
-_CHUNK = 200
+_CHUNK = 1_000
 LOW, HIGH = 0.025, 0.975
 FLIP_TOLERANCE = 1e-15
 

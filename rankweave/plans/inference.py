@@ -23,6 +23,8 @@ from rankweave.plans.registry import Tables, cte, query
 from rankweave.rng import random_sql
 from rankweave.session import materialise
 
+# Draws of the registered queries: as many as their SQL can enumerate.  Every query function takes another
+# count; published analyses draw 10,000 bootstrap samples and 100,000 signs or permutations (see bench.py).
 DRAWS = 200
 METRICS = ("top1", "mrr")
 SEEDS = V.SEEDS
@@ -81,9 +83,9 @@ def historical_totals(t: Tables, per_seed: bool = False) -> DataFrame:
 
 @query("r01_cluster_bootstrap", "SELECT metric, round((SELECT CASE metric WHEN 'top1' THEN sum(s_top1) ELSE sum(s_mrr) END / sum(n) FROM totals_h), 6) AS effect, " + _CI.format("e") + """
 FROM (SELECT unnest(['top1', 'mrr']) AS metric, unnest([s_top1 / n, s_mrr / n]) AS e FROM boot_h) GROUP BY metric""")
-def r01(t: Tables):
+def r01(t: Tables, draws: int = DRAWS):
     """Cluster bootstrap of the mean effect."""
-    return V.rounded(RS.cluster_bootstrap(historical_totals(t), METRICS, DRAWS, 17))
+    return V.rounded(RS.cluster_bootstrap(historical_totals(t), METRICS, draws, 17))
 
 
 weights_sql("w_18", 18, DRAWS)
@@ -92,9 +94,9 @@ weights_sql("w_18", 18, DRAWS)
 @query("r02_crossed_bootstrap", f"""
 SELECT metric, round((SELECT CASE metric WHEN 'top1' THEN sum(s_top1) ELSE sum(s_mrr) END / sum(n) FROM totals_h), 6) AS effect, {_CI.format("e")}
 FROM (SELECT unnest(['top1', 'mrr']) AS metric, unnest([{weighted_sql("s_top1")}, {weighted_sql("s_mrr")}]) AS e FROM boot_h d JOIN w_18 w ON w.draw = d.draw) GROUP BY metric""")
-def r02(t: Tables):
+def r02(t: Tables, draws: int = DRAWS):
     """Clusters and seeds resampled independently."""
-    return V.rounded(RS.crossed_bootstrap(historical_totals(t, True), METRICS, SEEDS, DRAWS, 17))
+    return V.rounded(RS.crossed_bootstrap(historical_totals(t, True), METRICS, SEEDS, draws, 17))
 
 
 REPLICATES = (1, 2, 3)
@@ -104,11 +106,11 @@ weights_sql("w_19", 19, DRAWS, REPLICATES)
 @query("r03_three_way_bootstrap", f"""
 SELECT round((SELECT sum(s_mrr) / sum(n) FROM totals_h) * 2 / 3, 6) AS effect, {_CI.format("e")} FROM (
   SELECT {weighted_sql("s_mrr")} * (v.w_1 * 1 + v.w_2 * 2 + v.w_3 * 3) / 9 AS e FROM boot_h d JOIN w_18 w ON w.draw = d.draw JOIN w_19 v ON v.draw = d.draw)""")
-def r03(t: Tables):
+def r03(t: Tables, draws: int = DRAWS):
     """Clusters, seeds and replicates resampled independently."""
     rows = renamed_effects(t).select("cluster_key", "seed", F.explode(F.array(*[F.struct(
         F.lit(r).alias("replicate"), (F.col("mrr") * r / 3).alias("value")) for r in REPLICATES])).alias("c")).select("cluster_key", "seed", "c.*")
-    return V.rounded(RS.three_way_bootstrap(rows, "value", SEEDS, REPLICATES, DRAWS, 17))
+    return V.rounded(RS.three_way_bootstrap(rows, "value", SEEDS, REPLICATES, draws, 17))
 
 
 _OTHERS = ("alpha", "beta", "merged")
@@ -146,19 +148,19 @@ FROM boot_{p} d JOIN w_31 a ON a.draw = d.draw JOIN w_32 b ON b.draw = d.draw"""
 
 
 @query("r04_transfer_intervals", _TRANSFER)
-def r04(t: Tables):
+def r04(t: Tables, draws: int = DRAWS):
     """Change of the effect between pools: shared clusters, separate seeds per pool."""
-    out = RS.transfer_summary(joint_effects(t), METRICS, SEEDS, DRAWS, 23, (31, 32))
+    out = RS.transfer_summary(joint_effects(t), METRICS, SEEDS, draws, 23, (31, 32))
     return V.rounded(out.withColumn("n", F.col("n").cast("long")))
 
 
 @query("r05_pool_difference", f"""
 SELECT term, {_CI.format("e")} FROM (SELECT unnest(['old', 'new', 'difference']) AS term, unnest([o, n, n - o]) AS e FROM (
   SELECT {weighted_sql("s_old_mrr", weights="a")} AS o, {weighted_sql("s_new_mrr", weights="b")} AS n FROM boot_beta d JOIN w_31 a ON a.draw = d.draw JOIN w_32 b ON b.draw = d.draw)) GROUP BY term""")
-def r05(t: Tables):
+def r05(t: Tables, draws: int = DRAWS):
     """Two pools and their difference with shared cluster draws."""
     joint = joint_effects(t).filter(F.col("pool") == "beta")
-    return V.rounded(RS.pool_difference(joint, "mrr", SEEDS, DRAWS, 23, (31, 32)))
+    return V.rounded(RS.pool_difference(joint, "mrr", SEEDS, draws, 23, (31, 32)))
 
 
 cte("gap_effects", "SELECT e.*, g.gap_group FROM effects_historical e JOIN gap_groups g USING (query_id) WHERE gap_group >= 0")
@@ -176,9 +178,9 @@ def gap_effects(t: Tables) -> DataFrame:
 WITH g AS (SELECT d.gap_group, d.draw, {weighted_sql("s_d_mrr")} AS e FROM boot_gap d JOIN w_42 w ON w.draw = d.draw)
 SELECT CAST(gap_group AS VARCHAR) AS term, {_CI.format("e")} FROM g GROUP BY gap_group
 UNION ALL SELECT 'contrast', {_CI.format("e")} FROM (SELECT a.e - b.e AS e FROM g a JOIN g b ON a.draw = b.draw AND a.gap_group = 3 AND b.gap_group = 0)""")
-def r06(t: Tables):
+def r06(t: Tables, draws: int = DRAWS):
     """Effects by gap group with a shared seed draw, and last minus first group."""
-    return V.rounded(RS.stratified_bootstrap(gap_effects(t), "mrr", "gap_group", SEEDS, DRAWS, 41, (3, 0)))
+    return V.rounded(RS.stratified_bootstrap(gap_effects(t), "mrr", "gap_group", SEEDS, draws, 41, (3, 0)))
 
 
 cte("contrast_totals", """
@@ -189,9 +191,9 @@ draws_sql("boot_contrast", "contrast_totals", ["n", "s_mrr"], DRAWS, 51, ["side"
 
 @query("r07_contrast_bootstrap", f"""
 SELECT {_CI.format("l.s_mrr / l.n - r.s_mrr / r.n")} FROM boot_contrast l JOIN boot_contrast r ON l.draw = r.draw AND l.side = 'left' AND r.side = 'right'""")
-def r07(t: Tables):
+def r07(t: Tables, draws: int = DRAWS):
     """Difference of means with both sides resampled independently."""
-    return V.rounded(RS.contrast_bootstrap(query_effects(t), "e_mrr", "class", ["1-URGENT"], ["4-NOT SPECIFIED", "5-LOW"], DRAWS, 51))
+    return V.rounded(RS.contrast_bootstrap(query_effects(t), "e_mrr", "class", ["1-URGENT"], ["4-NOT SPECIFIED", "5-LOW"], draws, 51))
 
 
 def flip_sql(totals: str, value: str, draws: int, seed: int) -> str:
@@ -202,9 +204,9 @@ def flip_sql(totals: str, value: str, draws: int, seed: int) -> str:
 
 
 @query("r08_sign_flip", f"SELECT 'top1' AS metric, round({flip_sql('totals_h', 's_top1', DRAWS, 61)}, 6) AS p_value UNION ALL SELECT 'mrr', round({flip_sql('totals_h', 's_mrr', DRAWS, 61)}, 6)")
-def r08(t: Tables):
+def r08(t: Tables, draws: int = DRAWS):
     """Sign-flip test of the mean effect."""
-    return V.rounded(RS.sign_flip(historical_totals(t), METRICS, DRAWS, 61))
+    return V.rounded(RS.sign_flip(historical_totals(t), METRICS, draws, 61))
 
 
 def shuffle_sql(source: str, sizes: str, draws: int, seed: int) -> str:
@@ -222,10 +224,10 @@ _SIZES = "SELECT label, coalesce(sum(c) OVER (ORDER BY label ROWS BETWEEN UNBOUN
 WITH sh AS ({shuffle_sql("perm_rows", _SIZES.format("perm_rows"), DRAWS, 71)}), st AS (SELECT draw, sum(total * total / n) - sum(total) * sum(total) / sum(n) AS s FROM sh GROUP BY draw),
 o AS (SELECT sum(t * t / c) - sum(t) * sum(t) / sum(c) AS obs FROM (SELECT sum(v) AS t, count(*) AS c FROM perm_rows GROUP BY label))
 SELECT round(obs, 6) AS statistic, round((count(*) FILTER (WHERE s >= obs - 1e-15 - 1e-12 * abs(obs)) + 1) / 201.0::DOUBLE, 6) AS p_value FROM st, o GROUP BY obs""")
-def r09(t: Tables):
+def r09(t: Tables, draws: int = DRAWS):
     """Permutation test of equal class means."""
     rows = query_effects(t)
-    return V.rounded(RS.omnibus_permutation(rows, "query_id", "e_mrr", "class", DRAWS, 71))
+    return V.rounded(RS.omnibus_permutation(rows, "query_id", "e_mrr", "class", draws, 71))
 
 
 cte("perm_two", "SELECT id, v, CASE WHEN label = '1-URGENT' THEN 'left' ELSE 'right' END AS label FROM perm_rows WHERE label IN ('1-URGENT', '4-NOT SPECIFIED', '5-LOW')")
@@ -235,10 +237,10 @@ cte("perm_two", "SELECT id, v, CASE WHEN label = '1-URGENT' THEN 'left' ELSE 'ri
 WITH sh AS ({shuffle_sql("perm_two", _SIZES.format("perm_two"), DRAWS, 72)}), st AS (SELECT draw, max(CASE WHEN label = 'left' THEN total / n END) - max(CASE WHEN label = 'right' THEN total / n END) AS s FROM sh GROUP BY draw),
 o AS (SELECT avg(v) FILTER (WHERE label = 'left') - avg(v) FILTER (WHERE label = 'right') AS obs FROM perm_two)
 SELECT round(obs, 6) AS contrast, round((count(*) FILTER (WHERE abs(s) >= abs(obs) - 1e-15 - 1e-12 * abs(obs)) + 1) / 201.0::DOUBLE, 6) AS p_value FROM st, o GROUP BY obs""")
-def r10(t: Tables):
+def r10(t: Tables, draws: int = DRAWS):
     """Two-sided permutation test of a contrast."""
     rows = query_effects(t)
-    return V.rounded(RS.contrast_permutation(rows, "query_id", "e_mrr", "class", ["1-URGENT"], ["4-NOT SPECIFIED", "5-LOW"], DRAWS, 72))
+    return V.rounded(RS.contrast_permutation(rows, "query_id", "e_mrr", "class", ["1-URGENT"], ["4-NOT SPECIFIED", "5-LOW"], draws, 72))
 
 
 cte("mcnemar", """
@@ -275,9 +277,9 @@ def r12(t: Tables):
 SELECT metric, round(CASE metric WHEN 'top1' THEN (SELECT sum(s_top1) / sum(n) FROM totals_h) ELSE (SELECT sum(s_mrr) / sum(n) FROM totals_h) END, 6) AS effect, {_CI.format("e")},
   round(CASE metric WHEN 'top1' THEN {flip_sql('totals_h', 's_top1', DRAWS, 18)} ELSE {flip_sql('totals_h', 's_mrr', DRAWS, 18)} END, 6) AS p_value
 FROM (SELECT unnest(['top1', 'mrr']) AS metric, unnest([s_top1 / n, s_mrr / n]) AS e FROM boot_h) GROUP BY metric""")
-def r13(t: Tables):
+def r13(t: Tables, draws: int = DRAWS):
     """Effect, interval and sign-flip p-value together."""
-    return V.rounded(RS.significance(historical_totals(t), METRICS, DRAWS, 17))
+    return V.rounded(RS.significance(historical_totals(t), METRICS, draws, 17))
 
 
 _LOSS = " UNION ALL ".join(f"SELECT '{p}' AS pool, '{m}' AS metric, round((SELECT sum(s_loss_{m}) / sum(n) FROM totals_{p}), 6) AS loss, {flip_sql(f'totals_{p}', f's_loss_{m}', DRAWS, 81)} AS p FROM (SELECT 1)" for p in _OTHERS for m in METRICS)
@@ -286,12 +288,12 @@ _LOSS = " UNION ALL ".join(f"SELECT '{p}' AS pool, '{m}' AS metric, round((SELEC
 @query("r14_transfer_loss", f"""
 SELECT pool, metric, loss, round(p, 6) AS p_value, round(least(max(p * (m - i + 1)) OVER (PARTITION BY metric ORDER BY i ROWS UNBOUNDED PRECEDING), 1.0), 6) AS p_holm FROM (
   SELECT *, row_number() OVER (PARTITION BY metric ORDER BY p, pool) AS i, count(*) OVER (PARTITION BY metric) AS m FROM ({_LOSS}))""")
-def r14(t: Tables):
+def r14(t: Tables, draws: int = DRAWS):
     """Transfer loss with sign-flip p-values, adjusted within each metric."""
     values = [f"loss_{m}" for m in METRICS]
     totals = RS.effect_totals(joint_effects(t), values, SEEDS, by=["pool"])
     effect = totals.groupBy("pool").agg(*[(F.sum(f"s_{v}") / F.sum("n")).alias(v) for v in values]).unpivot(["pool"], values, "metric", "loss")
-    tests = effect.join(RS.sign_flip(totals, values, DRAWS, 81, ["pool"]), ["pool", "metric"])
+    tests = effect.join(RS.sign_flip(totals, values, draws, 81, ["pool"]), ["pool", "metric"])
     out = D.holm(materialise(tests), ["metric"], ["pool"])
     return V.rounded(out.withColumn("metric", F.substring("metric", 6, 10)))
 
@@ -305,7 +307,7 @@ draws_sql("boot_scope", "totals_scope", ["n", "s_d_mrr"], DRAWS, 91, ["scope"])
 @query("r15_scope_analysis", f"""
 SELECT b.scope, max(t.c) AS n, round(max(t.e), 6) AS delta, {_CI.format("b.s_d_mrr / b.n")} FROM boot_scope b
 JOIN (SELECT scope, CAST(sum(n) AS BIGINT) AS c, sum(s_d_mrr) / sum(n) AS e FROM totals_scope GROUP BY scope) t ON t.scope = b.scope GROUP BY b.scope""")
-def r15(t: Tables):
+def r15(t: Tables, draws: int = DRAWS):
     """Within-pool and end-to-end effect; uncovered queries count as zero."""
     covered = V.effects(t).select("query_id", "cluster_key", "seed", "d_mrr")
     seeds = F.explode(F.array(*[F.lit(s) for s in SEEDS])).alias("seed")
@@ -313,7 +315,7 @@ def r15(t: Tables):
         "query_id", "cluster_key", seeds, F.lit(0.0).alias("d_mrr"))
     rows = covered.withColumn("scope", F.lit("within")).unionByName(covered.unionByName(rest).withColumn("scope", F.lit("end_to_end")))
     totals = RS.effect_totals(rows, ["d_mrr"], SEEDS, by=["scope"])
-    draws = RS.resampled_sums(totals, ["n", "s_d_mrr"], DRAWS, 91, ["scope"]).withColumn("e", F.col("s_d_mrr") / F.col("n"))
+    draws = RS.resampled_sums(totals, ["n", "s_d_mrr"], draws, 91, ["scope"]).withColumn("e", F.col("s_d_mrr") / F.col("n"))
     effect = totals.groupBy("scope").agg(F.sum("n").cast("long").alias("n"), (F.sum("s_d_mrr") / F.sum("n")).alias("delta"))
     return V.rounded(effect.join(RS.interval(draws, "e", ["scope"]), "scope"))
 
@@ -336,10 +338,10 @@ def cohort_totals(t: Tables) -> DataFrame:
 SELECT b.cohort, max(t.c) AS n, round(max(t.e), 6) AS effect, {_CI.format("b.s_d_mrr / b.n")} FROM boot_cohort b
 JOIN (SELECT cohort, CAST(sum(n) AS BIGINT) AS c, sum(s_d_mrr) / sum(n) AS e FROM totals_cohort GROUP BY cohort) t ON t.cohort = b.cohort GROUP BY b.cohort
 UNION ALL SELECT 'contrast', NULL, NULL, {_CI.format("a.s_d_mrr / a.n - b.s_d_mrr / b.n")} FROM boot_cohort a JOIN boot_cohort b ON a.draw = b.draw AND a.cohort = 'changed' AND b.cohort = 'matched'""")
-def r16(t: Tables):
+def r16(t: Tables, draws: int = DRAWS):
     """Effect in queries whose list is unchanged between pools, in the others, and their contrast."""
     totals = cohort_totals(t)
-    draws = RS.resampled_sums(totals, ["n", "s_d_mrr"], DRAWS, 92, ["cohort"]).withColumn("e", F.col("s_d_mrr") / F.col("n"))
+    draws = RS.resampled_sums(totals, ["n", "s_d_mrr"], draws, 92, ["cohort"]).withColumn("e", F.col("s_d_mrr") / F.col("n"))
     effect = totals.groupBy("cohort").agg(F.sum("n").cast("long").alias("n"), (F.sum("s_d_mrr") / F.sum("n")).alias("effect"))
     sides = draws.groupBy("draw").pivot("cohort", ["matched", "changed"]).agg(F.max("e"))
     contrast = RS.interval(sides.withColumn("e", F.col("changed") - F.col("matched")), "e").withColumn("cohort", F.lit("contrast"))
@@ -358,11 +360,11 @@ draws_sql("boot_agree", "totals_agree", ["n", "s_d_mrr"], DRAWS, 93, ["agreement
 SELECT t.agreement, CAST(sum(t.n) AS BIGINT) AS n, round(sum(t.s_d_mrr) / sum(t.n), 6) AS effect,
   round(CASE WHEN t.agreement = 'same_order' THEN max(b.low) END, 6) AS low, round(CASE WHEN t.agreement = 'same_order' THEN max(b.high) END, 6) AS high FROM totals_agree t
 LEFT JOIN (SELECT agreement, quantile_cont(s_d_mrr / n, 0.025) AS low, quantile_cont(s_d_mrr / n, 0.975) AS high FROM boot_agree GROUP BY agreement) b ON b.agreement = t.agreement GROUP BY t.agreement""")
-def r17(t: Tables):
+def r17(t: Tables, draws: int = DRAWS):
     """Effect by list agreement, with an interval for unchanged lists only."""
     groups = P.list_agreement(V.lists(t, "historical"), V.lists(t, "alpha"))
     totals = RS.effect_totals(V.effects(t, ("alpha",)).join(groups, "query_id"), ["d_mrr"], SEEDS, by=["agreement"])
-    draws = RS.resampled_sums(totals, ["n", "s_d_mrr"], DRAWS, 93, ["agreement"]).withColumn("e", F.col("s_d_mrr") / F.col("n"))
+    draws = RS.resampled_sums(totals, ["n", "s_d_mrr"], draws, 93, ["agreement"]).withColumn("e", F.col("s_d_mrr") / F.col("n"))
     interval = RS.interval(draws, "e", ["agreement"]).filter(F.col("agreement") == "same_order")
     effect = totals.groupBy("agreement").agg(F.sum("n").cast("long").alias("n"), (F.sum("s_d_mrr") / F.sum("n")).alias("effect"))
     return V.rounded(effect.join(interval, "agreement", "left"))
@@ -388,10 +390,10 @@ draws_sql("boot_cut", "totals_cut", ["n", "s_d_mrr"], DRAWS, 94)
 
 
 @query("r17_truncated_lists", f"""SELECT 'd_mrr' AS metric, round((SELECT sum(s_d_mrr) / sum(n) FROM totals_cut), 6) AS effect, {_CI.format("s_d_mrr / n")} FROM boot_cut""")
-def r17_cut(t: Tables):
+def r17_cut(t: Tables, draws: int = DRAWS):
     """Effect and interval when lists are cut to three."""
     totals = RS.effect_totals(truncated_effects(t, 3), ["d_mrr"], SEEDS)
-    return V.rounded(RS.cluster_bootstrap(totals, ["d_mrr"], DRAWS, 94))
+    return V.rounded(RS.cluster_bootstrap(totals, ["d_mrr"], draws, 94))
 
 
 totals_sql("totals_class", "effects_historical", ["d_mrr"], ["class"])
@@ -405,12 +407,12 @@ SELECT t.class, round(t.e, 6) AS effect, b.low, b.high, round(t.p, 6) AS p_value
     JOIN (SELECT class, draw, sum(CASE WHEN r % 2 = 0 THEN -v ELSE v END) AS s FROM (SELECT class, draw, v, {random_sql("r", 96, "draw", "cluster")} FROM (
       SELECT class, cluster, s_d_mrr AS v, unnest(range(0, {DRAWS})) AS draw FROM totals_class WHERE s_d_mrr <> 0)) GROUP BY class, draw) f ON f.class = o.class GROUP BY o.class))) t
 JOIN (SELECT class, {_CI.format("s_d_mrr / n")} FROM boot_class GROUP BY class) b ON b.class = t.class""")
-def g09_tests(t: Tables):
+def g09_tests(t: Tables, draws: int = DRAWS):
     """Interval, sign-flip p-value and step-up adjustment per class."""
     totals = RS.effect_totals(V.effects(t), ["d_mrr"], SEEDS, by=["class"])
-    draws = RS.resampled_sums(totals, ["n", "s_d_mrr"], DRAWS, 95, ["class"]).withColumn("e", F.col("s_d_mrr") / F.col("n"))
+    draws = RS.resampled_sums(totals, ["n", "s_d_mrr"], draws, 95, ["class"]).withColumn("e", F.col("s_d_mrr") / F.col("n"))
     effect = totals.groupBy("class").agg((F.sum("s_d_mrr") / F.sum("n")).alias("effect"))
-    tests = effect.join(RS.interval(draws, "e", ["class"]), "class").join(RS.sign_flip(totals, ["d_mrr"], DRAWS, 96, ["class"]).drop("metric"), "class")
+    tests = effect.join(RS.interval(draws, "e", ["class"]), "class").join(RS.sign_flip(totals, ["d_mrr"], draws, 96, ["class"]).drop("metric"), "class")
     return V.rounded(D.benjamini_hochberg(materialise(tests), [], ["class"]))
 
 
@@ -431,7 +433,7 @@ i AS (SELECT comparison, metric, quantile_cont(e, 0.025) AS low, quantile_cont(e
 SELECT comparison, metric, round(low, 6) AS low, round(high, 6) AS high, round(low90, 6) AS low90, round(high90, 6) AS high90, low90 > -mg AND high90 < mg AS equivalent, low > 0 AS superior, high < 0 AS inferior,
   CASE WHEN bool_and(low90 > -mg AND high90 < mg) OVER (PARTITION BY comparison) THEN 'equivalent' WHEN bool_and(low > 0) OVER (PARTITION BY comparison) THEN 'superior'
     WHEN bool_and(high < 0) OVER (PARTITION BY comparison) THEN 'inferior' ELSE 'inconclusive' END AS verdict FROM i""")
-def g28(t: Tables):
+def g28(t: Tables, draws: int = DRAWS):
     """Pairwise system contrasts with 90 and 95 % intervals and an equivalence verdict."""
     wide = V.wide_ranks(t, "historical").filter(F.col("prior_rank") > 0)
     cells = []
@@ -441,7 +443,7 @@ def g28(t: Tables):
             (S.rank_metric(rank[a], m) - S.rank_metric(rank[b], m)).alias(f"{a}_{b}_{m}") for a, b in _PAIRS for m in METRICS]))
     rows = wide.select("query_id", "cluster_key", F.explode(F.array(*cells)).alias("c")).select("query_id", "cluster_key", "c.*")
     totals = RS.effect_totals(rows, _DIFFS, SEEDS)
-    intervals = RS.cluster_bootstrap(totals, _DIFFS, DRAWS, 97, (0.025, 0.05, 0.95, 0.975))
+    intervals = RS.cluster_bootstrap(totals, _DIFFS, draws, 97, (0.025, 0.05, 0.95, 0.975))
     named = intervals.withColumns({
         "comparison": F.regexp_replace(F.regexp_extract("metric", "^(.*)_(top1|mrr)$", 1), "_", "_minus_"),
         "metric": F.regexp_extract("metric", "^(.*)_(top1|mrr)$", 2)})
