@@ -130,6 +130,7 @@ def joint_effects(t: Tables) -> DataFrame:
 
     Written once: three tables of totals are taken from it.
     """
+    V.share(t)
     rows = renamed_effects(t, V.POOLS).join(common_cohort(t), "query_id").select("pool", "query_id", "cluster_key", "seed", *METRICS)
     rows = materialise(rows)
     old = rows.filter(F.col("pool") == "historical").select("query_id", "seed", *[F.col(m).alias(f"old_{m}") for m in METRICS])

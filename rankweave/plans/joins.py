@@ -288,6 +288,7 @@ def covered_ids(t: Tables, name: str) -> DataFrame:
 
 
 def common_cohort(t: Tables) -> DataFrame:
+    V.share(t)
     return P.common_ids({name: covered_ids(t, name) for name in V.POOLS})
 
 

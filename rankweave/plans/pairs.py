@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,6 @@ from rankweave.operators import pools as P
 from rankweave.plans import views as V
 from rankweave.plans.registry import Tables, cte, query
 from rankweave.rng import random_sql
-from rankweave.scale import with_row
 from rankweave.session import materialise
 
 SEED, K = 42, 5
@@ -163,16 +164,23 @@ def m06_choice(t: Tables):
 
 
 @query("m07_grid_trials", """
-SELECT a.config, a.width, a.rate, round(avg(d_mrr * a.width + a.rate), 6) AS mean FROM effects_historical, (
-  SELECT row_number() OVER (ORDER BY w, r) - 1 AS config, w AS width, r AS rate FROM (SELECT unnest([1, 2, 3]) AS w), (SELECT unnest([0.1::DOUBLE, 0.2, 0.3]) AS r)) a
-GROUP BY a.config, a.width, a.rate""")
+WITH a AS (SELECT row_number() OVER (ORDER BY w, r) - 1 AS config, w AS width, r AS rate FROM (SELECT unnest([1, 2, 3]) AS w), (SELECT unnest([0.1::DOUBLE, 0.5, 2.0]) AS r)),
+s AS (SELECT config, l.query_id, l.is_match, l.rank, norm + (width * rate) * feat AS sc FROM labelled l, a WHERE split = 'valid'),
+p AS (SELECT *, max(CASE WHEN is_match THEN sc END) OVER w AS t_sc, max(CASE WHEN is_match THEN rank END) OVER w AS t_rank FROM s WINDOW w AS (PARTITION BY query_id, config)),
+q AS (SELECT config, query_id, max(CASE WHEN is_match THEN 1 END) AS tr, count(*) FILTER (WHERE sc > t_sc OR (sc = t_sc AND rank <= t_rank)) AS place FROM p GROUP BY config, query_id)
+SELECT config, width, rate, round(avg(1.0::DOUBLE / place), 6) AS mean FROM q JOIN a USING (config) WHERE tr IS NOT NULL GROUP BY config, width, rate""")
 def m07(t: Tables):
-    """Enumerate a parameter grid in nested order and evaluate each cell."""
-    configs = X.grid(t.spark, {"width": [1, 2, 3], "rate": [0.1, 0.2, 0.3]}).select(
-        "config", F.col("width").cast("int").alias("width"), "rate")
-    total = V.effects(t).agg(F.avg("d_mrr").alias("m"))
-    return V.rounded(with_row(configs, total).select(
-        "config", "width", "rate", (F.col("m") * F.col("width") + F.col("rate")).alias("mean")))
+    """Enumerate a parameter grid in nested order and score the validation lists with every cell."""
+    axes = {"width": [1, 2, 3], "rate": [0.1, 0.5, 2.0]}
+    cells = list(itertools.product(*axes.values()))
+    valid = labelled_lists(t).filter(F.col("split") == "valid").withColumnRenamed("is_match", "is_truth").withColumns(
+        {f"c_{i}": F.col("norm") + F.lit(width * rate) * F.col("feat") for i, (width, rate) in enumerate(cells)})
+    names = [f"c_{i}" for i in range(len(cells))]
+    placed = M.truth_ranks(valid, names).filter(F.col("prior_rank") > 0)
+    means = placed.agg(*[F.avg(S.reciprocal_rank(F.col(c))).alias(c) for c in names]).unpivot([], names, "name", "mean")
+    means = means.select(F.substring("name", 3, 9).cast("long").alias("config"), "mean")
+    configs = X.grid(t.spark, axes).select("config", F.col("width").cast("int").alias("width"), "rate")
+    return V.rounded(configs.join(means, "config"))
 
 
 @query("m08_logit_terms")

@@ -21,6 +21,8 @@ class Tables:
         self.spark = tune(spark)
         self.folder = folder.rstrip("/")
         self._readers: dict[str, DataFrame] = {}
+        # Tables one query has written for its several uses of them (see ``views.share``).
+        self.shared: dict[str, DataFrame] = {}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):

@@ -15,6 +15,7 @@ from rankweave.operators import pools as P
 from rankweave.operators.metrics import truth_ranks
 from rankweave.plans.registry import Tables, cte
 from rankweave.rng import SPAN, random_sql, with_randoms
+from rankweave.session import materialise
 
 SEEDS = (42, 43, 44, 45, 46)
 ARMS = ("baseline", "augmented")
@@ -31,6 +32,8 @@ def split_column(key: Column) -> Column:
 
 def queries(t: Tables) -> DataFrame:
     """query_id, cluster_key, class, split, truth_key (-1 where there is no answer)."""
+    if "queries" in t.shared:
+        return t.shared["queries"]
     best = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id")).agg(
         F.max(F.struct(F.col("l_discount"), (-F.col("l_partkey")).alias("neg"))).alias("b"))
     truth = best.select("query_id", (-F.col("b.neg")).alias("found"))
@@ -65,11 +68,23 @@ def raw_lines(t: Tables, pool: str) -> DataFrame:
 
 def pool(t: Tables, name: str) -> DataFrame:
     """Deduplicated pool, not yet ordered."""
+    if name in t.shared:
+        return t.shared[name]
     if name == "merged":
         return P.merge_sources(P.full_list(pool(t, "alpha")), P.full_list(pool(t, "beta")), ["feat"])
     return P.dedupe(raw_lines(t, name), extras=["feat"])
 
 
+def share(t: Tables) -> None:
+    """Write the queries and the three source pools once, for queries that use several of them several times.
+
+    The line items are then scanned four times, whatever is built from the pools.
+    """
+    if not t.shared:
+        made = {"queries": queries(t), **{name: pool(t, name) for name in POOLS if name != "merged"}}
+        t.shared.update({name: materialise(df) for name, df in made.items()})
+
+
 def ordered(t: Tables, name: str) -> DataFrame:
     """Whole lists in order."""
     return P.full_list(pool(t, name)).select(
@@ -84,6 +99,8 @@ def lists(t: Tables, name: str, cap: int = CAP) -> DataFrame:
 
 def all_lists(t: Tables, names: tuple[str, ...] = POOLS) -> DataFrame:
     out = None
+    if len(names) > 2:
+        share(t)
     for name in names:
         part = lists(t, name).withColumn("pool", F.lit(name))
         out = part if out is None else out.unionByName(part)
