@@ -132,14 +132,16 @@ def compare_with_next(docs: DataFrame, classes: DataFrame, id_column: str = "doc
     last row is the first.  A null text counts as empty, a null id comes first and has no class, rows of
     one id follow each other in a fixed order.  An empty table gives no rows.
 
-    Ranges of ids are cut by Spark's range partitioning; their first ids (one per partition) reach the
-    driver.  Compressed texts are then shuffled once, each range to one task, with the first row of the
+    Ranges of ids are cut by Spark's range partitioning; their first ids (two per shuffle partition)
+    reach the driver.  Compressed texts are then shuffled once, each range to one task, with the first row of the
     next range behind it.
     """
     row = F.col("row")
     base = pack(docs).select(row[id_column].cast("long").alias("id"), row[text_column].alias("text"))
     low = F.coalesce("id", F.lit(-(1 << 63)))
-    cut = materialise(base.select(low.alias("id")).repartitionByRange("id").select("id", F.spark_partition_id().alias("p")))
+    # Texts are far larger than ids: as many ranges as for a large shuffle, not as few as ids alone would fill.
+    ranges = 2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = materialise(base.select(low.alias("id")).repartitionByRange(ranges, "id").select("id", F.spark_partition_id().alias("p")))
     lows = [r["low"] for r in cut.groupBy("p").agg(F.min("id").alias("low")).collect()]
     kind = ("id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
             "near_edited double, near_next double, class_id long")
