@@ -102,7 +102,7 @@ def op5_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity of every document, learned from four fifths of the ids, and the threshold of its language."""
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     known = table(spark, folder, "labels").select("doc_id", "toxic").filter(remainder(5) != 0)
-    model = toxicity.train(docs.join(known, "doc_id"))
+    model = toxicity.train(docs, known)
     scored = materialise(toxicity.apply(docs, model).select(
         "doc_id", "lang", F.coalesce(remainder(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted"))
     # Language decides the extra flag alone, never the score.

@@ -163,13 +163,20 @@ def fit(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed:
     return model
 
 
-def train(rows: DataFrame, text_column: str = "text", label: str = "toxic", id_column: str = "doc_id") -> Classifier:
-    """A classifier from rows with a label of 0 or 1: about SAMPLE_ROWS rows of each, no text beyond SAMPLE_CHARS."""
+def train(docs: DataFrame, labels: DataFrame, text_column: str = "text", label: str = "toxic", id_column: str = "doc_id") -> Classifier:
+    """A classifier from ``docs`` and their ``labels`` of 0 or 1 (other labels are ignored).
+
+    About SAMPLE_ROWS labels of each kind are chosen by hash before any text is read; this bounded table
+    is broadcast to the documents.  Of the chosen, texts beyond SAMPLE_CHARS are left out.
+    """
     row = F.col("row")
-    known = pack(rows, name=row[id_column].cast("string"), text=row[text_column], label=row[label].cast("int")).filter(
-        F.col("label").isin(0, 1) & F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
-    chosen = labelled_sample(known.drop("row"), "label", F.col("name"), SAMPLE_ROWS, 2).collect()
-    chosen.sort(key=lambda r: (r["name"] or "", r["text"]))
+    known = pack(labels).select(row[id_column].alias("name"), row[label].cast("int").alias("label")).filter(
+        F.col("label").isin(0, 1) & F.col("name").isNotNull())
+    wanted = F.broadcast(labelled_sample(known, "label", F.col("name").cast("string"), SAMPLE_ROWS, 2))
+    texts = pack(docs, name=row[id_column], text=row[text_column]).drop("row").filter(
+        F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    chosen = texts.join(wanted, "name").select(F.col("name").cast("string").alias("name"), "text", "label").collect()
+    chosen.sort(key=lambda r: (r["name"], r["text"], r["label"]))
     return fit([r["text"] for r in chosen], [r["label"] for r in chosen])
 
 
