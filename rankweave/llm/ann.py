@@ -206,7 +206,10 @@ def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
     counts = sized.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select(
         "dim", F.ceil(F.col("n") / shard_rows).alias("shards"))
     dealt = sized.join(counts, "dim").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
-    return materialise(dealt.select("dim", "shard", "rep", "v").groupBy("dim", "shard").applyInPandas(_build_shard, _INDEX))
+    # Vectors are small and graphs are slow to build: a fixed number of partitions, which AQE does not merge.
+    total = counts.agg(F.sum("shards")).first()[0] or 1
+    spread = dealt.select("dim", "shard", "rep", "v").repartition(4 * total, "dim", "shard")
+    return materialise(spread.groupBy("dim", "shard").applyInPandas(_build_shard, _INDEX))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id",
@@ -243,7 +246,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str
         return pd.concat(out, ignore_index=True)
 
     keys = ["dim", "shard", "block"]
-    hits = blocked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(
+    parts = 4 * graphs.count() * blocks or 1
+    hits = blocked.repartition(parts, *keys).groupBy(*keys).cogroup(sent.repartition(parts, *keys).groupBy(*keys)).applyInPandas(
         search_block, "query_id long, rep long, score double")
     # The best k + 1 vectors of a query over all shards, then their ids.
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
