@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,9 @@ BANDS = 16
 SHINGLE = 5
 THRESHOLD = 0.8
 BROADCAST_IDS = 2_000_000
+# Counters of a shingle set, and members of a band's bucket in one chunk.
+_CELLS = 128
+_CHUNK = 2_048
 _BLOCK = 2_048
 _CACHED = 400_000
 _EMPTY = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
@@ -155,9 +159,21 @@ def compare_with_next(docs: DataFrame, classes: DataFrame, id_column: str = "doc
     return placed.mapInArrow(_compare, kind).withColumnRenamed("id", id_column)
 
 
+def counters(runs: np.ndarray) -> bytes:
+    """Distinct shingles per cell, at most 255; what two texts differ by in all cells bounds their difference from below."""
+    cells = np.bincount((runs & np.uint64(_CELLS - 1)).astype(np.int64), minlength=_CELLS)
+    return np.minimum(cells, 255).astype(np.uint8).tobytes()
+
+
+def _possible(apart: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Whether sets of ``total`` shingles that differ in ``apart`` or more can reach THRESHOLD; the slack is for rounding only."""
+    return apart * (1 + THRESHOLD) <= total * (1 - THRESHOLD) + 1e-6
+
+
 def sketched(text: Column) -> Column:
-    """Struct of a text: ``set_a``, ``set_b`` (128-bit hash of its shingle set), ``bands`` (one 64-bit key per band)."""
-    @F.arrow_udf("set_a long, set_b long, bands array<long>")
+    """Struct of a text: ``set_a``, ``set_b`` (128-bit hash of its shingle set), ``bands`` (one 64-bit key per band),
+    ``size`` and ``cells`` (see ``counters``) of the set."""
+    @F.arrow_udf("set_a long, set_b long, bands array<long>, size long, cells binary")
     def apply(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts.to_pylist():
@@ -165,13 +181,100 @@ def sketched(text: Column) -> Column:
             made = signature(runs).reshape(BANDS, -1)
             a, b = np.frombuffer(xxhash.xxh128_digest(runs.tobytes()), np.int64)
             keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(made)]
-            rows.append({"set_a": int(a), "set_b": int(b), "bands": np.array(keys, np.uint64).view(np.int64).tolist()})
-        return pa.array(rows, pa.struct([("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))]))
+            rows.append({"set_a": int(a), "set_b": int(b), "bands": np.array(keys, np.uint64).view(np.int64).tolist(),
+                         "size": len(runs), "cells": counters(runs)})
+        return pa.array(rows, pa.struct([("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())),
+                                         ("size", pa.int64()), ("cells", pa.binary())]))
     return apply.asNondeterministic()(text)
 
 
+def _matrix(cells: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(cells.to_pylist()), np.uint8).reshape(-1, _CELLS).astype(np.int16)
+
+
+def _hopeful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, total, cu, cv) to the pairs (u, v) whose counters leave THRESHOLD possible."""
+    for batch in batches:
+        apart = np.abs(_matrix(batch.column(3)) - _matrix(batch.column(4))).sum(axis=1)
+        yield batch.select([0, 1]).filter(pa.array(_possible(apart, batch.column(2).to_numpy())))
+
+
+def _spanning(names: np.ndarray, classes: np.ndarray, sizes: np.ndarray, cells: np.ndarray, barred: list, times: int) -> list[tuple[int, int]]:
+    """Places (x, y) of pairs across classes that may be links: ``times`` forests, each of which connects all that such
+    pairs connect.  ``barred`` has, per member, names it was compared with in vain."""
+    place = {name: i for i, name in enumerate(names.tolist())}
+    closed: list[list[int]] = [[] for _ in place]
+    for i, others in enumerate(barred):
+        for j in (place[o] for o in others or () if o in place):
+            closed[i].append(j)
+            closed[j].append(i)
+    _, own, n = np.unique(classes, return_inverse=True, return_counts=True)
+    # Of two classes one is not the largest: its members look at all others.
+    order = np.flatnonzero(own != n.argmax())
+    made: list[tuple[int, int]] = []
+    for _ in range(times):
+        group, before = own.copy(), len(made)
+        for x in order.tolist():
+            far = group != group[x]
+            far[closed[x]] = False
+            at = np.flatnonzero(far)
+            near = at[_possible(np.abs(cells[at] - cells[x]).sum(axis=1), sizes[at] + sizes[x])]
+            if len(near):
+                joined, first = np.unique(group[near], return_index=True)
+                for y in near[first].tolist():
+                    made.append((x, y))
+                    closed[x].append(y)
+                    closed[y].append(x)
+                group[np.isin(group, joined)] = group[x]
+        if len(made) == before:
+            break
+    return made
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of one key (first column) at a time, from batches sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        keys = batch.column(0).to_numpy()
+        for a, b in pairwise([*np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]).tolist(), len(keys)] if len(keys) else []):
+            if held and held[0].column(0)[0].as_py() != keys[a]:
+                yield pa.concat_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _across(times: int):
+    """Rows (key, rep, class_id, size, cells, barred) to pairs (u, v, cu, cv) of reps and their classes, see ``_spanning``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _grouped(batches):
+            names, classes, sizes = (rows.column(i).to_numpy() for i in (1, 2, 3))
+            made = _spanning(names, classes, sizes, _matrix(rows.column(4)), rows.column(5).to_pylist(), times)
+            x, y = np.array(made, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (names[x], names[y], classes[x], classes[y])], ["u", "v", "cu", "cv"])
+    return run
+
+
+def _candidates(members: DataFrame, marks: DataFrame, failed: DataFrame, times: int) -> DataFrame:
+    """(u, v, cu, cv) across the classes of every bucket of ``members`` (band, rep, class_id, n rows of the bucket).
+
+    A bucket of more than _CHUNK members is cut into chunks by hash, and every two chunks meet in a task of their own.
+    """
+    barred = failed.groupBy(F.col("v").alias("rep")).agg(F.collect_set("u").alias("barred"))
+    chunks, own = F.ceil(F.col("n") / _CHUNK), F.pmod(F.xxhash64("rep"), F.col("chunks"))
+    others = F.when(F.col("chunks") == 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.array_except(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1), F.array("own")))
+    spread = members.join(marks, "rep").join(barred, "rep", "left").withColumn("chunks", chunks).withColumn("own", own).withColumn(
+        "other", F.explode(others)).select(F.xxhash64("band", F.least("own", "other"), F.greatest("own", "other")).alias("key"),
+                                           "rep", "class_id", "size", "cells", "barred")
+    # A fixed number of partitions: rows are few bytes and much work, so AQE would merge too many.
+    dealt = spread.repartition(2 * int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")), "key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_across(times), "u long, v long, cu long, cv long").dropDuplicates(["u", "v"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(u, v, zu, zv) to the pairs whose shingle sets have a Jaccard similarity of THRESHOLD or more."""
+    """(u, v, cu, cv, zu, zv) to (u, v, cu, cv, same): whether the shingle sets have a Jaccard similarity of THRESHOLD or more."""
     plain = zstandard.ZstdDecompressor()
     known: dict[int, np.ndarray] = {}
 
@@ -183,41 +286,72 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return known[name]
 
     for batch in batches:
-        keep = []
-        for u, v, zu, zv in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+        same = []
+        for u, v, zu, zv in zip(*[batch.column(i).to_pylist() for i in (0, 1, 4, 5)]):
             x, y = runs(u, zu), runs(v, zv)
             both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both >= THRESHOLD * (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            same.append(both >= THRESHOLD * (len(x) + len(y) - both))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(same, pa.bool_())], ["u", "v", "cu", "cv", "same"])
+
+
+def _tested(base: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Written pairs (u, v, cu, cv) with ``same``, from the texts of ``base`` (id, text)."""
+    wanted = materialise(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
+    # Ids of checked size filter the texts where they are read; more of them meet the texts in a join.
+    if wanted.count() <= BROADCAST_IDS:
+        wanted = F.broadcast(wanted)
+    texts = base.join(wanted, "id", "left_semi").mapInArrow(_compressed, "id long, z binary")
+    single = materialise(texts.dropDuplicates(["id"]))
+    left = pairs.join(single.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u")
+    both = left.join(single.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v").select("u", "v", "cu", "cv", "zu", "zv")
+    return materialise(both.mapInArrow(_verified, "u long, v long, cu long, cv long, same boolean"))
+
+
+def _moved(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    """``rows`` with ``class_id`` replaced by its root (node, root), if it has one."""
+    return rows.join(roots.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn(
+        "class_id", F.coalesce("root", "class_id")).drop("root")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, class_id) of rows in a class of several: links of Jaccard similarity 0.8 or more on five-word shingles.
 
     Texts of one shingle set are one item, named by its smallest id.  Items that share a signature band
-    meet in the band's bucket, where each is compared with the bucket's smallest item only:
-    one pair per item and band, never all pairs of a bucket; sixteen bands give an item up to sixteen partners.  Null ids take no part; texts
-    without words are one item.  If an id has several texts, one of them stands for it in a comparison.
+    meet in the band's bucket; classes are those of all pairs of every bucket.  First each item is compared
+    with the bucket's smallest one.  Then, in rounds with written tables, every bucket that still holds several
+    classes gives the pairs across them that counters of the shingle sets cannot rule out, as forests: one in
+    the first round, twice as many in each later one, without pairs that failed.  The rounds end when no
+    bucket has such a pair.  Null ids take no part; texts without words are one item.  If an id has several
+    texts, one of them stands for it in a comparison.
     """
     row = F.col("row")
     base = pack(docs).select(row[id_column].cast("long").alias("id"), row[text_column].alias("text")).filter("id IS NOT NULL")
     made = materialise(base.withColumn("s", sketched(F.col("text"))).select("id", "s.*"))
-    items = materialise(made.groupBy("set_a", "set_b").agg(F.min("id").alias("rep"), F.first("bands").alias("bands")))
-    buckets = items.select("rep", F.explode("bands").alias("band"))
+    items = materialise(made.groupBy("set_a", "set_b").agg(
+        F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", "size", "cells")]))
+    # An id with several texts stands for one item of them here too.
+    marks = items.groupBy("rep").agg(F.first(F.struct("size", "cells")).alias("m")).select("rep", "m.*")
+    buckets = items.select("rep", F.explode("bands").alias("band")).distinct()
     least = materialise(buckets.groupBy("band").agg(F.min("rep").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    starred = buckets.join(least.select("band", "u"), "band").filter("rep > u").select("u", F.col("rep").alias("v"))
-    pairs = materialise(starred.select("u", "v").distinct())
-    wanted = materialise(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
-    # Ids of checked size filter the texts where they are read; more of them meet the texts in a join.
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = base.join(wanted, "id", "left_semi").mapInArrow(_compressed, "id long, z binary")
-    single = materialise(texts.dropDuplicates(["id"]))
-    left = pairs.join(single.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u")
-    both = left.join(single.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v").select("u", "v", "zu", "zv")
-    linked = connect(both.mapInArrow(_verified, "u long, v long"), "u", "v")
-    rooted = materialise(items.select("set_a", "set_b", "rep").join(linked.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "set_a", "set_b", F.coalesce("root", "rep").alias("class_id")))
+    starred = materialise(buckets.join(least, "band").filter("rep > u").select("band", "u", F.col("rep").alias("v"), "n"))
+    left = starred.select("u", "v").distinct().join(marks.select(F.col("rep").alias("u"), F.col("size").alias("su"), F.col("cells").alias("zu")), "u")
+    both = left.join(marks.select(F.col("rep").alias("v"), F.col("size").alias("sv"), F.col("cells").alias("zv")), "v")
+    pairs = materialise(both.select("u", "v", (F.col("su") + F.col("sv")).alias("total"), "zu", "zv").mapInArrow(_hopeful, "u long, v long"))
+    tested = _tested(base, pairs.withColumns({"cu": F.col("u"), "cv": F.col("v")}))
+    rooted = items.select("set_a", "set_b", F.col("rep").alias("class_id"))
+    # The smallest item has been compared with all others of its bucket.
+    members = starred.filter("n > 2").select("band", F.col("v").alias("rep"), F.col("v").alias("class_id"))
+    failed, times = tested.filter("NOT same").select("u", "v"), 1
+    while True:
+        roots = connect(tested.filter("same"), "cu", "cv")
+        rooted, members = materialise(_moved(rooted, roots)), materialise(_moved(members, roots).select("band", "rep", "class_id"))
+        mixed = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))
+        members = materialise(members.join(mixed.filter("low < high").select("band", "n"), "band"))
+        pairs = materialise(_candidates(members, marks, failed, times))
+        if pairs.isEmpty():
+            break
+        tested, times = _tested(base, pairs), times * 2
+        failed = failed.unionByName(tested.filter("NOT same").select("u", "v"))
     members = made.select("id", "set_a", "set_b").join(rooted, ["set_a", "set_b"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
     # A class's smallest id needs no row: it is its own class.
     return members.filter("id <> class_id")

@@ -79,3 +79,60 @@ def test_awkward_rows(odd, nothing):
     assert by_id[1]["fingerprint"] == by_id[2]["fingerprint"] and by_id[1]["class_id"] == by_id[2]["class_id"] == by_id[3]["class_id"] == 1
     assert by_id[4]["class_id"] == by_id[5]["class_id"] == by_id[6]["class_id"] == 4 and by_id[None]["class_id"] is None
     assert M.compare_with_next(nothing, M.near_duplicates(nothing)).count() == 0
+
+
+def wanted(rows):
+    """Classes of all pairs that share a band, whatever the bucket."""
+    sets = {n: runs(t) for n, t in rows}
+    bands = {n: [b.tobytes() for b in M.signature(M.shingles(t)).reshape(M.BANDS, -1)] for n, t in rows}
+    root = {n: n for n, _ in rows}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and any(x == y for x, y in zip(bands[a], bands[b])) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                lo, hi = sorted((root[a], root[b]))
+                root = {n: lo if r == hi else r for n, r in root.items()}
+    return root, bands
+
+
+def changed(words, rng, n):
+    made = list(words)
+    for i in range(n):
+        made[i * 200 // n + int(rng.integers(0, 200 // n))] = f"new{rng.integers(1 << 30)}"
+    return " ".join(made)
+
+
+def test_links_between_items_that_miss_the_smallest(spark):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(200)]
+    decoys = [(i, changed(words, rng, 7)) for i in range(60)]
+    rows = [*decoys, (100, changed(words, rng, 1)), (101, changed(words, rng, 1))]
+    root, bands = wanted(rows)
+    shared = [k for k in range(M.BANDS) if bands[100][k] == bands[101][k]]
+    # Every bucket where the two meet has a smaller item that is like neither.
+    assert shared and all(any(bands[i][k] == bands[100][k] for i, _ in decoys) for k in shared)
+    assert all(len(runs(t) & runs(rows[-1][1])) < 0.8 * len(runs(t) | runs(rows[-1][1])) for _, t in decoys)
+    found = {r["id"]: r["class_id"] for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {n: found.get(n, n) for n, _ in rows} == root and found[101] == 100
+
+
+def test_chains_where_only_matched_items_reach_the_rest(spark, monkeypatch):
+    monkeypatch.setattr(M, "_CHUNK", 5)
+    rng = np.random.default_rng(8)
+    rows, names = [], rng.permutation(1_000)
+    for _ in range(6):
+        words = [f"w{i}" for i in range(200)]
+        for _ in range(12):
+            words = changed(words, rng, int(rng.integers(1, 5))).split()
+            rows.append((int(names[len(rows)]), " ".join(words)))
+    root, _ = wanted(rows)
+    found = {r["id"]: r["class_id"] for r in M.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {n: found.get(n, n) for n, _ in rows} == root
+
+
+def test_counters_never_rule_out_a_link():
+    rng = np.random.default_rng(3)
+    for n in (1, 9, 90, 9_000, 90_000):
+        x = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        y = x[: -(-len(x) * 8 // 10)]
+        apart = np.abs(np.frombuffer(M.counters(x), np.uint8).astype(int) - np.frombuffer(M.counters(y), np.uint8)).sum()
+        assert M._possible(apart, len(x) + len(y))
