@@ -4,6 +4,10 @@ A suffix automaton per language, built from a bounded sample of labelled text, g
 from any place.  A text is cut greedily into longest matches; phrases times the bits that point into a
 language's sample, per character, estimate the cross entropy, and the smallest estimate wins.
 
+Every letter of any sample is a symbol of its own.  Each language numbers the letters of its sample; what it
+lacks ends a phrase there, whichever letter it is.  Scripts of many letters have their transitions as sorted
+edges instead of a full table.
+
 Texts are parsed in numpy, many pieces side by side: every text is cut into pieces of ``PIECE`` symbols
 (the last one padded), which costs at most one phrase more per piece in every language alike.
 """
@@ -28,23 +32,51 @@ SAMPLE_SYMBOLS = 60_000
 TOTAL_SYMBOLS = 1_000_000
 MAX_LANGUAGES = 500
 PIECE = 192
-_ALPHABET = 120
+# Entries of a full transition table; larger ones are kept as edges.
+_DENSE = 1 << 24
 _GAP, _OTHER, _PAD = 0, 1, 2
 _ROOT, _SINK = 0, 1
 
 
 @dataclass
 class Parser:
-    """Languages, symbol of every code point, transition tables (one flat array each), bits per phrase."""
+    """Languages, symbol of every code point, each language's number of every symbol, transitions, bits per phrase."""
     languages: list[str]
     symbols: np.ndarray
-    width: int
-    steps: list[np.ndarray]
+    numbers: list[np.ndarray]
+    steps: list[Table | Edges]
     bits: np.ndarray
 
 
-def _automaton(sequence: list[int], width: int) -> np.ndarray:
-    """Flat transitions of the suffix automaton; a negative entry ends the phrase and holds ~(next state)."""
+@dataclass
+class Table:
+    """All transitions in one flat array."""
+    flat: np.ndarray
+    width: int
+
+    def reach(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        return self.flat[state * np.int32(self.width) + column]
+
+
+@dataclass
+class Edges:
+    """Sorted keys (state * width + symbol) with their targets, and the root's transitions; answers as ``Table`` does."""
+    keys: np.ndarray
+    targets: np.ndarray
+    root: np.ndarray
+    width: int
+
+    def reach(self, state: np.ndarray, column: np.ndarray) -> np.ndarray:
+        wanted = state.astype(np.int64) * self.width + column
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        # The root and the sink differ in what they do without an edge: the root does not end a phrase.
+        other = np.where(state == _ROOT, self.root[column], ~self.root[column])
+        found = np.where(self.keys[at] == wanted, self.targets[at], other)
+        return np.where(column == _PAD, state, found).astype(np.int32)
+
+
+def _states(sequence: list[int]) -> list[dict[int, int]]:
+    """Edges of every state of the suffix automaton; the first is the root."""
     nexts: list[dict[int, int]] = [{}]
     suffix, length = [-1], [0]
     last = 0
@@ -71,16 +103,37 @@ def _automaton(sequence: list[int], width: int) -> np.ndarray:
                     at = suffix[at]
                 suffix[target] = suffix[here] = copy
         last = here
-    # State 0 stays the root; state 1 is a sink for symbols the sample lacks; the others move up by one.
-    moved = lambda state: state + 1 if state else 0
+    return nexts
+
+
+def _moved(state: int) -> int:
+    """State 0 stays the root; state 1 is a sink for symbols the sample lacks; the others move up by one."""
+    return state + 1 if state else 0
+
+
+def _root(nexts: list[dict[int, int]], width: int) -> np.ndarray:
     root = np.full(width, _SINK, np.int32)
     for symbol, state in nexts[0].items():
-        root[symbol] = moved(state)
+        root[symbol] = _moved(state)
+    return root
+
+
+def _edges(sequence: list[int], width: int) -> Edges:
+    nexts = _states(sequence)
+    made = sorted((_moved(n) * width + symbol, _moved(state)) for n, edges in enumerate(nexts) for symbol, state in edges.items())
+    keys, targets = np.array(made or [(-1, 0)], np.int64).T
+    return Edges(np.ascontiguousarray(keys), targets.astype(np.int32), _root(nexts, width), width)
+
+
+def _automaton(sequence: list[int], width: int) -> np.ndarray:
+    """Flat transitions of the suffix automaton; a negative entry ends the phrase and holds ~(next state)."""
+    nexts = _states(sequence)
+    root = _root(nexts, width)
     steps = np.tile(~root, (len(nexts) + 1, 1))
     steps[_ROOT] = root
     for number, edges in enumerate(nexts):
         for symbol, state in edges.items():
-            steps[moved(number), symbol] = moved(state)
+            steps[_moved(number), symbol] = _moved(state)
     steps[:, _PAD] = np.arange(len(steps))
     return steps.reshape(-1)
 
@@ -88,28 +141,29 @@ def _automaton(sequence: list[int], width: int) -> np.ndarray:
 def build_parser(samples: dict[str, list[str]], symbols: int = SAMPLE_SYMBOLS) -> Parser:
     """A parser from sample texts per language."""
     folded = {name: ["".join(c.lower()[0] for c in t) for t in texts] for name, texts in samples.items()}
-    counts: dict[str, int] = {}
-    for texts in folded.values():
-        for text in texts:
-            for c in text:
-                if c.isalpha():
-                    counts[c] = counts.get(c, 0) + 1
-    common = sorted(sorted(counts), key=lambda c: -counts[c])[:_ALPHABET]
-    numbers = {c: i + _PAD + 1 for i, c in enumerate(common)}
-    every = np.zeros(0x110000, np.uint8)
+    letters = sorted({c for texts in folded.values() for t in texts for c in t if c.isalpha()})
+    known = {c: i + _PAD + 1 for i, c in enumerate(letters)}
+    every = np.zeros(0x110000, np.int32)
     for code in range(0x110000):
         c = chr(code)
         if c.isalpha():
-            every[code] = numbers.get(c.lower()[0], _OTHER)
-    width, steps, bits, languages = len(common) + _PAD + 1, [], [], sorted(samples)
+            every[code] = known.get(c.lower()[0], _OTHER)
+    numbers, steps, bits, languages = [], [], [], sorted(samples)
     share = max(1, min(symbols, TOTAL_SYMBOLS // max(1, len(languages))))
     for name in languages:
-        codes = np.array([every[ord(c)] for t in folded[name] for c in " " + t], np.uint8)
+        codes = np.array([every[ord(c)] for t in folded[name] for c in " " + t], np.int32)
         keep = (codes != _GAP) | np.r_[False, codes[:-1] != _GAP]
-        sequence = codes[keep][:share].tolist()
-        steps.append(_automaton(sequence, width))
-        bits.append(math.log2(len(sequence) + 2))
-    return Parser(languages, every, width, steps, np.array(bits))
+        sequence = codes[keep][:share]
+        held = np.unique(sequence[sequence > _PAD])
+        own = np.full(len(letters) + _PAD + 1, _OTHER, np.int32)
+        own[[_GAP, _PAD]], own[held] = (_GAP, _PAD), np.arange(len(held)) + _PAD + 1
+        width, coded = len(held) + _PAD + 1, own[sequence].tolist()
+        # An automaton has at most twice as many states as symbols.
+        dense = (2 * len(coded) + 2) * width <= _DENSE
+        numbers.append(own)
+        steps.append(Table(_automaton(coded, width), width) if dense else _edges(coded, width))
+        bits.append(math.log2(len(coded) + 2))
+    return Parser(languages, every, numbers, steps, np.array(bits))
 
 
 def parse(parser: Parser, texts: list[str | None]) -> list[tuple[str, float]]:
@@ -127,15 +181,15 @@ def parse(parser: Parser, texts: list[str | None]) -> list[tuple[str, float]]:
     pieces = -(-lengths // PIECE)
     first, start = np.cumsum(pieces) - pieces, np.cumsum(lengths) - lengths
     total = int(pieces.sum())
-    grid = np.full(total * PIECE, _PAD, np.uint8)
+    grid = np.full(total * PIECE, _PAD, np.int32)
     grid[np.arange(len(codes)) + np.repeat(first * PIECE - start, lengths)] = codes
     grid = np.ascontiguousarray(grid.reshape(total, PIECE).T)
     phrases = np.empty((len(parser.languages), len(texts)))
     of = np.repeat(np.arange(len(texts)), pieces)
-    for k, steps in enumerate(parser.steps):
+    for k, (own, steps) in enumerate(zip(parser.numbers, parser.steps)):
         state, count = np.zeros(total, np.int32), np.ones(total, np.int32)
         for column in grid:
-            reached = steps[state * np.int32(parser.width) + column]
+            reached = steps.reach(state, own[column])
             ended = reached >> 31
             state = reached ^ ended
             count -= ended

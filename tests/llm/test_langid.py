@@ -105,3 +105,28 @@ def test_awkward_rows(odd, nothing):
     assert langid.identify(nothing, parser).count() == 0
     none = langid.identify(odd, langid.train(nothing))
     assert {r["lang_pred"] for r in none.collect()} == {"und"}
+
+
+def test_languages_of_one_large_script_and_of_a_rare_one():
+    rng = random.Random(6)
+    # Two languages of 600 common Han letters each in words of two, a rare pair in Cyrillic, and much text in 130 Ethiopic letters.
+    han = [chr(0x4E00 + i) for i in range(1_200)]
+    ethiopic = [c for c in map(chr, range(0x1200, 0x1300)) if c.isalpha()][:130]
+    words = {"h1": ["".join(rng.sample(han[:600], 2)) for _ in range(400)], "h2": ["".join(rng.sample(han[600:], 2)) for _ in range(400)],
+             "ru": ["".join(rng.choices("абвгдежз", k=5)) for _ in range(60)], "uk": ["".join(rng.choices("иклмнопр", k=5)) for _ in range(60)],
+             "xx": ["".join(rng.choices(ethiopic, k=5)) for _ in range(400)]}
+    text = lambda name, n: " ".join(rng.choices(words[name], k=n))
+    sizes = {"h1": 3_000, "h2": 3_000, "ru": 40, "uk": 40, "xx": 4_000}
+    parser = langid.build_parser({name: [text(name, n)] for name, n in sizes.items()})
+    names = [name for name in words for _ in range(20)]
+    got = langid.parse(parser, [text(name, 30) for name in names])
+    assert [language for language, _ in got] == names
+
+
+def test_edges_answer_as_the_table(monkeypatch):
+    rng = random.Random(9)
+    texts = ["".join(rng.choice("thecaosmdnur  ü,z☃") for _ in range(rng.randint(0, 700))) for _ in range(40)]
+    want = langid.parse(langid.build_parser(SAMPLES), texts)
+    monkeypatch.setattr(langid, "_DENSE", 0)
+    sparse = langid.build_parser(SAMPLES)
+    assert all(isinstance(s, langid.Edges) for s in sparse.steps) and langid.parse(sparse, texts) == want
