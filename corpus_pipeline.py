@@ -18,9 +18,15 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told (learned from the labels of these documents); the rest go."""
+    """Documents whose language can be told (learned from the labels of these documents); the rest go.
+
+    Where no language was learned (no label on a text with a letter), only null texts and texts without a letter go.
+    """
     prepare(spark)
-    found = langid.identify(docs, langid.train(docs))
+    parser = langid.train(docs)
+    if not parser.languages:
+        return docs.filter(docs["text"].rlike("\\p{L}"))
+    found = langid.identify(docs, parser)
     return found.filter(found["lang_pred"] != langid.UNDETERMINED).select(*docs.columns)
 
 

@@ -48,3 +48,10 @@ def test_run(spark, tmp_path):
     out = C.run(spark, str(tmp_path / "t")).collect()
     assert 101 not in {r["doc_id"] for r in out} and 102 not in {r["doc_id"] for r in out}
     assert {r["doc_id"] for r in out} >= set(range(1, 30)) - {100} and all(r["round_trip"] for r in out)
+
+
+def test_no_label_rejects_only_texts_without_a_letter(spark):
+    rows = [(1, "The cat sat.", None), (2, "Жук", None), (3, None, None), (4, "", None), (5, "12 ?!\n", None), (6, "1\n2 a", None), (7, "34", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = C.identify_language(spark, docs, FOLDER)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {1, 2, 6}
