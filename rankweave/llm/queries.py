@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import ann, chat, langid, line_dedup, minhash, mixing, secret_scan, segment, simhash, toxicity
+from rankweave.llm import ann, chat, fim, langid, line_dedup, minhash, mixing, secret_scan, segment, simhash, toxicity
 from rankweave.llm.common import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +146,24 @@ def op9_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 def op10_segmentation(spark: SparkSession, folder: str) -> DataFrame:
     """Best segmentation of every text, with scores and digests of the N best."""
     return segment.segment(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
+@query("""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u FROM documents),
+g AS (SELECT *, len(u) AS n, CAST('0x' || h[1:8] AS BIGINT) % (len(u) + 1) AS c1, CAST('0x' || h[9:16] AS BIGINT) % (len(u) + 1) AS c2,
+             CAST('0x' || h[17:24] AS BIGINT) % 100 AS share, CAST('0x' || h[25:32] AS BIGINT) % 100 AS kind FROM t),
+p AS (SELECT *, CASE WHEN text = '' OR share >= 90 OR regexp_matches(text, '<[PSM]>') THEN 'plain' WHEN kind < 20 THEN 'spm' ELSE 'psm' END AS form,
+             coalesce(array_to_string(u[1:least(c1, c2)], ''), '') AS pre, coalesce(array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], ''), '') AS mid,
+             coalesce(array_to_string(u[greatest(c1, c2) + 1:], ''), '') AS suf FROM g),
+o AS (SELECT *, CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+             ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS output FROM p)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(text) AS restored_sha256 FROM o
+""")
+def op11_fim(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text cut in three and rearranged, with digests of the output and of the text rebuilt from it."""
+    made = fim.restore(fim.transform(table(spark, folder, "documents").select("doc_id", "text")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
