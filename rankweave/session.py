@@ -48,3 +48,18 @@ def materialise(df: DataFrame) -> DataFrame:
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def materialise_by(df: DataFrame, column: str, sort: str | None = None) -> DataFrame:
+    """Write ``df`` in the shared folder, in files bucketed by ``column``, and read it back.
+
+    Joins, groups and windows on ``column`` then need no exchange of these rows.  There are as many buckets
+    as shuffle partitions.  With ``sort`` each bucket file is ordered by that column.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark)
+    name = f"rankweave_{path.rpartition('-')[2]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.format("parquet").bucketBy(buckets, column)
+    (writer.sortBy(sort) if sort else writer).option("path", path).saveAsTable(name)
+    return spark.table(name)
