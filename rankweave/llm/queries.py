@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankweave.llm import ann, chat, fim, langid, line_dedup, minhash, mixing, secret_scan, segment, simhash, toxicity
+from rankweave.llm import ann, bpe, chat, fim, langid, line_dedup, minhash, mixing, phrases, secret_scan, segment, simhash, toxicity
 from rankweave.llm.common import materialise, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,34 @@ def op11_fim(spark: SparkSession, folder: str) -> DataFrame:
     made = fim.restore(fim.transform(table(spark, folder, "documents").select("doc_id", "text")))
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
                        F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+@query("""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+                  'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p FROM documents),
+w AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM p),
+g AS (SELECT lang, k, unnest([w[i:i + k - 1] FOR i IN range(1, len(w) - k + 2)]) AS g FROM w, (SELECT unnest(range(1, 5)) AS k)),
+f AS (SELECT lang, g, any_value(k) AS k, count(*) AS a FROM g GROUP BY lang, g),
+t AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE k >= 2 AND a >= 30),
+x AS (SELECT lang, g[i:i + j - 1] AS g, max(a) AS longest FROM (SELECT c.*, unnest(range(2, k)) AS j FROM c), (SELECT unnest(range(1, 4)) AS i)
+      WHERE i + j - 1 <= k GROUP BY ALL),
+d AS (SELECT c.* FROM c LEFT JOIN x USING (lang, g) WHERE longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a),
+s AS (SELECT d.lang, d.g, d.a, j, l.a AS l, r.a AS r, (2000000::HUGEINT * d.a) // (l.a + r.a) AS score
+      FROM (SELECT d.*, unnest(range(1, k)) AS j FROM d) d JOIN f l ON l.lang = d.lang AND l.g = d.g[1:j] JOIN f r ON r.lang = d.lang AND r.g = d.g[j + 1:]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, j) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank, array_to_string(g, ' ') AS phrase,
+       CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM b JOIN t USING (lang) QUALIFY rank <= 2000
+""")
+def op12_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2,000 best phrases of two to four words of each language."""
+    return phrases.collocations(table(spark, folder, "documents").select("lang", "text"))
+
+
+@query()
+def op13_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text encoded to ids and decoded again."""
+    encoded = bpe.encode(table(spark, folder, "documents").select("doc_id", "text"))
+    return bpe.decode(encoded).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.digest(F.col("ids")).alias("ids_sha256"),
+                                      F.sha2("decoded", 256).alias("decoded_sha256"))
