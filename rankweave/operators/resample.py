@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rankweave.rng import absorb_array, mix, with_random
-from rankweave.scale import midranked, ranked, with_row
+from rankweave.scale import meet, midranked, ranked, with_row
 from rankweave.session import materialise
 
 BLOCK = 65_536
@@ -34,11 +35,11 @@ FLIP_TOLERANCE = 1e-15
 
 
 def key_number(column: Column | str, kind: str) -> Column:
-    """An integer counter for a cluster key: itself, or a hash word of other types."""
+    """An integer counter for a cluster key: itself, or 60 bits of a hash of other types."""
     value = F.col(column) if isinstance(column, str) else column
     if kind in ("tinyint", "smallint", "int", "bigint"):
         return value.cast("long")
-    return F.conv(F.substring(F.md5(value.cast("string")), 1, 8), 16, 10).cast("long")
+    return F.conv(F.substring(F.md5(value.cast("string")), 1, 15), 16, 10).cast("long")
 
 
 def effect_totals(
@@ -505,22 +506,53 @@ def two_sided_normal(z: pd.Series) -> pd.Series:
     return z.map(lambda v: math.erfc(abs(v) / math.sqrt(2.0)) if v == v and v is not None else None)
 
 
-def wilcoxon_pratt(rows: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """Signed-rank test with zeros kept in the ranking, normal approximation with ties."""
+EXACT_SIGNED_RANK = 50
+
+
+@lru_cache(maxsize=EXACT_SIGNED_RANK + 1)
+def signed_rank_tails(n: int) -> np.ndarray:
+    """Probability that the ranks 1 to n with random signs have a positive sum of at most 0, 1, 2, ...
+
+    Counts of rank subsets by their sum, one rank after the other; they are whole numbers below 2**53.
+    """
+    ways = np.zeros(n * (n + 1) // 2 + 1)
+    ways[0] = 1.0
+    for rank in range(1, n + 1):
+        ways[rank:] = ways[rank:] + ways[:len(ways) - rank]
+    return np.cumsum(ways) / 2.0 ** n
+
+
+@F.pandas_udf(T.DoubleType())
+def exact_signed_rank(n: pd.Series, statistic: pd.Series) -> pd.Series:
+    """Two-sided exact p-value of the smaller rank sum of up to 50 differences without zeros and ties."""
+    return pd.Series([min(1.0, 2.0 * float(signed_rank_tails(int(k))[int(w)])) for k, w in zip(n, statistic)])
+
+
+def wilcoxon_pratt(rows: DataFrame, value: str, by: Sequence[str] = (), exact_up_to: int = EXACT_SIGNED_RANK) -> DataFrame:
+    """Signed-rank test with zeros kept in the ranking: n, statistic, z, exact and p_value per group.
+
+    Groups of at most ``exact_up_to`` differences (50 is the most) without a zero and without ties have the exact
+    null distribution; all others the normal approximation with tie correction.  Null differences are left out.
+    """
+    if exact_up_to > EXACT_SIGNED_RANK:
+        raise ValueError(f"the exact distribution goes up to {EXACT_SIGNED_RANK} differences")
     by = list(by)
-    placed = midranked(rows.select(*by, F.col(value).alias("_d")), by, F.abs("_d"), "_rank")
+    placed = midranked(rows.select(*by, F.col(value).alias("_d")).filter("_d IS NOT NULL"), by, F.abs("_d"), "_rank")
     d = F.col("_d")
     ties = placed.filter(d != 0).groupBy(*by, "_rank").agg(F.count(F.lit(1)).alias("_t")).groupBy(*by).agg(
         F.sum(F.col("_t").cast("double") * (F.col("_t").cast("double") * F.col("_t") - 1)).alias("_ties"))
     sums = placed.groupBy(*by).agg(
-        F.count(F.lit(1)).cast("double").alias("n"), F.count_if(d == 0).cast("double").alias("zeros"),
+        F.count(F.lit(1)).alias("n"), F.count_if(d == 0).cast("double").alias("zeros"),
         F.coalesce(F.sum(F.when(d > 0, F.col("_rank"))), F.lit(0.0)).alias("w_plus"),
         F.coalesce(F.sum(F.when(d < 0, F.col("_rank"))), F.lit(0.0)).alias("w_minus"))
-    joined = sums.join(ties, by, "left") if by else with_row(sums, ties)
-    n, z = F.col("n"), F.col("zeros")
+    joined = meet(sums, ties, by, "left") if by else with_row(sums, ties)
+    n, z, tied = F.col("n").cast("double"), F.col("zeros"), F.coalesce("_ties", F.lit(0.0))
     mean = (n * (n + 1) - z * (z + 1)) / 4
-    variance = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - 0.5 * F.coalesce("_ties", F.lit(0.0))) / 24
-    statistic = F.least("w_plus", "w_minus")
-    score = F.try_divide(statistic - mean, F.sqrt(variance))
-    return joined.select(*by, statistic.alias("statistic"), score.alias("z")).withColumn(
-        "p_value", F.coalesce(two_sided_normal("z"), F.lit(1.0)))
+    variance = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - 0.5 * tied) / 24
+    exact = (F.col("n") <= exact_up_to) & (z == 0) & (tied == 0)
+    tested = joined.select(*by, "n", F.least("w_plus", "w_minus").alias("statistic"), mean.alias("_mean"), variance.alias("_variance"), exact.alias("exact"))
+    tested = tested.withColumn("z", F.try_divide(F.col("statistic") - F.col("_mean"), F.sqrt("_variance")))
+    # A row without an exact test asks for the distribution of no differences, which costs nothing.
+    p_exact = exact_signed_rank(F.when(F.col("exact"), F.col("n")).otherwise(0), F.when(F.col("exact"), F.col("statistic")).otherwise(0.0))
+    return tested.select(*by, "n", "statistic", "z", "exact", F.when(F.col("exact"), p_exact).otherwise(
+        F.coalesce(two_sided_normal("z"), F.lit(1.0))).alias("p_value"))

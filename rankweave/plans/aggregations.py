@@ -514,9 +514,12 @@ def g30(t: Tables):
     return M.sign_counts(V.effects(t).groupBy("class", "seed").agg(F.avg("d_top1").alias("g")), ["class"], "g")
 
 
-@query("g31_content_digest", """
-SELECT pool, count(*) AS n_rows, CAST(sum(CAST('0x' || substr(h, 1, 8) AS BIGINT)) AS BIGINT) AS digest_high, CAST(sum(CAST('0x' || substr(h, 9, 8) AS BIGINT)) AS BIGINT) AS digest_low
-FROM (SELECT pool, md5(concat_ws('|', query_id, cand_key, rank)) AS h FROM all_tops) GROUP BY pool""")
+_DIGEST_FIELDS = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || {c} || ';', 'n;')" for c in ("query_id", "cand_key", "rank"))
+
+
+@query("g31_content_digest", "SELECT pool, count(*) AS n_rows, " + ", ".join(
+    f"CAST(sum(CAST('0x' || substr(h, {8 * i + 1}, 8) AS BIGINT)) AS BIGINT) AS digest_{i}" for i in range(4))
+    + f" FROM (SELECT pool, md5({_DIGEST_FIELDS}) AS h FROM all_tops) GROUP BY pool")
 def g31(t: Tables):
     """Order-aware digest of every pool's lists."""
     return A.text_digest(V.all_lists(t), ["query_id", "cand_key", "rank"], ["pool"])

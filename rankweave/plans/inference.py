@@ -274,6 +274,36 @@ def r12(t: Tables):
     return out.select("seed", F.round("statistic", 6).alias("statistic"), F.round("z", 6).alias("z"), (F.round("p_value", 4)).alias("p_value"))
 
 
+cte("pair_rows", """
+SELECT c_nationkey AS nation, c_mktsegment AS segment, round(sum(CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE -o_totalprice END), 2) AS d
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_nationkey, c_mktsegment""")
+cte("pair_ranks", """
+SELECT *, rank() OVER (PARTITION BY nation, segment ORDER BY abs(d)) + (count(*) OVER (PARTITION BY nation, segment, abs(d)) - 1) / 2.0::DOUBLE AS r,
+  count(*) OVER (PARTITION BY nation, segment, abs(d)) AS c FROM pair_rows""")
+cte("pair_sums", """
+SELECT nation, segment, count(*) AS n, count(*) FILTER (WHERE d = 0) AS z, bool_or(c > 1) AS tied, coalesce(sum(r) FILTER (WHERE d > 0), 0) AS wp,
+  coalesce(sum(r) FILTER (WHERE d < 0), 0) AS wm, coalesce(sum(c * c - 1) FILTER (WHERE d <> 0), 0)::DOUBLE AS tt FROM pair_ranks GROUP BY nation, segment""")
+cte("rank_sums", """
+SELECT i AS n, s AS total, c AS ways FROM (WITH RECURSIVE w(i, s, c) AS (SELECT 0, 0, 1::DOUBLE UNION ALL
+  SELECT i + 1, s + k * (i + 1), sum(c) FROM w, (SELECT unnest([0, 1]) AS k) WHERE i < 50 GROUP BY i + 1, s + k * (i + 1)) SELECT * FROM w)""")
+
+
+@query("r12_exact_signed_rank", """
+WITH e AS (SELECT *, least(wp, wm) AS w, n <= 50 AND z = 0 AND NOT tied AS exact FROM pair_sums),
+p AS (SELECT e.nation, e.segment, sum(ways) / pow(2, max(e.n)) AS tail FROM e JOIN rank_sums s ON s.n = e.n AND s.total <= e.w WHERE exact GROUP BY e.nation, e.segment),
+z AS (SELECT e.*, abs((w - (n * (n + 1) - z * (z + 1)) / 4.0::DOUBLE) / sqrt((n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - 0.5 * tt) / 24.0::DOUBLE)) AS score FROM e)
+SELECT nation, segment, n, w AS statistic, exact, round(CASE WHEN exact THEN least(2 * tail, 1) ELSE
+  greatest(1 - 2 * (SELECT sum(exp(-x * x / 2)) * score / 4000 / sqrt(2 * pi()) FROM (SELECT (unnest(range(0, 4000)) + 0.5) * score / 4000 AS x)), 0) END, 5) AS p_value
+FROM z LEFT JOIN p USING (nation, segment)""")
+def r12_exact(t: Tables):
+    """Signed-rank test of customers' even against odd orders, per nation and segment: small groups without ties are exact."""
+    signed = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_totalprice")).otherwise(-F.col("o_totalprice"))
+    pairs = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(
+        "c_custkey", F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")).agg(F.round(F.sum(signed), 2).alias("d"))
+    out = RS.wilcoxon_pratt(pairs, "d", ["nation", "segment"])
+    return out.select("nation", "segment", "n", "statistic", "exact", F.round("p_value", 5).alias("p_value"))
+
+
 @query("r13_significance_bundle", f"""
 SELECT metric, round(CASE metric WHEN 'top1' THEN (SELECT sum(s_top1) / sum(n) FROM totals_h) ELSE (SELECT sum(s_mrr) / sum(n) FROM totals_h) END, 6) AS effect, {_CI.format("e")},
   round(CASE metric WHEN 'top1' THEN {flip_sql('totals_h', 's_top1', DRAWS, 18)} ELSE {flip_sql('totals_h', 's_mrr', DRAWS, 18)} END, 6) AS p_value
@@ -411,9 +441,9 @@ JOIN (SELECT class, {_CI.format("s_d_mrr / n")} FROM boot_class GROUP BY class)
 def g09_tests(t: Tables, draws: int = DRAWS):
     """Interval, sign-flip p-value and step-up adjustment per class."""
     totals = RS.effect_totals(V.effects(t), ["d_mrr"], SEEDS, by=["class"])
-    draws = RS.resampled_sums(totals, ["n", "s_d_mrr"], draws, 95, ["class"]).withColumn("e", F.col("s_d_mrr") / F.col("n"))
+    sums = RS.resampled_sums(totals, ["n", "s_d_mrr"], draws, 95, ["class"]).withColumn("e", F.col("s_d_mrr") / F.col("n"))
     effect = totals.groupBy("class").agg((F.sum("s_d_mrr") / F.sum("n")).alias("effect"))
-    tests = effect.join(RS.interval(draws, "e", ["class"]), "class").join(RS.sign_flip(totals, ["d_mrr"], draws, 96, ["class"]).drop("metric"), "class")
+    tests = effect.join(RS.interval(sums, "e", ["class"]), "class").join(RS.sign_flip(totals, ["d_mrr"], draws, 96, ["class"]).drop("metric"), "class")
     return V.rounded(D.benjamini_hochberg(materialise(tests), [], ["class"]))
 
 

@@ -151,9 +151,9 @@ def load_reactions(source: DataFrame, metadata: DataFrame | None = None) -> Data
     if metadata is not None:
         once = metadata.groupBy(F.col("reaction_id").alias("query_id")).agg(
             F.count(F.lit(1)).alias("_n"), F.first("source_split").alias("source_split"), F.first("reaction_class").alias("reaction_class"))
+        twice = F.raise_error(F.lit("a reaction id occurs twice in the metadata")).cast(once.schema["reaction_class"].dataType)
         keyed = keyed.join(once, "query_id", "left").withColumn("reaction_class", F.when(
-            F.coalesce("_n", F.lit(1)) == 1, F.col("reaction_class")).otherwise(
-                F.raise_error(F.lit("a reaction id occurs twice in the metadata")).cast("int"))).drop("_n")
+            F.coalesce("_n", F.lit(1)) == 1, F.col("reaction_class")).otherwise(twice)).drop("_n")
         agrees = F.col("source_split").isNull() | (F.col("source_split") == F.col("split"))
         keyed = keyed.withColumn(
             "split", F.when(agrees, F.col("split"))

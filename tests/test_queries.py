@@ -1,7 +1,4 @@
-"""Registered queries against their SQL on DuckDB.
-
-By default a few of each group run; RANKWEAVE_ALL_QUERIES=1 runs every one.
-"""
+"""Registered queries against their SQL on DuckDB, every one of them."""
 
 import os
 
@@ -11,10 +8,7 @@ from check_oracle import connect, table
 import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
-SOME = ("g01_coverage", "g17_descriptor_summary", "j09_merged_pool", "j12_crosswalk", "m02_hard_negatives", "p08_bins", "q01_pool_issues",
-        "r02_crossed_bootstrap", "r08_sign_flip", "s03_strict_audit", "s08_decoded_lists", "t03_anchored_extension", "w08_holm",
-        "f08_vector_set_similarity", "x01_token_encoder", "st1_incremental_ingest")
-NAMES = sorted(entry.queries()) if os.environ.get("RANKWEAVE_ALL_QUERIES") else SOME
+NAMES = sorted(entry.queries())
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
 

@@ -190,3 +190,38 @@ def test_wilcoxon_with_zeros_and_ties(spark):
     assert row["p_value"] == pytest.approx(math.erfc(abs(w - mean) / sd / math.sqrt(2)))
     flat = RS.wilcoxon_pratt(spark.createDataFrame([(0.0,), (0.0,)], "d DOUBLE"), "d").first()
     assert flat["p_value"] == 1.0
+
+
+def test_signed_rank_equals_enumeration(spark):
+    rng = np.random.default_rng(5)
+    for n in [*range(1, 13), 20]:
+        signs = np.array(np.meshgrid(*[[0, 1]] * min(n, 12))).reshape(min(n, 12), -1) if n <= 12 else None
+        d = rng.permutation(np.arange(1, n + 1)) * rng.choice([-1.0, 1.0], n) * 1.5
+        row = RS.wilcoxon_pratt(spark.createDataFrame([(float(v),) for v in d], "d DOUBLE"), "d").first()
+        w = min(sum(abs(v) for v in d if v > 0), sum(abs(v) for v in d if v < 0)) / 1.5
+        assert row["exact"] and row["n"] == n and row["statistic"] == w
+        if signs is not None:
+            sums = np.arange(1, n + 1) @ signs
+            assert row["p_value"] == pytest.approx(min(1.0, 2 * np.mean(sums <= w)), abs=1e-15)
+        else:
+            import itertools
+            reach = {0: 1}
+            for k in range(1, n + 1):
+                reach = {s: reach.get(s, 0) + reach.get(s - k, 0) for s in {*reach, *(s + k for s in reach)}}
+            assert row["p_value"] == pytest.approx(min(1.0, 2 * sum(c for s, c in reach.items() if s <= w) / 2**n), abs=1e-15)
+            assert sum(itertools.chain(reach.values())) == 2**n
+
+
+def test_signed_rank_known_value_and_rule(spark):
+    rows = [("five", float(v)) for v in (1, 2, 3, 4, 5)] + [("tied", v) for v in (1.0, 1.0, 2.0)] + [("zero", v) for v in (0.0, 1.0, 2.0)]
+    rows += [("many", float(v)) for v in range(1, 52)] + [("fifty", float(v)) for v in range(1, 51)] + [(None, 1.0), ("five", None)]
+    got = {r["g"]: r for r in RS.wilcoxon_pratt(spark.createDataFrame(rows, "g STRING, d DOUBLE"), "d", ["g"]).collect()}
+    assert got["five"]["p_value"] == 0.0625 and got["five"]["n"] == 5
+    assert {g: r["exact"] for g, r in got.items()} == {"five": True, "tied": False, "zero": False, "many": False, "fifty": True, None: True}
+    assert got["fifty"]["p_value"] == 2.0**-49 and got[None]["p_value"] == 1.0
+    assert RS.wilcoxon_pratt(spark.createDataFrame([], "g STRING, d DOUBLE"), "d", ["g"]).count() == 0
+
+
+def test_string_clusters_have_their_own_counters(spark):
+    keys = spark.range(400_000).select(F.concat(F.lit("cluster "), "id").alias("k"))
+    assert keys.select(RS.key_number("k", "string").alias("n")).distinct().count() == 400_000
