@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from rankweave.functions.scores import float32_steps, relative_difference, within_tolerance
 from rankweave.operators import pools as P
+from rankweave.operators.idsets import bitmap_bytes, tagged_bitmaps
 from rankweave.scale import following, ranked, with_row
 
 QUERY, CAND = P.QUERY, P.CAND
@@ -114,21 +115,29 @@ def ordered_equality(left: DataFrame, right: DataFrame, keys: Sequence[str], col
 
 
 def partition_proof(expected: DataFrame, parts: dict[str, DataFrame], key: str) -> DataFrame:
-    """One row: sizes of the parts, overlap, and whether they exactly make up ``expected``."""
-    tagged = None
-    for name, ids in parts.items():
-        part = ids.select(key, F.lit(name).alias("part"))
-        tagged = part if tagged is None else tagged.unionByName(part)
-    held = tagged.groupBy(key).agg(
-        F.count_distinct("part").alias("_parts"),
-        *[F.max(F.when(F.col("part") == name, 1)).alias(f"_in_{name}") for name in parts])
-    both = expected.select(key, F.lit(1).alias("_e")).distinct().join(held, key, "full_outer")
-    overlap, missing = F.count_if(F.col("_parts") > 1), F.count_if(F.col("_parts").isNull())
-    extra = F.count_if(F.col("_e").isNull())
-    return both.agg(
-        F.count("_e").alias("n_expected"), *[F.count(f"_in_{n}").alias(f"n_{n}") for n in parts],
-        overlap.alias("n_overlap"), missing.alias("n_missing"), extra.alias("n_extra"),
-        ((overlap == 0) & (missing == 0) & (extra == 0)).alias("is_partition"))
+    """One row: sizes of the parts, overlap (ids of more than one part), and whether they exactly make up ``expected``.
+
+    All sets are bitmaps of whole-number ids, built in one aggregation and combined bucket by bucket.
+    """
+    sets = tagged_bitmaps({"e": expected, **{f"p_{name}": ids for name, ids in parts.items()}}, key)
+    named = F.col("name")
+    bits = sets.groupBy("bucket").agg(
+        F.bitmap_or_agg(F.when(named == "e", F.col("bits"))).alias("_e"), F.bitmap_or_agg(F.when(named != "e", F.col("bits"))).alias("_any"),
+        F.bitmap_or_agg("bits").alias("_all"), *[F.bitmap_or_agg(F.when(named == f"p_{n}", F.col("bits"))).alias(f"_in_{n}") for n in parts])
+    size = lambda c: F.coalesce(F.sum(F.bitmap_count(c)), F.lit(0))
+    # Ids in more than one part, pair by pair of consecutive unions: each part against all before it.
+    overlaps = sets.filter(named != "e")
+    repeated = overlaps.select("bucket", F.posexplode(bitmap_bytes(F.col("bits"))).alias("_byte", "_flags")).filter("_flags <> 0")
+    twice = repeated.groupBy("bucket", "_byte").agg(F.collect_list("_flags").alias("f")).filter(F.size("f") > 1)
+    more = F.aggregate("f", F.struct(F.lit(0).alias("seen"), F.lit(0).alias("more")), lambda s, x: F.struct(
+        s["seen"].bitwiseOR(x).alias("seen"), s["more"].bitwiseOR(s["seen"].bitwiseAND(x)).alias("more")))["more"]
+    overlap = twice.agg(F.coalesce(F.sum(F.bit_count(more)), F.lit(0)).cast("long").alias("n_overlap"))
+    counts = bits.agg(
+        size("_e").alias("n_expected"), *[size(f"_in_{n}").alias(f"n_{n}") for n in parts],
+        (size("_all") - size("_any")).alias("n_missing"), (size("_all") - size("_e")).alias("n_extra"))
+    whole = with_row(counts, overlap)
+    return whole.select("n_expected", *[f"n_{n}" for n in parts], "n_overlap", "n_missing", "n_extra",
+                        ((F.col("n_overlap") == 0) & (F.col("n_missing") == 0) & (F.col("n_extra") == 0)).alias("is_partition"))
 
 
 def text_digest(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

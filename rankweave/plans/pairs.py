@@ -12,6 +12,7 @@ from rankweave.functions.scores import normalised_rank
 from rankweave.operators import metrics as M
 from rankweave.operators import pairs as X
 from rankweave.operators import pools as P
+from rankweave.operators import ranker as RK
 from rankweave.plans import views as V
 from rankweave.plans.registry import Tables, cte, query
 from rankweave.rng import random_sql
@@ -144,6 +145,20 @@ def m06(t: Tables):
     return V.rounded(out.withColumns({f"weight_{k}": F.lit(v) for k, v in weights.items()}), 4)
 
 
+RANKER_FEATURES = ("norm", "feat")
+
+
+@query("m06_layered_ranker")
+def m06_layered(t: Tables):
+    """Fit a ranker with two hidden layers on train, stop early on validation lists, report every epoch."""
+    lists = materialise(labelled_lists(t))
+    data = RK.prepare_pairs(X.training_pairs(lists.filter(F.col("split") == "train"), SEED, K, RANKER_FEATURES), RANKER_FEATURES)
+    valid = lists.filter(F.col("split") == "valid").withColumnRenamed("is_match", "is_truth")
+    fit = RK.fit_layered(data, RK.prepare_lists(valid, RANKER_FEATURES, data), (8, 4), seed=SEED, learning_rate=0.05, max_epochs=12, patience=5)
+    rows = [(epoch, round(loss, 6), round(mrr, 6), chosen, epoch == fit.best_epoch) for epoch, loss, mrr, chosen in fit.history]
+    return t.spark.createDataFrame(rows, "epoch INT, train_loss DOUBLE, validation_mrr DOUBLE, improved BOOLEAN, selected BOOLEAN")
+
+
 @query("m06_validation_choice", """
 SELECT config, round(mean, 6) AS mean FROM (SELECT w AS config, avg(CASE WHEN tr IS NULL THEN 0 ELSE 1.0::DOUBLE / place END) AS mean FROM (
   SELECT w, a.query_id, max(CASE WHEN a.is_match THEN 1 END) AS tr, count(*) FILTER (WHERE sc > t_sc OR (sc = t_sc AND rank <= t_rank)) AS place

@@ -14,6 +14,7 @@ from rankweave.operators import audits as A
 from rankweave.operators import diagnostics as D
 from rankweave.operators import features as FE
 from rankweave.operators import metrics as M
+from rankweave.operators import ranker as RK
 from rankweave.operators import scoring as SC
 from rankweave.plans import views as V
 from rankweave.plans.aggregations import descriptors
@@ -258,6 +259,34 @@ def f23(t: Tables):
     return V.rounded(features(t).select("query_id", "cand_key", score.alias("score")))
 
 
+# Three layers: three inputs, four and three rectified units, one score.
+LAYERED = RK.layered(
+    [[[0.5, -0.3, 0.2, 1.0], [-0.25, 0.8, 0.4, -0.5], [0.1, 0.05, -0.2, 0.3]],
+     [[0.6, -0.4, 0.3], [0.2, 0.9, -0.1], [-0.7, 0.5, 0.8], [0.1, 0.2, 0.4]], [[1.5], [-0.7], [0.9]]],
+    [[0.2, -0.1, 0.0, 0.05], [0.0, 0.1, -0.2], [0.1]])
+LAYERED_INPUTS = ["prior", "set_similarity", "size_ratio"]
+
+
+def _layer_sql(inputs: list[str], weights, offsets, rectify: bool) -> list[str]:
+    sums = [f"{b}::DOUBLE + " + " + ".join(f"{x} * {w}::DOUBLE" for x, w in zip(inputs, column)) for column, b in zip(weights.T.tolist(), offsets.tolist())]
+    return [f"greatest({x}, 0)" if rectify else x for x in sums]
+
+
+def _layered_sql(source: str) -> str:
+    inputs, sql = LAYERED_INPUTS, f"SELECT * FROM {source}"
+    for i, (w, b) in enumerate(zip(LAYERED.weights, LAYERED.offsets)):
+        units = _layer_sql(inputs, w, b, i + 1 < len(LAYERED.weights))
+        inputs = [f"u{i}_{k}" for k in range(len(units))]
+        sql = f"SELECT *, {', '.join(f'{x} AS {n}' for x, n in zip(units, inputs))} FROM ({sql})"
+    return f"SELECT query_id, cand_key, round({inputs[0]}, 6) AS score FROM ({sql})"
+
+
+@query("f23_layered_model", _layered_sql("feats"))
+def f23_layered(t: Tables):
+    """A frozen model with two hidden layers over every candidate, as matrix products on Arrow batches."""
+    return V.rounded(RK.layered_score(features(t), LAYERED_INPUTS, LAYERED).select("query_id", "cand_key", "score"))
+
+
 @query("f24_pair_loss", """
 SELECT count(*) AS n, round(avg(ln(1 + exp(n.norm + 2 * n.feat - p.norm - 2 * p.feat + 0.1))), 6) AS mean_loss, round(sum(ln(1 + exp(n.norm + 2 * n.feat - p.norm - 2 * p.feat + 0.1))), 3) AS total_loss
 FROM train_pairs t JOIN labelled p ON p.query_id = t.query_id AND p.cand_key = t.pos_key JOIN labelled n ON n.query_id = t.query_id AND n.cand_key = t.neg_key""")
