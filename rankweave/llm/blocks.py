@@ -15,27 +15,28 @@ from collections import defaultdict
 import numpy as np
 import zstandard
 
-_LEVEL = 1
+_pack = zstandard.ZstdCompressor(level=1).compress
+_open = zstandard.ZstdDecompressor().decompress
 
 
 def squeeze(numbers: np.ndarray, kind: str = "<u4") -> bytes:
     """Non-negative numbers that fit ``kind``, their bytes in planes, compressed."""
     planes = np.ascontiguousarray(numbers, kind).view(np.uint8).reshape(-1, np.dtype(kind).itemsize).T
-    return zstandard.compress(planes.tobytes(), _LEVEL)
+    return _pack(planes.tobytes())
 
 
 def stretch(raw: bytes, kind: str = "<u4") -> np.ndarray:
-    flat = np.frombuffer(zstandard.decompress(raw), np.uint8)
+    flat = np.frombuffer(_open(raw), np.uint8)
     return np.ascontiguousarray(flat.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def squeeze_strings(parts: list[bytes]) -> bytes:
     lengths = np.fromiter(map(len, parts), "<u4", len(parts))
-    return zstandard.compress(len(parts).to_bytes(4, "little") + lengths.tobytes() + b"".join(parts), _LEVEL)
+    return _pack(len(parts).to_bytes(4, "little") + lengths.tobytes() + b"".join(parts))
 
 
 def stretch_strings(raw: bytes) -> list[bytes]:
-    data = zstandard.decompress(raw)
+    data = _open(raw)
     size = int.from_bytes(data[:4], "little")
     ends = (4 + 4 * size + np.cumsum(np.frombuffer(data, "<u4", size, 4), dtype=np.int64)).tolist()
     return [data[a:b] for a, b in itertools.pairwise([4 + 4 * size, *ends])]

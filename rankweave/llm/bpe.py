@@ -202,16 +202,40 @@ def encode(docs: DataFrame, text_column: str = "text", path: str | None = None,
     return whole.toDF(*names, "ids")
 
 
+def _lists(ids: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of all rows end to end, where each row begins, and which rows are null."""
+    null = ids.is_null().to_numpy(zero_copy_only=False)
+    offsets = ids.offsets.to_numpy().astype(np.int64)
+    # A null row may still span numbers; they are nobody's.
+    lengths = np.where(null, 0, np.diff(offsets))
+    numbers = ids.values.fill_null(-1).to_numpy()[offsets[0]:offsets[-1]]
+    if (lengths != np.diff(offsets)).any():
+        numbers = numbers[np.repeat(~null, np.diff(offsets))]
+    return numbers, np.concatenate([[0], np.cumsum(lengths)]), null
+
+
 def decode(rows: DataFrame, ids_column: str = "ids", path: str | None = None) -> DataFrame:
-    """``rows`` with ``decoded`` (binary): the bytes of the ids.  Null ids, and ids without a token, give null."""
-    tokens = {rank: token for token, rank in load(path).items()}
-    shared = rows.sparkSession.sparkContext.broadcast(tokens)
+    """``rows`` with ``decoded`` (binary): the bytes of the ids.  Null ids, and rows with an id without a token, give null."""
+    ranks = load(path)
+    tokens = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        tokens[rank] = token
+    # Tokens are never empty, so a length of zero marks an id that has none; the last place stands for such ids.
+    length = np.array([*map(len, tokens), 0], np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(tokens), np.uint8), length, np.cumsum(length) - length))
 
     @F.arrow_udf("binary")
     def join(ids: pa.Array) -> pa.Array:
-        token = shared.value.get
-        found = [None if row is None else [token(i) for i in row] for row in ids.to_pylist()]
-        return pa.array([None if row is None or None in row else b"".join(row) for row in found], pa.binary())
+        data, length, begin = shared.value
+        numbers, starts, null = _lists(ids)
+        numbers = np.where((numbers < 0) | (numbers >= len(length)), len(length) - 1, numbers)
+        own = length[numbers]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        body = data[np.repeat(begin[numbers] - ends[:-1], own) + np.arange(ends[-1])].tobytes()
+        lost = np.concatenate([[0], np.cumsum(own == 0)])
+        null = null | (lost[starts[1:]] > lost[starts[:-1]])
+        at = ends[starts].tolist()
+        return pa.array([None if gone else body[a:b] for gone, a, b in zip(null.tolist(), at, at[1:])], pa.binary())
 
     return rows.withColumn("decoded", join(F.col(f"`{ids_column}`")))
 
@@ -220,6 +244,8 @@ def digest(ids: Column) -> Column:
     """SHA-256 of ids as little-endian 32-bit integers, in hexadecimal."""
     @F.arrow_udf("string")
     def apply(rows: pa.Array) -> pa.Array:
-        return pa.array([None if row is None else sha256(np.array(row, "<u4").tobytes()).hexdigest() for row in rows.to_pylist()], pa.string())
+        numbers, starts, null = _lists(rows)
+        raw, at = memoryview(numbers.astype("<u4").tobytes()), (starts * 4).tolist()
+        return pa.array([None if gone else sha256(raw[a:b]).hexdigest() for gone, a, b in zip(null.tolist(), at, at[1:])], pa.string())
 
     return apply(ids)
