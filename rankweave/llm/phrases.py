@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.blocks import Numbering, squeeze, stretch
 from rankweave.llm.common import materialise, pack
+from rankweave.scale import ranked
 from rankweave.session import materialise_by
 
 LEAST = 30
@@ -200,8 +201,9 @@ def graph(docs: DataFrame, lang_column: str = "lang", text_column: str = "text",
     listed = blocks.select("block", "lang", F.explode(F.arrays_zip("place", "word", "n")).alias("w")).select("block", "lang", "w.*")
     totals = blocks.select("lang", F.aggregate("n", F.lit(0).cast("long"), lambda x, y: x + y).alias("n")).groupBy("lang").agg(
         F.sum("n").alias("total")).filter("total > 0")
-    often = materialise(listed.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select(
-        (F.monotonically_increasing_id() + 1).alias("number"), "lang", "word"))
+    # Numbered by frequency: frequent words have small numbers, which pack well.
+    often = materialise(listed.groupBy("lang", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
+    often = materialise(ranked(often, [], [-F.col("n"), F.col("lang"), F.col("word")], "number").select("number", "lang", "word"))
     known = listed.select("block", "lang", "place", "word").join(often, ["lang", "word"]).select(
         F.col("block").alias("of"), "place", "number")
     size = totals.agg(F.sum("total")).first()[0] or 0
