@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankweave.functions.scores import normalised_rank
+from rankweave.operators import idsets
 from rankweave.scale import following, ranked
 
 QUERY = "query_id"
@@ -220,15 +221,8 @@ def leakage_free(train: DataFrame, held_out: DataFrame, key: str) -> DataFrame:
 
 
 def common_ids(pools: dict[str, DataFrame], key: str = QUERY) -> DataFrame:
-    """Ids present in every pool."""
-    tagged = None
-    for name, ids in pools.items():
-        part = ids.select(key).distinct().withColumn("pool", F.lit(name))
-        tagged = part if tagged is None else tagged.unionByName(part)
-    return (
-        tagged.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") == len(pools)).select(key)
-    )
+    """Whole-number ids present in every pool, by bitmaps combined bucket by bucket."""
+    return idsets.members(idsets.intersection(idsets.tagged_bitmaps(pools, key), len(pools)), key)
 
 
 def list_agreement(reference: DataFrame, current: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from rankweave.plans.aggregations import query_effects
 from rankweave.plans.joins import common_cohort
 from rankweave.plans.registry import Tables, cte, query
 from rankweave.rng import random_sql
-from rankweave.session import materialise
+from rankweave.session import materialise, materialise_by
 
 # Draws of the registered queries: as many as their SQL can enumerate.  Every query function takes another
 # count; published analyses draw 10,000 bootstrap samples and 100,000 signs or permutations (see bench.py).
@@ -132,7 +132,7 @@ def joint_effects(t: Tables) -> DataFrame:
     """
     V.share(t)
     rows = renamed_effects(t, V.POOLS).join(common_cohort(t), "query_id").select("pool", "query_id", "cluster_key", "seed", *METRICS)
-    rows = materialise(rows)
+    rows = materialise_by(rows, "query_id")
     old = rows.filter(F.col("pool") == "historical").select("query_id", "seed", *[F.col(m).alias(f"old_{m}") for m in METRICS])
     new = rows.filter(F.col("pool") != "historical").withColumnsRenamed({m: f"new_{m}" for m in METRICS})
     joined = new.join(old, ["query_id", "seed"])

@@ -10,6 +10,7 @@ from rankweave.functions import scores as S
 from rankweave.operators import audits as A
 from rankweave.operators import features as FE
 from rankweave.operators import metrics as M
+from rankweave.operators import compare, idsets
 from rankweave.operators import pools as P
 from rankweave.plans import views as V
 from rankweave.plans.registry import Tables, cte, query
@@ -512,7 +513,8 @@ def u01(t: Tables):
 SELECT query_id FROM wide_historical WHERE prior_rank > 0 INTERSECT SELECT query_id FROM wide_beta WHERE prior_rank > 0""")
 def u02(t: Tables):
     """Queries covered in both pools."""
-    return covered_ids(t, "historical").intersect(covered_ids(t, "beta"))
+    V.share(t)
+    return P.common_ids({name: covered_ids(t, name) for name in ("historical", "beta")})
 
 
 @query("u03_two_way_difference", """
@@ -520,10 +522,10 @@ SELECT 'missing' AS side, count(*) AS n FROM (SELECT query_id FROM wide_historic
 UNION ALL SELECT 'extra', count(*) FROM (SELECT query_id FROM wide_beta WHERE prior_rank > 0 EXCEPT SELECT query_id FROM wide_historical WHERE prior_rank > 0)""")
 def u03(t: Tables):
     """Ids on one side only, counted both ways."""
-    a, b = covered_ids(t, "historical"), covered_ids(t, "beta")
-    count = F.count(F.lit(1)).alias("n")
-    missing = a.join(b, "query_id", "left_anti").agg(count).select(F.lit("missing").alias("side"), "n")
-    return missing.unionByName(b.join(a, "query_id", "left_anti").agg(count).select(F.lit("extra").alias("side"), "n"))
+    V.share(t)
+    sets = idsets.tagged_bitmaps({name: covered_ids(t, name) for name in ("historical", "beta")}, "query_id")
+    sizes = idsets.set_sizes(sets, "historical", "beta").select(F.col("only_left").alias("missing"), F.col("only_right").alias("extra"))
+    return sizes.unpivot([], ["missing", "extra"], "side", "n")
 
 
 @query("u04_partition_proof", """
@@ -568,4 +570,29 @@ SELECT count(*) AS differing_rows FROM ((SELECT query_id, cand_key FROM pool_his
 def u07(t: Tables):
     """Rows that keep two tables from being equal as bags."""
     a, b = V.pool(t, "historical").select("query_id", "cand_key"), thinned_pool(t).select("query_id", "cand_key")
-    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count(F.lit(1)).alias("differing_rows"))
+    differing = compare.row_differences(a, b, ["query_id", "cand_key"])
+    return differing.agg(F.coalesce(F.sum(F.abs(F.col("n_left") - F.col("n_right"))), F.lit(0)).alias("differing_rows"))
+
+
+_REVISED = ("o_custkey", "o_totalprice", "o_orderpriority")
+cte("revised_orders", """
+SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 997 = 3 THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice,
+  CASE WHEN o_orderkey % 1501 = 5 THEN NULL ELSE o_orderpriority END AS o_orderpriority FROM orders WHERE o_orderkey % 1999 <> 7
+UNION ALL SELECT -o_orderkey, o_custkey, o_totalprice, o_orderpriority FROM orders WHERE o_orderkey % 2003 = 11""")
+
+
+@query("u07_revised_rows", f"""
+SELECT coalesce(a.o_orderkey, b.o_orderkey) AS o_orderkey,
+  CASE WHEN b.o_orderkey IS NULL THEN 'missing' WHEN a.o_orderkey IS NULL THEN 'extra' ELSE 'changed' END AS change,
+  CASE WHEN a.o_orderkey IS NULL OR b.o_orderkey IS NULL THEN '' ELSE array_to_string(list_filter([{", ".join(f"CASE WHEN a.{c} IS DISTINCT FROM b.{c} THEN '{c}' END" for c in _REVISED)}], lambda x: x IS NOT NULL), ',') END AS columns
+FROM orders a FULL OUTER JOIN revised_orders b ON a.o_orderkey = b.o_orderkey
+WHERE a.o_orderkey IS NULL OR b.o_orderkey IS NULL OR {" OR ".join(f"a.{c} IS DISTINCT FROM b.{c}" for c in _REVISED)}""")
+def u07_revised(t: Tables):
+    """Orders that a revision of the table changed, dropped or added; only ranges whose digests differ are joined."""
+    old, key = t.orders.select("o_orderkey", *_REVISED), F.col("o_orderkey")
+    new = old.filter(key % 1999 != 7).withColumns({
+        "o_totalprice": F.when(key % 997 == 3, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")),
+        "o_orderpriority": F.when(key % 1501 != 5, F.col("o_orderpriority"))})
+    new = new.unionByName(old.filter(key % 2003 == 11).withColumn("o_orderkey", -key))
+    found = compare.key_differences(old, new, ["o_orderkey"], _REVISED)
+    return found.withColumn("columns", F.array_join("columns", ","))

@@ -15,7 +15,8 @@ from rankweave.operators import pools as P
 from rankweave.operators.metrics import truth_ranks
 from rankweave.plans.registry import Tables, cte
 from rankweave.rng import SPAN, random_sql, with_randoms
-from rankweave.session import materialise
+from rankweave.scale import hot_limit
+from rankweave.session import materialise_by
 
 SEEDS = (42, 43, 44, 45, 46)
 ARMS = ("baseline", "augmented")
@@ -32,9 +33,7 @@ def split_column(key: Column) -> Column:
 
 def queries(t: Tables) -> DataFrame:
     """query_id, cluster_key, class, split, truth_key (-1 where there is no answer)."""
-    if "queries" in t.shared:
-        return t.shared["queries"]
-    best = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id")).agg(
+    best = _lines(t).groupBy(F.col("l_orderkey").alias("query_id")).agg(
         F.max(F.struct(F.col("l_discount"), (-F.col("l_partkey")).alias("neg"))).alias("b"))
     truth = best.select("query_id", (-F.col("b.neg")).alias("found"))
     return (
@@ -48,10 +47,14 @@ def queries(t: Tables) -> DataFrame:
 def plain_queries(t: Tables) -> DataFrame:
     """Queries without the recorded answer."""
     key = F.col("o_orderkey")
-    return t.orders.select(key.alias("query_id"), F.col("o_custkey").alias("cluster_key"),
+    return t.shared.get("orders", t.orders).select(key.alias("query_id"), F.col("o_custkey").alias("cluster_key"),
                            F.col("o_orderpriority").alias("class"), split_column(key).alias("split"))
 
 
+def _lines(t: Tables) -> DataFrame:
+    return t.shared.get("lines", t.lineitem)
+
+
 def raw_lines(t: Tables, pool: str) -> DataFrame:
     """query_id, cand_key, prior, line_no, feat for one source pool."""
     cand = F.col("l_partkey")
@@ -61,28 +64,30 @@ def raw_lines(t: Tables, pool: str) -> DataFrame:
              "alpha": F.col("l_extendedprice") * (1 - F.col("l_discount")),
              "beta": F.col("l_quantity")}[pool]
     line = F.col("l_linenumber").cast("long") * 10000000000 + F.col("l_suppkey")
-    return t.lineitem.select(F.col("l_orderkey").alias("query_id"), cand.alias("cand_key"),
+    return _lines(t).select(F.col("l_orderkey").alias("query_id"), cand.alias("cand_key"),
                              prior.alias("prior"), line.alias("line_no"),
                              F.col("l_discount").alias("feat"))
 
 
 def pool(t: Tables, name: str) -> DataFrame:
     """Deduplicated pool, not yet ordered."""
-    if name in t.shared:
-        return t.shared[name]
     if name == "merged":
         return P.merge_sources(P.full_list(pool(t, "alpha")), P.full_list(pool(t, "beta")), ["feat"])
     return P.dedupe(raw_lines(t, name), extras=["feat"])
 
 
 def share(t: Tables) -> None:
-    """Write the queries and the three source pools once, for queries that use several of them several times.
+    """Lay orders and line items together by order, once, for queries that build several pools several times.
 
-    The line items are then scanned four times, whatever is built from the pools.
+    Deduplication, lists, answers and joins on the query then need no exchange.  Where one order is huge the
+    tables stay spread instead.
     """
     if not t.shared:
-        made = {"queries": queries(t), **{name: pool(t, name) for name in POOLS if name != "merged"}}
-        t.shared.update({name: materialise(df) for name, df in made.items()})
+        lines = t.lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+                                  "l_discount", "l_returnflag")
+        orders = t.orders.select("o_orderkey", "o_custkey", "o_orderpriority")
+        if hot_limit(lines, ["l_orderkey"]) is None:
+            t.shared.update(lines=materialise_by(lines, "l_orderkey", gather=True), orders=materialise_by(orders, "o_orderkey", gather=True))
 
 
 def ordered(t: Tables, name: str) -> DataFrame:

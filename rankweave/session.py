@@ -14,6 +14,8 @@ _RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join even when that costs one more exchange afterwards.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Tables that lie together by one key of a join are joined where they are.
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
 }
 
 
@@ -50,16 +52,17 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialise_by(df: DataFrame, column: str, sort: str | None = None) -> DataFrame:
+def materialise_by(df: DataFrame, column: str, sort: str | None = None, gather: bool = False) -> DataFrame:
     """Write ``df`` in the shared folder, in files bucketed by ``column``, and read it back.
 
     Joins, groups and windows on ``column`` then need no exchange of these rows.  There are as many buckets
-    as shuffle partitions.  With ``sort`` each bucket file is ordered by that column.
+    as shuffle partitions.  Every task writes one file per bucket it has rows of; with ``gather`` rows are
+    dealt by bucket first, so that each bucket is one file.  With ``sort`` bucket files are ordered by that column.
     """
     spark = df.sparkSession
     path = shared_dir(spark)
     name = f"rankweave_{path.rpartition('-')[2]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    writer = df.write.format("parquet").bucketBy(buckets, column)
+    writer = (df.repartition(buckets, column) if gather else df).write.format("parquet").bucketBy(buckets, column)
     (writer.sortBy(sort) if sort else writer).option("path", path).saveAsTable(name)
     return spark.table(name)
