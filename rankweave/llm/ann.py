@@ -1,13 +1,14 @@
 """Nearest neighbours by inner product with hierarchical navigable small-world graphs, one per shard.
 
 Equal vectors are one node.  Nodes are dealt into shards of bounded size by hash; each shard's graph is
-built in one task and stored as one row of flat arrays.  Queries visit every shard in blocks, and the
-best of all shards are merged.
+built in one task and stored as one row of flat arrays.  Queries stream past the graph of every shard, and
+the best of all shards are merged.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,10 +20,9 @@ from pyspark.sql.window import Window
 from rankweave.llm.common import materialise
 
 SHARD_ROWS = 8_192
-QUERY_BLOCK = 2_048
 LINKS = 16
-EF_BUILD = 64
-EF_SEARCH = 96
+EF_BUILD = 96
+EF_SEARCH = 224
 
 
 @dataclass
@@ -35,10 +35,15 @@ class Graph:
 
 
 def _even(vectors: np.ndarray) -> np.ndarray:
-    """One more component that gives all vectors one length: largest inner product is then nearest."""
-    squares = (vectors.astype(np.float64) ** 2).sum(axis=1)
+    """Vectors in single precision with one more component that gives all one length: largest inner product is then nearest.
+
+    They are scaled to length one at most first, so that no component is lost.
+    """
+    # The largest component goes first, because its square may be too large.
+    vectors = vectors.astype(np.float64) / max(np.abs(vectors).max(initial=0), np.finfo(float).tiny)
+    squares = (vectors ** 2).sum(axis=1)
     extra = np.sqrt(np.maximum(squares.max(initial=0) - squares, 0))
-    return np.hstack([vectors, extra[:, None]]).astype(np.float32)
+    return (np.hstack([vectors, extra[:, None]]) / max(np.sqrt(squares.max(initial=0)), np.finfo(float).tiny)).astype(np.float32)
 
 
 class _Walk:
@@ -129,11 +134,11 @@ def build(raw: np.ndarray, links: int = LINKS, ef: int = EF_BUILD, seed: int = 1
                 if len(free):
                     row[free[0]] = node
                     continue
-                # A full row gives up its farthest neighbour if the new node is nearer.
-                scores = vectors[row] @ vectors[other]
-                worst = int(scores.argmin())
-                if vectors[node] @ vectors[other] > scores[worst]:
-                    row[worst] = node
+                # A full row is chosen anew from its neighbours and the new node, by the same rule.
+                near = np.append(row, node)
+                scores = vectors[near] @ vectors[other]
+                ranked = np.argsort(-scores, kind="stable").tolist()
+                row[:] = _diverse(vectors, [(float(scores[i]), int(near[i])) for i in ranked], len(row))
         if level > top:
             entry, top = node, level
     return Graph(raw, nodes, tables, entry)
@@ -148,7 +153,8 @@ def search(graph: Graph, queries: np.ndarray, k: int, ef: int = EF_SEARCH) -> li
         at[own] = np.arange(len(own))
         place.append(at)
     walk, found = _Walk(vectors, graph.links, place), []
-    for query in np.hstack([queries, np.zeros((len(queries), 1))]).astype(np.float32):
+    length = np.abs(queries).max(axis=1, initial=0, keepdims=True)
+    for query in np.hstack([queries / np.maximum(length, np.finfo(float).tiny), np.zeros((len(queries), 1))]).astype(np.float32):
         starts = [(float(vectors[graph.entry] @ query), graph.entry)]
         for upper in range(len(graph.nodes) - 1, 0, -1):
             starts = walk.layer(query, starts, 1, upper)
@@ -156,28 +162,28 @@ def search(graph: Graph, queries: np.ndarray, k: int, ef: int = EF_SEARCH) -> li
     return found
 
 
-_INDEX = "dim int, shard int, ids array<long>, vectors array<float>, entry int, layers array<int>, nodes array<int>, links array<int>"
+_INDEX = "dim int, shard int, ids array<long>, vectors array<double>, entry int, layers array<int>, nodes array<int>, links array<int>"
 
 
 def _build_shard(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("rep")
-    raw = np.stack(rows["v"].to_numpy()).astype(np.float32)
+    rows = rows.sort_values("node")
+    raw = np.stack(rows["v"].to_numpy()).astype(np.float64)
     graph = build(raw)
     return pd.DataFrame({
-        "dim": [raw.shape[1]], "shard": [rows["shard"].iloc[0]], "ids": [rows["rep"].to_numpy()], "vectors": [raw.ravel()],
+        "dim": [raw.shape[1]], "shard": [rows["shard"].iloc[0]], "ids": [rows["node"].to_numpy()], "vectors": [raw.ravel()],
         "entry": [graph.entry], "layers": [np.array([len(own) for own in graph.nodes])],
         "nodes": [np.concatenate(graph.nodes)], "links": [np.concatenate([t.ravel() for t in graph.links])]})
 
 
 def _load(row) -> tuple[Graph, np.ndarray]:
-    vectors = np.asarray(row["vectors"], np.float32).reshape(-1, row["dim"])
+    vectors = np.asarray(row["vectors"], np.float64).reshape(-1, int(row["dim"]))
     nodes, links, at, low = [], [], 0, 0
-    for level, size in enumerate(row["layers"]):
+    for level, size in enumerate(map(int, row["layers"])):
         width = LINKS * (1 if level else 2)
         nodes.append(np.asarray(row["nodes"][at:at + size], np.int64))
         links.append(np.asarray(row["links"][low:low + size * width], np.int32).reshape(size, width))
         at, low = at + size, low + size * width
-    return Graph(vectors, nodes, links, row["entry"]), np.asarray(row["ids"], np.int64)
+    return Graph(vectors, nodes, links, int(row["entry"])), np.asarray(row["ids"], np.int64)
 
 
 def usable(vector: Column) -> Column:
@@ -186,73 +192,93 @@ def usable(vector: Column) -> Column:
     return F.coalesce(F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def distinct_vectors(rows: DataFrame, keep: int) -> DataFrame:
-    """(v, rep, id): the ``keep`` smallest ids of each distinct vector, rep the smallest.
+def distinct_vectors(rows: DataFrame, keep: int) -> tuple[DataFrame, DataFrame]:
+    """(nodes, copies): (node, v) of each distinct vector, and (node, id) of the ``keep`` smallest ids that have it.
 
-    No answer can need more ids of one vector.  Copies are thinned in three rounds of ever fewer groups,
-    so a vector that very many rows share is spread.
+    No answer can need more ids of one vector.  A row stated twice is one row; different vectors under one id are
+    rows of their own.  Copies are thinned in three rounds of ever fewer groups, so a vector that very many rows
+    share is spread.  Both tables are written.
     """
-    thinned = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
+    thinned = rows.distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64)))
     for salts in (64, 8, 1):
         window = Window.partitionBy("v", "salt").orderBy("id")
         thinned = thinned.withColumn("salt", F.pmod("salt", F.lit(salts))).withColumn("r", F.row_number().over(window)).filter(
             F.col("r") <= keep).drop("r")
-    return thinned.withColumn("rep", F.min("id").over(Window.partitionBy("v", "salt"))).drop("salt")
+    thinned = materialise(thinned.drop("salt"))
+    nodes = materialise(thinned.select("v").distinct().withColumn("node", F.monotonically_increasing_id()))
+    return nodes, materialise(thinned.join(nodes, "v").select("node", "id"))
 
 
 def index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per (dimension, shard) with its graph, from (rep, v); written once."""
+    """One row per (dimension, shard) with its graph, from (node, v); written once."""
     sized = vectors.withColumn("dim", F.size("v"))
     counts = sized.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select(
         "dim", F.ceil(F.col("n") / shard_rows).alias("shards"))
-    dealt = sized.join(counts, "dim").withColumn("shard", F.pmod(F.xxhash64("rep"), F.col("shards")).cast("int"))
+    dealt = sized.join(counts, "dim").withColumn("shard", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
     # Vectors are small and graphs are slow to build: a fixed number of partitions, which AQE does not merge.
     total = counts.agg(F.sum("shards")).first()[0] or 1
-    spread = dealt.select("dim", "shard", "rep", "v").repartition(4 * total, "dim", "shard")
+    spread = dealt.select("dim", "shard", "node", "v").repartition(4 * total, "dim", "shard")
     return materialise(spread.groupBy("dim", "shard").applyInPandas(_build_shard, _INDEX))
 
 
+def _search_stream(k: int, ef: int):
+    """Rows come by shard, its graph first and then all queries: each graph is held once while they stream past."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        graph = ids = None
+        for batch in batches:
+            if batch.empty:
+                continue
+            starts = np.flatnonzero(batch["graph"].notna().to_numpy())
+            for a, b in zip([0, *starts], [*starts, len(batch)]):
+                part = batch.iloc[a:b]
+                if not len(part):
+                    continue
+                if part["graph"].iloc[0] is not None:
+                    graph, ids = _load(part["graph"].iloc[0])
+                    part = part.iloc[1:]
+                if not len(part):
+                    continue
+                asked = np.stack(part["v"].to_numpy()).astype(np.float64)
+                found = search(graph, asked, k, ef)
+                out = pd.DataFrame({"query": np.repeat(part["query"].to_numpy("int64"), [len(f) for f in found]),
+                                    "node": np.concatenate([ids[f] for f in found])})
+                with np.errstate(over="ignore", invalid="ignore"):
+                    out["score"] = np.concatenate([(graph.vectors[f] * v).sum(axis=1) for f, v in zip(found, asked)])
+                yield out
+
+    return run
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_column: str = "vec_id",
             vector_column: str = "embedding", shard_rows: int = SHARD_ROWS, ef: int = EF_SEARCH) -> DataFrame:
     """(query_id, rank, <id>, score): up to k rows of ``vectors`` nearest to each row of ``queries``, itself excluded.
 
     Both tables have the id and the vector column; a query finds vectors of its own dimension.  The score
-    is the inner product in double precision, ties go to the smaller id.  Unusable vectors (see ``usable``)
-    and null ids take no part.  Repeated ids stand for one row each.  Empty tables give no rows.
+    is the inner product of the vectors as given, in double precision; ties go to the smaller id.  Unusable vectors
+    (see ``usable``) and null ids take no part.  A row stated twice counts once, as a query and as a candidate;
+    different vectors under one id are rows of their own, so such an id may be asked, and found, with each of them.
+    Empty tables give no rows.
     """
     def clean(df):
-        row = df.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").cast("array<float>").alias("v"))
+        row = df.select(F.col(f"`{id_column}`").cast("long").alias("id"), F.col(f"`{vector_column}`").cast("array<double>").alias("v"))
         return row.filter(F.col("id").isNotNull() & usable(F.col("v")))
 
-    copies = materialise(distinct_vectors(clean(vectors), k + 1))
-    graphs = index(copies.filter("id = rep").dropDuplicates(["rep"]).select("rep", "v"), shard_rows)
+    nodes, copies = distinct_vectors(clean(vectors), k + 1)
+    graphs = index(nodes, shard_rows)
     shards = graphs.groupBy("dim").agg(F.max("shard").alias("last"))
-    asked = clean(queries).select(F.col("id").alias("query_id"), "v", F.size("v").alias("dim")).join(shards, "dim")
-    # Queries go to blocks of about QUERY_BLOCK, and each block to every shard.
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    sent = asked.select("dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"),
-                        F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block"), "query_id", "v")
-    blocked = graphs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-
-    def search_block(graph: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        if graph.empty or wanted.empty:
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        own, ids = _load(graph.iloc[0])
-        asked = np.stack(wanted["v"].to_numpy()).astype(np.float32)
-        out = []
-        for query_id, vector, found in zip(wanted["query_id"], asked, search(own, asked, k + 1, ef)):
-            scores = (own.vectors[found].astype(np.float64) * vector.astype(np.float64)).sum(axis=1)
-            out.append(pd.DataFrame({"query_id": query_id, "rep": ids[found], "score": scores}))
-        return pd.concat(out, ignore_index=True)
-
-    keys = ["dim", "shard", "block"]
-    parts = 4 * graphs.count() * blocks or 1
-    hits = blocked.repartition(parts, *keys).groupBy(*keys).cogroup(sent.repartition(parts, *keys).groupBy(*keys)).applyInPandas(
-        search_block, "query_id long, rep long, score double")
+    asked = materialise(clean(queries).distinct().withColumn("query", F.monotonically_increasing_id()))
+    sent = asked.withColumn("dim", F.size("v")).join(shards, "dim").select(
+        "dim", F.explode(F.sequence(F.lit(0), "last")).alias("shard"), "query", "v")
+    kept = F.struct(*graphs.columns).alias("graph")
+    rows = graphs.select("dim", "shard", F.lit(0).alias("kind"), kept, F.lit(None).cast("long").alias("query"), F.lit(None).cast("array<double>").alias("v"))
+    rows = rows.unionByName(sent.select("dim", "shard", F.lit(1).alias("kind"), F.lit(None).cast(rows.schema["graph"].dataType).alias("graph"), "query", "v"))
+    dealt = rows.repartition(4 * graphs.count() or 1, "dim", "shard").sortWithinPartitions("dim", "shard", "kind")
+    hits = dealt.select("graph", "query", "v").mapInPandas(_search_stream(k + 1, ef), "query long, node long, score double")
     # The best k + 1 vectors of a query over all shards, then their ids.
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "rep")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "node")
     merged = hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
-    named = merged.join(copies.select("rep", "id"), "rep").filter("id != query_id")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    own = asked.join(nodes, "v", "left").select("query", F.col("id").alias("query_id"), F.col("node").alias("own"))
+    named = merged.join(copies, "node").join(own, "query").filter(~((F.col("id") == F.col("query_id")) & F.col("node").eqNullSafe(F.col("own"))))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id", "node")
     return named.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select(
         "query_id", "rank", F.col("id").alias(id_column), "score")

@@ -59,7 +59,37 @@ def test_copies_ties_and_unusable_vectors(spark):
 
 
 def test_no_vector_needs_more_copies_than_are_kept(spark):
-    rows = spark.range(5000).selectExpr("id", "array(cast(if(id % 3 = 0, 1, id) as float)) v")
-    kept = ann.distinct_vectors(rows, 4).collect()
-    assert sorted(r["id"] for r in kept if r["rep"] == 0) == [0, 1, 3, 6]
-    assert len(kept) == 4 + len([i for i in range(5000) if i % 3 and i != 1])
+    rows = spark.range(5000).selectExpr("id", "array(cast(if(id % 3 = 0, 1, id) as double)) v")
+    nodes, copies = ann.distinct_vectors(rows, 4)
+    one = nodes.filter("v[0] = 1").first()["node"]
+    assert sorted(r["id"] for r in copies.collect() if r["node"] == one) == [0, 1, 3, 6]
+    assert copies.count() == 4 + len([i for i in range(5000) if i % 3 and i != 1]) and nodes.count() == copies.count() - 3
+
+
+def test_repeated_rows_and_ids(spark):
+    rows = [(i, [float(i), 1.0]) for i in range(30)]
+    twice = rows + rows[:15] + [(5, [10.0, 50.0]), (5, [0.5, 0.5])]
+    table = spark.createDataFrame(twice, "vec_id long, embedding array<float>")
+    got = [tuple(r) for r in ann.nearest(table, table.filter("vec_id = 20"), 20).collect()]
+    distinct = [*rows, (5, [10.0, 50.0]), (5, [0.5, 0.5])]
+    scores = sorted(((-(20.0 * v[0] + v[1]), i) for i, v in distinct if (i, v) != (20, [20.0, 1.0])))[:20]
+    assert sorted(got, key=lambda r: r[1]) == [(20, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+    # Each vector of an id is asked for itself, and found by the others.
+    asked = ann.nearest(table, table.filter("vec_id = 5"), 2).collect()
+    assert len(asked) == 6 and sorted((r["vec_id"], r["score"]) for r in asked if r["rank"] == 1) == [(5, 30.0), (29, 146.0), (29, 340.0)]
+
+
+def test_scores_of_double_vectors(spark):
+    rows = [(1, [1e39, 1.0]), (2, [1.0 + 2**-40, 0.0]), (3, [0.5, 0.25])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.nearest(table, table, 5).collect()}
+    assert len(got) == 6 and got[2, 1] == 1e39 * (1.0 + 2**-40) and got[2, 3] == 0.5 * (1.0 + 2**-40)
+
+
+@pytest.mark.parametrize("size", [3000])
+def test_recall_of_one_full_shard(size):
+    raw = np.random.default_rng(0).normal(size=(size, 64))
+    queries = raw[::20]
+    found = ann.search(ann.build(raw), queries, 20)
+    best = np.argsort(-(queries @ raw.T), axis=1, kind="stable")[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(found, best)]) > 0.9
