@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from rankweave.functions import keys as K
 from rankweave.functions import scores as S
+from rankweave.functions import tables as TF
 from rankweave.operators import audits as A
 from rankweave.operators import concordance as CO
 from rankweave.operators import diagnostics as D
@@ -17,6 +18,7 @@ from rankweave.operators import features as FE
 from rankweave.operators import metrics as M
 from rankweave.operators import ranker as RK
 from rankweave.operators import scoring as SC
+from rankweave.operators import simjoin as SJ
 from rankweave.plans import views as V
 from rankweave.plans.aggregations import descriptors
 from rankweave.plans.joins import features, thinned_pool
@@ -24,6 +26,7 @@ from rankweave.plans.pairs import train_pairs
 from rankweave.plans.registry import Tables, cte, query
 from rankweave.rng import random_sql
 from rankweave.scale import ranked, with_row
+from rankweave.session import materialise
 
 STOP_TOKENS = ["small", "red", "old"]
 
@@ -75,6 +78,33 @@ def f05(t: Tables):
     return V.rounded(a.join(b, "p_partkey").select("p_partkey", K.overlap_similarity(F.col("x"), F.col("y")).alias("similarity")))
 
 
+SIMILAR = 0.6
+cte("word_sets", """
+SELECT doc_id, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> ''))) AS items FROM documents""")
+cte("word_classes", "SELECT items, min(doc_id) AS class, count(*) AS copies, len(items) AS size FROM word_sets WHERE len(items) > 0 GROUP BY items")
+cte("word_pairs", f"""
+SELECT * FROM (SELECT a.class AS "left", b.class AS "right", count(*) AS shared, count(*) / (any_value(a.size) + any_value(b.size) - count(*)) AS similarity
+FROM (SELECT class, size, unnest(items) AS token FROM word_classes) a JOIN (SELECT class, size, unnest(items) AS token FROM word_classes) b
+  ON a.token = b.token AND a.class < b.class GROUP BY a.class, b.class) WHERE similarity >= {SIMILAR} - 1e-12""")
+
+
+@query("f05_similar_sets", """SELECT "left", "right", CAST(shared AS INTEGER) AS shared, round(similarity, 6) AS similarity FROM word_pairs""")
+def f05_join(t: Tables):
+    """Classes of documents whose word sets have a Jaccard similarity of 0.6 or more."""
+    classes, _ = SJ.set_classes(SJ.token_sets(t.documents, "doc_id", "text"), "doc_id", "tokens")
+    return V.rounded(SJ.similar_sets(classes, SIMILAR))
+
+
+@query("f05_similar_links", """
+SELECT s.doc_id, c.class, CAST(c.copies - 1 + coalesce(n.near, 0) AS BIGINT) AS links FROM word_sets s JOIN word_classes c ON s.items = c.items
+LEFT JOIN (SELECT p.class, sum(o.copies) AS near FROM (SELECT "left" AS class, "right" AS other FROM word_pairs UNION ALL SELECT "right", "left" FROM word_pairs) p
+  JOIN word_classes o ON o.class = p.other GROUP BY p.class) n ON n.class = c.class""")
+def f05_links(t: Tables):
+    """Every document with its class of equal word sets and the number of documents similar to it."""
+    classes, members = SJ.set_classes(SJ.token_sets(t.documents, "doc_id", "text"), "doc_id", "tokens")
+    return SJ.links(members, materialise(SJ.similar_sets(classes, SIMILAR)), "doc_id")
+
+
 @query("f06_two_level_identity", f"""
 SELECT lang, count(*) AS n, count(*) FILTER (WHERE len({_TOKS}) > 0 AND NOT list_contains({_COARSE}, '') AND array_to_string(list_sort({_TOKS}), '.') <>
   array_to_string(list_sort(list_filter(list_transform(string_split(lower(text), '.'), lambda x: trim(x, ' ')), lambda x: x <> '')), '.')) AS coarse_only FROM documents GROUP BY lang""")
@@ -358,6 +388,20 @@ def x03(t: Tables):
     return V.rounded(SC.extract_per_list(V.lists(t, "historical"), gap_to_best, "query_id LONG, cand_key LONG, gap_to_best DOUBLE"))
 
 
+@query("x03_table_function", """
+WITH s AS (SELECT query_id, cand_key, rank, first_value(prior) OVER w - prior AS gap_to_first, lag(prior) OVER w - prior AS gap_to_previous,
+  prior / nullif(sum(prior) OVER (PARTITION BY query_id), 0) AS share, count(*) OVER (PARTITION BY query_id) AS size FROM top_historical WINDOW w AS (PARTITION BY query_id ORDER BY rank))
+SELECT query_id, cand_key, rank, round(gap_to_first, 4) AS gap_to_first, round(gap_to_previous, 4) AS gap_to_previous, round(share, 6) AS share,
+  round(CASE WHEN size > 1 THEN sum(CASE WHEN share > 0 THEN -share * ln(share) ELSE 0 END) OVER (PARTITION BY query_id) / ln(size) END, 6) AS entropy FROM s""")
+def x03_function(t: Tables):
+    """List features from a table function that SQL calls: it asks for its rows by query and in list order."""
+    TF.register(t.spark)
+    V.lists(t, "historical").select("query_id", "cand_key", "rank", "prior").createOrReplaceTempView("candidate_lists")
+    out = t.spark.sql("SELECT * FROM list_features(TABLE(candidate_lists))")
+    gaps = [F.round(c, 4).alias(c) for c in ("gap_to_first", "gap_to_previous")]
+    return out.select("query_id", "cand_key", "rank", *gaps, F.round("share", 6).alias("share"), F.round("entropy", 6).alias("entropy"))
+
+
 @query("x04_custom_scorer", """
 SELECT query_id, cand_key, row_number() OVER (PARTITION BY query_id ORDER BY round(sqrt(prior) + feat, 9) DESC, rank) AS new_rank FROM top_historical""")
 def x04(t: Tables):

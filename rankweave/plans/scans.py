@@ -11,6 +11,7 @@ from rankweave.operators import pools as P
 from rankweave.plans import views as V
 from rankweave.plans.registry import Tables, cte, query
 from rankweave.session import shared_dir
+from rankweave.sources import commit as CM
 from rankweave.sources import candidates as C
 from rankweave.sources import results as R
 
@@ -242,6 +243,22 @@ def s12(t: Tables):
     return V.rounded(t.spark.read.schema(rows.schema).json(path))
 
 
+@query("s12_committed_sink", """
+SELECT count(*) AS manifest_rows, count(*) AS stored_rows, true AS second_write_refused, CAST(sum(rank) AS BIGINT) AS rank_sum FROM top_beta""")
+def s12_committed(t: Tables):
+    """Lists written once with a manifest, read back against it; a second write to the same place is refused."""
+    lists, path = V.lists(t, "beta").select("query_id", "cand_key", "rank"), shared_dir(t.spark)
+    manifest = CM.write_once(lists, path)
+    try:
+        CM.write_once(lists, path)
+        refused = False
+    except FileExistsError:
+        refused = True
+    stored = CM.read_once(t.spark, path, lists.schema)
+    return stored.agg(F.count(F.lit(1)).alias("stored_rows"), F.sum("rank").alias("rank_sum")).select(
+        F.lit(manifest["rows"]).cast("long").alias("manifest_rows"), "stored_rows", F.lit(refused).alias("second_write_refused"), "rank_sum")
+
+
 @query("s13_feature_shards", """
 SELECT query_id // 500 AS shard, min(query_id) AS first_key, max(query_id) AS last_key, count(DISTINCT query_id) AS n_keys,
   count(*) AS n_rows, coalesce(lead(min(query_id)) OVER (ORDER BY query_id // 500) = max(query_id) + 1, true) AS contiguous

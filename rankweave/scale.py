@@ -232,36 +232,55 @@ def midranked(
     return out.drop("_v")
 
 
+# Ranks that the mergeable sketch of ``quantiles`` may be off by, as one part of so many of the group's rows.
+SKETCH_ACCURACY = 10_000
+
+
 def quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], name: str
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: Sequence[float], name: str, accuracy: int = SKETCH_ACCURACY,
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, as an array column.
 
-    The built-in percentile holds a group's distinct values in one task, so it is used
-    only for groups of checked size; larger ones are ranked and the needed ranks picked.
+    The built-in percentile holds a group's distinct values in one task, so it is used only for groups of checked
+    size.  Larger ones take two passes and no sort of all values: a mergeable sketch, whose ranks are off by at most
+    n / accuracy, brackets each quantile from below and above; the second pass counts what lies below a bracket and
+    ranks only the values inside it.
     """
     keys = list(keys)
-    present = df.filter(F.col(value).isNotNull())
+    present = df.filter(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     check = present if keys else present.withColumn("_all", F.lit(0))
     if hot_limit(check, keys or ["_all"]) is None:
         points = F.array(*[F.lit(float(p)) for p in probabilities])
-        return present.groupBy(*keys).agg(F.percentile(value, points).alias(name))
-    # One row per distinct value, so that a frequent value is a count and not a pile of rows.
-    counts = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_t"))
-    upto = running(counts, keys, [F.col(value)], {"_upto": ("sum", F.col("_t"))})
-    sizes = counts.groupBy(*keys).agg(F.sum("_t").alias("_n"))
-    placed = meet(upto, sizes, keys) if keys else with_row(upto, sizes)
+        return present.groupBy(*keys).agg(F.percentile("_v", points).alias(name))
+    margin = 2.0 / accuracy
+    ends = [e for p in probabilities for e in (max(0.0, p - margin), min(1.0, p + margin))]
+    sketch = present.groupBy(*keys).agg(
+        F.percentile_approx("_v", F.array(*[F.lit(e) for e in ends]), accuracy).alias("_q"),
+        F.min("_v").alias("_least"), F.max("_v").alias("_most"), F.count(F.lit(1)).alias("_n"))
+    brackets = []
+    for i, p in enumerate(probabilities):
+        low = F.col("_least") if p - margin <= margin else F.col("_q")[2 * i]
+        high = F.col("_most") if p + margin >= 1 - margin else F.col("_q")[2 * i + 1]
+        brackets.append(F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high")))
+    framed = sketch.select(*keys, "_n", F.array(*brackets).alias("_b"))
+    rows = meet(present, framed, keys) if keys else with_row(present, framed)
+    # One row per bracket; a value below it is only counted, one above it is nothing.
+    placed = rows.select(*keys, "_n", "_v", F.explode("_b").alias("_b")).filter(F.col("_v") <= F.col("_b.high")).select(
+        *keys, "_n", F.col("_b.i").alias("_i"), F.when(F.col("_v") >= F.col("_b.low"), F.col("_v")).alias("_v"))
+    counts = placed.groupBy(*keys, "_n", "_i", "_v").agg(F.count(F.lit(1)).alias("_t"))
+    # Nulls stand for all that is below, and sort first.
+    upto = running(counts, [*keys, "_i"], [F.col("_v").isNotNull(), F.col("_v")], {"_upto": ("sum", F.col("_t"))})
+    chance = F.array(*[F.lit(float(p)) for p in probabilities])[F.col("_i")]
+    spot = upto.withColumn("_spot", chance * (F.col("_n") - 1))
 
     def at(position: Column) -> Column:
-        covers = (F.col("_upto") - F.col("_t") < position) & (position <= F.col("_upto"))
-        return F.max(F.when(covers, F.col(value)))
-
-    picks = []
-    for p in probabilities:
-        spot = F.lit(float(p)) * (F.col("_n") - 1)
-        low, high = at(F.floor(spot) + 1), at(F.ceil(spot) + 1)
-        picks.append(low + (high - low) * F.max(spot - F.floor(spot)))
-    return placed.groupBy(*keys).agg(F.array(*picks).alias(name))
+        covers = (F.col("_upto") - F.col("_t") < position) & (position <= F.col("_upto")) & F.col("_v").isNotNull()
+        return F.max(F.when(covers, F.col("_v")))
+
+    low, high = at(F.floor("_spot") + 1), at(F.ceil("_spot") + 1)
+    picked = spot.groupBy(*keys, "_i").agg((low + (high - low) * F.max(F.col("_spot") - F.floor("_spot"))).alias("_x"))
+    checked = F.when(F.col("_x").isNotNull(), F.col("_x")).otherwise(F.raise_error(F.lit("a quantile lies outside its bracket")).cast("double"))
+    return picked.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", checked.alias("x")))), lambda s: s["x"]).alias(name))
 
 
 def following(
