@@ -12,6 +12,7 @@ from rankweave.plans import views as V
 from rankweave.plans.registry import Tables, cte, query
 from rankweave.session import shared_dir
 from rankweave.sources import commit as CM
+from rankweave.sources import keyed as KT
 from rankweave.sources import candidates as C
 from rankweave.sources import results as R
 
@@ -211,6 +212,17 @@ def s10(t: Tables):
     return wide.select("query_id", "truth_key", "prior_rank", "list_len", "baseline_42", "augmented_42").join(lists, "query_id")
 
 
+@query("s10_keyed_lists", """
+WITH ids AS (SELECT arg_max(o_orderkey, o_totalprice) AS query_id FROM orders GROUP BY o_orderpriority)
+SELECT t.query_id, t.cand_key, t.rank, round(t.prior, 6) AS prior FROM top_historical t JOIN ids USING (query_id)""")
+def s10_keyed(t: Tables):
+    """Lists of the largest order of each class, looked up in a table laid out by key."""
+    lists = V.lists(t, "historical").select("query_id", "cand_key", "rank", F.round("prior", 6).alias("prior"))
+    stored = KT.read_keyed(t.spark, KT.write_keyed(lists, "query_id"), lists.schema)
+    ids = t.orders.groupBy("o_orderpriority").agg(F.max_by("o_orderkey", "o_totalprice").alias("query_id")).select("query_id")
+    return KT.lookup_keys(stored, "query_id", ids)
+
+
 @query("s11_cohort_scan", """
 SELECT pool, count(*) AS n_rows, count(DISTINCT query_id) AS n_ids, true AS unique_ids, count(DISTINCT cluster_key) AS n_clusters
 FROM (SELECT pool, query_id, cluster_key FROM wide_historical WHERE prior_rank > 0 UNION ALL

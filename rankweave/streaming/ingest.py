@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankweave.operators.pools import dedupe
+from rankweave.sources.commit import write_once
 
 LINE_SCHEMA = "query_id LONG, cand_key LONG, prior DOUBLE, line_no LONG, status STRING"
 
@@ -53,16 +54,55 @@ def running_winners(stream: DataFrame) -> DataFrame:
     ).select("query_id", "cand_key", F.col("_b.prior").alias("prior"), "first_seen", "copies")
 
 
-def run_winners(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, files_per_batch: int = 4) -> None:
-    """Keep a table of running winners up to date, one version per batch.
+def _folders(spark: SparkSession, target: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``<prefix>=<number>`` below the target, ascending."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return []
+    names = [status.getPath().getName() for status in files.listStatus(path)]
+    return sorted(int(n.removeprefix(f"{prefix}=")) for n in names if n.startswith(f"{prefix}=") and n.removeprefix(f"{prefix}=").isdigit())
 
-    Update mode emits only the keys of a batch; each batch is written under its number, so
-    a repeated batch overwrites itself and readers take the newest row of a key.
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def compact_winners(spark: SparkSession, target: str) -> None:
+    """Merge the newest base with the changes after it into a base of their last number, and drop what it replaces.
+
+    The new base appears by one rename, before anything is removed, so a reader or a restart at any point finds
+    either the old base with all changes or the new one.
+    """
+    versions = _folders(spark, target, "version")
+    if not versions or versions[-1] in _folders(spark, target, "base"):
+        return
+    write_once(latest_winners(spark, target, numbered=True), f"{target}/base={versions[-1]}")
+    for number in _folders(spark, target, "base"):
+        if number < versions[-1]:
+            _remove(spark, f"{target}/base={number}")
+    for number in versions:
+        _remove(spark, f"{target}/version={number}")
+
+
+def run_winners(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, files_per_batch: int = 4,
+                compact_every: int = 8) -> None:
+    """Keep a table of running winners up to date: changes by batch, merged every ``compact_every`` batches.
+
+    Update mode emits only the keys of a batch; each batch is written under its number, so a repeated batch
+    overwrites itself and readers take the newest row of a key.  Storage stays within one row per key and the
+    changes of ``compact_every`` batches.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def save(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        if number in _folders(session, target, "base"):
+            return  # a batch that was merged before its commit was recorded
         batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/version={number}")
+        if len(_folders(session, target, "version")) >= compact_every:
+            compact_winners(session, target)
 
     query = (
         running_winners(stream).writeStream.outputMode("update").foreachBatch(save)
@@ -71,9 +111,14 @@ def run_winners(spark: SparkSession, source: str, target: str, checkpoint: str,
     query.awaitTermination()
 
 
-def latest_winners(spark: SparkSession, target: str) -> DataFrame:
-    """Newest row of every key."""
-    rows = spark.read.option("basePath", target).parquet(f"{target}/version=*")
+_WINNERS = "query_id LONG, cand_key LONG, prior DOUBLE, first_seen LONG, copies LONG, batch LONG"
+
+
+def latest_winners(spark: SparkSession, target: str, numbered: bool = False) -> DataFrame:
+    """Newest row of every key, from the newest base and the changes after it; ``numbered`` keeps the batch."""
+    base = _folders(spark, target, "base")[-1:]
+    paths = [f"{target}/base={n}" for n in base] + [f"{target}/version={n}" for n in _folders(spark, target, "version") if not base or n > base[0]]
+    rows = spark.read.schema(_WINNERS).parquet(*paths) if paths else spark.createDataFrame([], _WINNERS)
     newest = F.max(F.struct("batch", "prior", "first_seen", "copies")).alias("s")
     return rows.groupBy("query_id", "cand_key").agg(newest).select(
-        "query_id", "cand_key", "s.prior", "s.first_seen", "s.copies")
+        "query_id", "cand_key", "s.prior", "s.first_seen", "s.copies", *(["s.batch"] if numbered else []))
