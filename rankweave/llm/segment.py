@@ -9,12 +9,12 @@ chunks whose second choice costs least.
 
 from __future__ import annotations
 
-import array
 import hashlib
 import heapq
 import itertools
 import math
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,7 +28,8 @@ from rankweave.llm.common import pack, unpack
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 _SPACE = "▁"
-_CACHED = 300_000
+# Chunks one worker remembers, some 200 MB of them.
+_CACHED = 700_000
 _NONE = -math.inf
 
 
@@ -46,9 +47,18 @@ class Vocabulary:
     chunks: re.Pattern[str]
     solved: dict[str, tuple[tuple[int, ...], float, float]] = field(default_factory=dict)
     options: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = field(default_factory=dict)
+    flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "solved": {}, "options": {}}
+        return {**self.__dict__, "solved": {}, "options": {}, "flat": None}
+
+    def surfaces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all ids end to end, the length of each and where it begins; a last place stands for unknown ids."""
+        if self.flat is None:
+            parts = [self.surface.get(i, b"") for i in range(max(self.surface, default=-1) + 2)]
+            length = np.array([*map(len, parts)], np.int64)
+            self.flat = (np.frombuffer(b"".join(parts), np.uint8), length, np.cumsum(length) - length)
+        return self.flat
 
 
 def vocabulary(pieces: list[tuple[str, int, float]], byte_ids: list[int], byte_score: float) -> Vocabulary:
@@ -205,31 +215,85 @@ def _options(v: Vocabulary, chunk: str, n: int) -> list[tuple[float, tuple[int,
     if (found := v.options.get((chunk, n))) is None:
         ways = list(itertools.islice(a_star(v, chunk), n))
         found = [(ways[0][0] - score, ids) for score, ids in ways]
-        if len(v.options) >= _CACHED // 10:
+        if len(v.options) >= _CACHED // 20:
             v.options.clear()
         v.options[chunk, n] = found
     return found
 
 
-def encode(v: Vocabulary, chunks: list[str], n: int = N_BEST) -> tuple[list[tuple[int, ...]], float, list[tuple[float, dict[int, tuple[int, ...]]]]]:
-    """From solved chunks: best ids of each, their score, and the N best as (score, chunks with other ids)."""
-    parts = [v.solved[c] for c in chunks]
-    total = math.fsum([p[1] for p in parts])
-    costs = np.array([p[2] for p in parts])
+def _choices(v: Vocabulary, chunk_at, costs: np.ndarray, n: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
+    """The n cheapest sets of changes to the best path, as (cost, other ids by place); ``chunk_at`` gives the chunk at a place."""
     # Where the n - 1 cheapest changes are.
     cheap = np.argsort(costs, kind="stable")[:n - 1] if len(costs) < 64 else np.sort(np.argpartition(costs, n - 1)[:n - 1])
     choices: list[tuple[float, dict[int, tuple[int, ...]]]] = [(0.0, {})]
     for place in cheap.tolist() if n > 1 else []:
-        if parts[place][2] == math.inf:
+        if costs[place] == math.inf:
             continue
-        options = _options(v, chunks[place], n)
+        options = _options(v, chunk_at(place), n)
         # The first option is the best path itself, up to ties; it stands for "no change".
         step = [(cost + extra, {**picks, place: ids} if k else picks)
                 for cost, picks in choices for k, (extra, ids) in enumerate(options)]
         choices = heapq.nsmallest(n, step, key=lambda c: c[0])
+    return choices
+
+
+def encode(v: Vocabulary, chunks: list[str], n: int = N_BEST) -> tuple[list[tuple[int, ...]], float, list[tuple[float, dict[int, tuple[int, ...]]]]]:
+    """From solved chunks: best ids of each, their score, and the N best as (score, chunks with other ids)."""
+    parts = [v.solved[c] for c in chunks]
+    total = math.fsum([p[1] for p in parts])
+    choices = _choices(v, chunks.__getitem__, np.array([p[2] for p in parts]), n)
     return [p[0] for p in parts], total, [(total - cost, picks) for cost, picks in choices]
 
 
+@dataclass
+class Encoded:
+    """A batch of texts: ids end to end, where each text begins, and scores and digests of the N best of each."""
+    ids: np.ndarray
+    starts: np.ndarray
+    scores: list[list[float]]
+    digests: list[list[str]]
+
+
+def encode_batch(v: Vocabulary, texts: list[str], n: int = N_BEST) -> Encoded:
+    """As ``encode`` on every text, with the distinct chunks of the batch numbered and gathered in numpy."""
+    found = split(v, texts)
+    number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
+    places = [np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks)) for chunks in found]
+    solved = [v.solved[c] for c in number]
+    score, cost = np.array([p[1] for p in solved]), np.array([p[2] for p in solved])
+    length = np.fromiter((len(p[0]) for p in solved), np.int64, len(solved))
+    flat = np.fromiter(itertools.chain.from_iterable(p[0] for p in solved), np.int32, int(length.sum()))
+    begin = np.cumsum(length) - length
+    out, sizes, scores, digests = [np.zeros(0, np.int32)], [0], [], []
+    for chunks, at in zip(found, places):
+        own_length = length[at]
+        ends = np.cumsum(own_length)
+        size = int(ends[-1]) if len(at) else 0
+        own = flat[np.repeat(begin[at] - (ends - own_length), own_length) + np.arange(size)]
+        total = math.fsum(score[at].tolist())
+        ways = _choices(v, chunks.__getitem__, cost[at], n)
+        starts = np.concatenate([[0], ends])
+        out.append(own)
+        sizes.append(size)
+        scores.append([total - extra for extra, _ in ways])
+        digests.append([_digest(own, picks, starts) for _, picks in ways])
+    return Encoded(np.concatenate(out), np.cumsum(sizes), scores, digests)
+
+
+def decode_batch(v: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
+    """The bytes of each text from its ids; None where an id has no text."""
+    data, length, begin = v.surfaces()
+    known = np.where((ids < 0) | (ids >= len(length)), len(length) - 1, ids)
+    own = length[known]
+    ends = np.concatenate([[0], np.cumsum(own)])
+    body = data[np.repeat(begin[known] - ends[:-1], own) + np.arange(ends[-1])].tobytes()
+    lost = np.concatenate([[0], np.cumsum(own == 0)])
+    gone = lost[starts[1:]] > lost[starts[:-1]]
+    at = ends[starts].tolist()
+    # The first byte is the space that every text is given.
+    return [None if bad else body[a + 1:b] for bad, a, b in zip(gone.tolist(), at, at[1:])]
+
+
 def nbest(v: Vocabulary, text: str, n: int = N_BEST) -> list[tuple[float, list[int]]]:
     """The n best segmentations of a text as (score, ids)."""
     parts, _, ways = encode(v, split(v, [text])[0], n)
@@ -254,31 +318,17 @@ def segment(docs: DataFrame, text_column: str = "text", model: str = DEFAULT_MOD
     @F.arrow_udf(kind)
     def apply(texts: pa.Array) -> pa.Array:
         v = shared.value
-        flat, ends, scores, digests, same = array.array("i"), [0], [], [], []
         rows = texts.to_pylist()
-        for text, chunks in zip(rows, split(v, [t or "" for t in rows])):
-            if text is None:
-                scores.append(None)
-                digests.append(None)
-                same.append(None)
-            else:
-                parts, _, ways = encode(v, chunks, n)
-                begin = len(flat)
-                starts = [begin]
-                for ids in parts:
-                    flat.extend(ids)
-                    starts.append(len(flat))
-                own = np.frombuffer(flat, np.int32)[begin:].copy()
-                scores.append([score for score, _ in ways])
-                digests.append([_digest(own, picks, starts, begin) for _, picks in ways])
-                same.append(decode(v, own.tolist()) == text)
-            ends.append(len(flat))
-        null = pa.array([s is None for s in scores], pa.bool_())
-        values = pa.array(np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32))
-        ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values, mask=null)
-        sizes = pa.array(np.diff(ends).astype(np.int32), mask=null.to_numpy(zero_copy_only=False))
+        made = encode_batch(v, [t or "" for t in rows], n)
+        null = [t is None for t in rows]
+        back = decode_batch(v, made.ids, made.starts)
+        mask = pa.array(null, pa.bool_())
+        ids = pa.ListArray.from_arrays(pa.array(made.starts, pa.int32()), pa.array(made.ids), mask=mask)
+        sizes = pa.array(np.diff(made.starts).astype(np.int32), mask=np.array(null, bool))
+        blank = lambda values: [None if gone else x for gone, x in zip(null, values)]
+        same = [None if t is None else b == t.encode("utf-8", "surrogatepass") for t, b in zip(rows, back)]
         return pa.StructArray.from_arrays(
-            [ids, sizes, pa.array(scores, pa.list_(pa.float64())), pa.array(digests, pa.list_(pa.string())),
+            [ids, sizes, pa.array(blank(made.scores), pa.list_(pa.float64())), pa.array(blank(made.digests), pa.list_(pa.string())),
              pa.array(same, pa.bool_())], ["ids", "n_pieces", "nbest_scores", "nbest_digests", "round_trip"])
 
     names = ["ids", "n_pieces", "nbest_scores", "nbest_digests", "round_trip"]
@@ -286,12 +336,28 @@ def segment(docs: DataFrame, text_column: str = "text", model: str = DEFAULT_MOD
     return unpack(made, docs.columns, **{c: F.col("made")[c] for c in names})
 
 
-def _digest(own: np.ndarray, picks: dict[int, tuple[int, ...]], starts: list[int], begin: int) -> str:
+def unsegment(rows: DataFrame, ids_column: str = "ids", model: str = DEFAULT_MODEL, text_column: str = "text") -> DataFrame:
+    """``rows`` with the text of their ids.  Null ids, and ids that the vocabulary lacks, give null; no ids give the empty text."""
+    shared = rows.sparkSession.sparkContext.broadcast(load(model))
+
+    @F.arrow_udf("string")
+    def apply(ids: pa.Array) -> pa.Array:
+        numbers = [None if row is None else row for row in ids.to_pylist()]
+        starts = np.cumsum([0, *(0 if row is None else len(row) for row in numbers)])
+        flat = np.array([-1 if i is None else i for row in numbers if row is not None for i in row], np.int64)
+        back = decode_batch(shared.value, flat, starts)
+        return pa.array([None if row is None or b is None else b.decode("utf-8", "replace") for row, b in zip(numbers, back)], pa.string())
+
+    made = pack(rows).withColumn("made", apply(F.col("row")[ids_column]))
+    return unpack(made, rows.columns, **{text_column: F.col("made")})
+
+
+def _digest(own: np.ndarray, picks: dict[int, tuple[int, ...]], starts: np.ndarray) -> str:
     """MD5 of the ids with some chunks replaced."""
     digest, at = hashlib.md5(), 0
     for place in sorted(picks):
-        digest.update(own[at:starts[place] - begin].tobytes())
+        digest.update(own[at:starts[place]].tobytes())
         digest.update(np.array(picks[place], np.int32).tobytes())
-        at = starts[place + 1] - begin
+        at = int(starts[place + 1])
     digest.update(own[at:].tobytes())
     return digest.hexdigest()

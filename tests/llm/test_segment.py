@@ -1,8 +1,10 @@
 """Segmentation: N best against all segmentations, exact round trips, and the model file's own pieces."""
 
+import hashlib
 import itertools
 import random
 
+import numpy as np
 import pytest
 
 from rankweave.llm import segment
@@ -106,3 +108,27 @@ def test_digests_are_of_the_ids(odd):
     rows = segment.segment(odd.filter("doc_id = 1"), n=4).collect()
     want = [hashlib.md5(np.array(ids, np.int32).tobytes()).hexdigest() for _, ids in segment.nbest(real, rows[0]["text"], 4)]
     assert rows[0]["nbest_digests"] == want and not any(itertools.starmap(lambda a, b: a == b, itertools.combinations(want, 2)))
+
+
+def test_batches_equal_single_texts():
+    v = segment.load()
+    texts = ["The cat sat on the mat.", "x\na\nb\n\ny", "Straße über 😀 12345", "wort " * 3_000, "a", "", " ", "\n\n", "wort wort Wort"]
+    made = segment.encode_batch(v, texts, 4)
+    for i, text in enumerate(texts):
+        parts, _, ways = segment.encode(v, segment.split(v, [text])[0], 4)
+        own = made.ids[made.starts[i]:made.starts[i + 1]].tolist()
+        assert own == [k for part in parts for k in part]
+        assert made.scores[i] == [score for score, _ in ways]
+        for (_, picks), digest in zip(ways, made.digests[i]):
+            ids = [k for place, part in enumerate(parts) for k in picks.get(place, part)]
+            assert digest == hashlib.md5(np.array(ids, np.int32).tobytes()).hexdigest()
+    assert segment.decode_batch(v, made.ids, made.starts) == [t.encode() for t in texts]
+
+
+def test_a_table_of_ids_is_decoded(odd, spark):
+    coded = segment.segment(odd).withColumnRenamed("text", "was")
+    for r in segment.unsegment(coded).collect():
+        assert r["text"] == r["was"]
+    rows = spark.createDataFrame([(1, None), (2, []), (3, [10**8]), (4, [-1])], "a INT, ids ARRAY<INT>")
+    assert [r["text"] for r in segment.unsegment(rows).orderBy("a").collect()] == [None, "", None, None]
+    assert segment.unsegment(coded.limit(0)).count() == 0
