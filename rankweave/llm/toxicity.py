@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.common import labelled_sample, pack, unpack
 
-# The documented bounds of the sample: rows of each label, and the longest text used for fitting.
+# The documented bounds of the sample: rows of each label, and characters read of a text.
 SAMPLE_ROWS = 2_500
 SAMPLE_CHARS = 12_000
 BUCKETS = 1 << 18
@@ -167,14 +167,15 @@ def train(docs: DataFrame, labels: DataFrame, text_column: str = "text", label:
     """A classifier from ``docs`` and their ``labels`` of 0 or 1 (other labels are ignored).
 
     About SAMPLE_ROWS labels of each kind are chosen by hash before any text is read; this bounded table
-    is broadcast to the documents.  Of the chosen, texts beyond SAMPLE_CHARS are left out.
+    is broadcast to the documents.  Of a chosen text beyond SAMPLE_CHARS characters a slice of that many is read, at a
+    place that its id and text decide, so no labelled row is left out for its length.
     """
     row = F.col("row")
     known = pack(labels).select(row[id_column].alias("name"), row[label].cast("int").alias("label")).filter(
         F.col("label").isin(0, 1) & F.col("name").isNotNull())
     wanted = F.broadcast(labelled_sample(known, "label", F.col("name").cast("string"), SAMPLE_ROWS, 2))
-    texts = pack(docs, name=row[id_column], text=row[text_column]).drop("row").filter(
-        F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    place = F.pmod(F.xxhash64(F.lit(5), row[id_column], row[text_column]), F.greatest(F.length(row[text_column]) - SAMPLE_CHARS + 1, F.lit(1)))
+    texts = pack(docs, name=row[id_column], text=row[text_column].substr((place + 1).cast("int"), F.lit(SAMPLE_CHARS))).drop("row").filter("text IS NOT NULL")
     chosen = texts.join(wanted, "name").select(F.col("name").cast("string").alias("name"), "text", "label").collect()
     chosen.sort(key=lambda r: (r["name"], r["text"], r["label"]))
     return fit([r["text"] for r in chosen], [r["label"] for r in chosen])

@@ -77,3 +77,13 @@ def test_awkward_rows(odd, nothing, small):
     trained = X.train(odd, odd.select("doc_id", F.when(F.col("pos") % 3 < 2, F.col("pos") % 2).alias("toxic"), "text"))
     assert 0 <= X.score(trained, "anything") <= 1
     assert X.score(X.train(nothing, nothing.withColumn("toxic", F.lit(1))), "x") == 0.5
+
+
+def test_a_class_of_long_texts_is_learned(spark):
+    clean = [(i, f"a quiet walk by the river number {i} with friends and bread", 0) for i in range(60)]
+    bad = [(100 + i, "horrid worthless vile words again and again " * 400, 1) for i in range(40)]
+    docs = spark.createDataFrame([r[:2] for r in clean + bad], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in clean + bad], "doc_id long, toxic int")
+    assert len(bad[0][1]) > X.SAMPLE_CHARS
+    model = X.train(docs, labels)
+    assert X.score(model, bad[0][1]) > 0.9 and X.score(model, clean[0][1]) < 0.1
