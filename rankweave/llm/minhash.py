@@ -7,6 +7,7 @@ text's word shingles; two signatures agree in as large a share of places as thei
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -29,34 +30,95 @@ BROADCAST_IDS = 2_000_000
 _CELLS = 128
 _CHUNK = 2_048
 _BLOCK = 2_048
-_CACHED = 400_000
+# Forests of pairs a bucket gives in the first round, and the factor from round to round.
+_FORESTS = 4
+# Parts a band's rows are dealt in when they meet what is known of the band, so that no bucket is one task.
+_PARTS = 64
+# Bytes of text hashed at a time.
+_BYTES = 1 << 20
 _EMPTY = np.full(PERMUTATIONS, 0xFFFFFFFF, np.uint32)
 _random = np.random.default_rng(20)
 _FACTORS = _random.integers(0, 1 << 32, PERMUTATIONS, np.uint32) | np.uint32(1)
 _SHIFTS = _random.integers(0, 1 << 32, PERMUTATIONS, np.uint32)
 _PLACES = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], np.uint64)
-_words: dict[bytes, int] = {}
-
-
-def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
-    """64-bit hashes of the text's runs of ``width`` words (A-Z lowered); fewer words make one run."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_words) > _CACHED:
-        _words.clear()
-    for word in set(words):
-        if word not in _words:
-            _words[word] = xxhash.xxh64_intdigest(word)
-    hashes = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
-    n = max(1, len(words) - width + 1)
+# Words are hashed by sums of a number per byte (A-Z as a-z, none for white space) times a number per place in the word.
+_LETTERS = _random.integers(1, 1 << 63, 256, np.uint64)
+_LETTERS[65:91] = _LETTERS[97:123]
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTERS[_SPACE] = 0
+_NEAR = _random.integers(0, 1 << 63, 1 << 16, np.uint64) * np.uint64(2) + np.uint64(1)
+_FAR = _random.integers(0, 1 << 63, 1 << 16, np.uint64) * np.uint64(2) + np.uint64(1)
+_FAR[0] = 1
+_GAP = re.compile(rb"[\x09-\x0D ]")
+
+
+def _words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of a text, and where they start; pieces of about ``_BYTES``, cut at white space, bound the memory."""
+    hashes, places, at = [], [], 0
+    while at < len(data):
+        gap = _GAP.search(data, at + _BYTES)
+        end = gap.start() if gap else len(data)
+        raw = np.frombuffer(data, np.uint8, end - at, at)
+        inside = ~_SPACE.take(raw)
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        if inside[0]:
+            starts = np.r_[0, starts]
+        if len(starts):
+            place = np.arange(len(raw), dtype=np.int32)
+            place[starts[0]:] -= np.repeat(starts.astype(np.int32), np.diff(starts, append=len(raw)))
+            weights = _NEAR.take(place & 0xFFFF)
+            if len(raw) > 1 << 16:
+                weights *= _FAR.take(place >> 16)
+            weights *= _LETTERS.take(raw)
+            hashes.append(np.add.reduceat(weights, starts))
+            places.append(starts + at)
+        at = end
+    if not hashes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    made = np.concatenate(hashes)
+    made = (made ^ (made >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15)
+    return made ^ (made >> np.uint64(32)), np.concatenate(places)
+
+
+def _runs(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of ``width`` words."""
+    n = len(hashes) - width + 1
     mixed = np.zeros(n, np.uint64)
-    for i in range(min(width, len(words))):
+    for i in range(width):
         mixed = (mixed ^ hashes[i:i + n]) * _PLACES[i % len(_PLACES)]
         mixed ^= mixed >> np.uint64(29)
     return mixed
 
 
+def shingles_of(texts: list[str | None], width: int = SHINGLE) -> list[np.ndarray]:
+    """Per text, 64-bit hashes of its runs of ``width`` words (A-Z lowered); fewer words make one run, none make none."""
+    data = [(text or "").encode("utf-8", "replace") for text in texts]
+    hashes, starts = _words(b" ".join(data))
+    cuts = np.searchsorted(starts, np.cumsum([len(d) + 1 for d in data])).tolist()
+    runs = _runs(hashes, width) if len(hashes) >= width else hashes[:0]
+    return [runs[a:b - width + 1] if b - a >= width else _runs(hashes[a:b], b - a) if b > a else hashes[:0]
+            for a, b in pairwise([0, *cuts])]
+
+
+def shingles(text: str | None, width: int = SHINGLE) -> np.ndarray:
+    """``shingles_of`` one text."""
+    return shingles_of([text], width)[0]
+
+
+def _in_groups(texts: list[str | None]) -> Iterator[list[str | None]]:
+    """Consecutive texts of about ``_BYTES`` characters together, or one longer text."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text)
+        size += len(text or "")
+        if size >= _BYTES:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def signature(runs: np.ndarray) -> np.ndarray:
     """Smallest value of every hash function; all ones for a text without words."""
     best = _EMPTY.copy()
@@ -107,25 +169,39 @@ _RESULT = pa.schema([
     ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("class_id", pa.int64())])
 
 
+def _followed(held: tuple | None, rows: list[tuple], out: list[tuple]) -> tuple | None:
+    """Adds to ``out`` the results of texts whose next one is in ``rows`` (p, halo, id, text, class_id), ``held`` being the
+    row before them with its signature; returns the last row, unless it only follows a range."""
+    if not rows:
+        return held
+    marks = [signature(runs) for runs in shingles_of([row[3] for row in rows])]
+    chain = [*([held] if held else []), *[(*row, mark) for row, mark in zip(rows, marks)]]
+    pairs = [(one, after) for one, after in pairwise(chain) if one[0] == after[0] and not one[1]]
+    changed = [edited(one[3], after[3]) for one, after in pairs]
+    for (one, after), text, runs in zip(pairs, changed, shingles_of(changed)):
+        mark, other = one[5], signature(runs)
+        out.append((one[2], len(one[3]), hashlib.sha256(text.encode("utf-8", "replace")).hexdigest(), text_of(mark),
+                    text_of(other), likeness(mark, other), likeness(mark, after[5]), one[4]))
+    return None if chain[-1][1] else chain[-1]
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text against the one after it in its range, as they arrive in order; its class comes before it."""
     plain = zstandard.ZstdDecompressor()
     held, last_class = None, (None, None)
     for batch in batches:
         out = []
+        rows, size = [], 0
         for p, halo, name, z, class_id in zip(*[batch.column(i).to_pylist() for i in range(5)]):
             if z is None:
                 last_class = (name, class_id)
                 continue
-            text = plain.decompress(z).decode()
-            made = signature(shingles(text))
-            if held is not None and held[0] == p:
-                _, before, own, mark, known = held
-                changed = edited(own, text)
-                other = signature(shingles(changed))
-                out.append((before, len(own), hashlib.sha256(changed.encode("utf-8", "replace")).hexdigest(), text_of(mark),
-                            text_of(other), likeness(mark, other), likeness(mark, made), known))
-            held = None if halo else (p, name, text, made, last_class[1] if last_class[0] == name else name)
+            rows.append((p, halo, name, plain.decompress(z).decode(), last_class[1] if last_class[0] == name else name))
+            size += len(rows[-1][3])
+            if size >= _BYTES:
+                held = _followed(held, rows, out)
+                rows, size = [], 0
+        held = _followed(held, rows, out)
         yield pa.RecordBatch.from_pylist([dict(zip(_RESULT.names, row)) for row in out], _RESULT)
 
 
@@ -176,8 +252,7 @@ def sketched(text: Column) -> Column:
     @F.arrow_udf("set_a long, set_b long, bands array<long>, size long, cells binary")
     def apply(texts: pa.Array) -> pa.Array:
         rows = []
-        for t in texts.to_pylist():
-            runs = np.unique(shingles(t))
+        for runs in (np.unique(r) for group in _in_groups(texts.to_pylist()) for r in shingles_of(group)):
             made = signature(runs).reshape(BANDS, -1)
             a, b = np.frombuffer(xxhash.xxh128_digest(runs.tobytes()), np.int64)
             keys = [xxhash.xxh64_intdigest(band.tobytes(), i) for i, band in enumerate(made)]
@@ -313,14 +388,23 @@ def _moved(rows: DataFrame, roots: DataFrame) -> DataFrame:
         "class_id", F.coalesce("root", "class_id")).drop("root")
 
 
+def _of_bands(rows: DataFrame, column: str) -> DataFrame:
+    """Written (band, part, n, low, high) of ``rows`` (band, part, ...): number of the band's rows, its smallest and
+    largest ``column``, for every part that has rows."""
+    parts = rows.groupBy("band", "part").agg(F.count(F.lit(1)).alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+    parts = materialise(parts)
+    bands = parts.groupBy("band").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return materialise(parts.select("band", "part").join(bands, "band").select("band", "part", "n", "low", "high"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, class_id) of rows in a class of several: links of Jaccard similarity 0.8 or more on five-word shingles.
 
     Texts of one shingle set are one item, named by its smallest id.  Items that share a signature band
     meet in the band's bucket; classes are those of all pairs of every bucket.  First each item is compared
     with the bucket's smallest one.  Then, in rounds with written tables, every bucket that still holds several
-    classes gives the pairs across them that counters of the shingle sets cannot rule out, as forests: one in
-    the first round, twice as many in each later one, without pairs that failed.  The rounds end when no
+    classes gives the pairs across them that counters of the shingle sets cannot rule out, as forests: four in
+    the first round, four times as many in each later one, without pairs that failed.  The rounds end when no
     bucket has such a pair.  Null ids take no part; texts without words are one item.  If an id has several
     texts, one of them stands for it in a comparison.
     """
@@ -331,26 +415,27 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         F.min("id").alias("rep"), *[F.first(c).alias(c) for c in ("bands", "size", "cells")]))
     # An id with several texts stands for one item of them here too.
     marks = items.groupBy("rep").agg(F.first(F.struct("size", "cells")).alias("m")).select("rep", "m.*")
-    buckets = items.select("rep", F.explode("bands").alias("band")).distinct()
-    least = materialise(buckets.groupBy("band").agg(F.min("rep").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    starred = materialise(buckets.join(least, "band").filter("rep > u").select("band", "u", F.col("rep").alias("v"), "n"))
+    part = F.pmod(F.xxhash64("rep"), F.lit(_PARTS)).cast("int").alias("part")
+    buckets = items.select("rep", F.explode("bands").alias("band"), part).distinct()
+    least = _of_bands(buckets, "rep").filter("n > 1").withColumnRenamed("low", "u")
+    starred = materialise(buckets.join(least, ["band", "part"]).filter("rep > u").select("band", "part", "u", F.col("rep").alias("v"), "n"))
     left = starred.select("u", "v").distinct().join(marks.select(F.col("rep").alias("u"), F.col("size").alias("su"), F.col("cells").alias("zu")), "u")
     both = left.join(marks.select(F.col("rep").alias("v"), F.col("size").alias("sv"), F.col("cells").alias("zv")), "v")
     pairs = materialise(both.select("u", "v", (F.col("su") + F.col("sv")).alias("total"), "zu", "zv").mapInArrow(_hopeful, "u long, v long"))
     tested = _tested(base, pairs.withColumns({"cu": F.col("u"), "cv": F.col("v")}))
     rooted = items.select("set_a", "set_b", F.col("rep").alias("class_id"))
     # The smallest item has been compared with all others of its bucket.
-    members = starred.filter("n > 2").select("band", F.col("v").alias("rep"), F.col("v").alias("class_id"))
-    failed, times = tested.filter("NOT same").select("u", "v"), 1
+    members = starred.filter("n > 2").select("band", "part", F.col("v").alias("rep"), F.col("v").alias("class_id"))
+    failed, times = tested.filter("NOT same").select("u", "v"), _FORESTS
     while True:
         roots = connect(tested.filter("same"), "cu", "cv")
-        rooted, members = materialise(_moved(rooted, roots)), materialise(_moved(members, roots).select("band", "rep", "class_id"))
-        mixed = members.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("low"), F.max("class_id").alias("high"))
-        members = materialise(members.join(mixed.filter("low < high").select("band", "n"), "band"))
+        rooted, members = materialise(_moved(rooted, roots)), materialise(_moved(members, roots).select("band", "part", "rep", "class_id"))
+        mixed = _of_bands(members, "class_id").filter("low < high").select("band", "part", "n")
+        members = materialise(members.join(mixed, ["band", "part"]))
         pairs = materialise(_candidates(members, marks, failed, times))
         if pairs.isEmpty():
             break
-        tested, times = _tested(base, pairs), times * 2
+        tested, times = _tested(base, pairs), times * _FORESTS
         failed = failed.unionByName(tested.filter("NOT same").select("u", "v"))
     members = made.select("id", "set_a", "set_b").join(rooted, ["set_a", "set_b"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
     # A class's smallest id needs no row: it is its own class.

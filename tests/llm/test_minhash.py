@@ -136,3 +136,15 @@ def test_counters_never_rule_out_a_link():
         y = x[: -(-len(x) * 8 // 10)]
         apart = np.abs(np.frombuffer(M.counters(x), np.uint8).astype(int) - np.frombuffer(M.counters(y), np.uint8)).sum()
         assert M._possible(apart, len(x) + len(y))
+
+
+def test_words_in_groups_and_pieces(monkeypatch):
+    texts = ["", None, " ", "a", "A b", "  a b\tc\nd e f ", "é ü " * 9, "x" * 70_000 + " y " + "x" * 70_001, "ab ba", "ba ab"]
+    want = [M.shingles(t).tolist() for t in texts]
+    assert [len(w) for w in want] == [len(runs(t)) if t != "é ü " * 9 else 14 for t in texts]
+    assert [r.tolist() for r in M.shingles_of(texts)] == want
+    assert want[4] == M.shingles("a B").tolist() and want[8] != want[9]
+    assert M.shingles("x" * 70_000).tolist() != M.shingles("x" * 69_999 + "y").tolist()
+    monkeypatch.setattr(M, "_BYTES", 7)
+    assert [r.tolist() for r in M.shingles_of(texts)] == want
+    assert [r.tolist() for g in M._in_groups(texts) for r in M.shingles_of(g)] == want
