@@ -39,6 +39,15 @@ def unpack(df: DataFrame, names: list[str], **made: Column) -> DataFrame:
     return df.select(*kept, *[column.alias(c) for c, column in made.items() if c not in names])
 
 
+def discard(*written: DataFrame) -> None:
+    """Remove the files of ``materialise``d tables.  Only for tables that everything made from them has been written since."""
+    for df in written:
+        spark = df.sparkSession
+        for folder in {name.rpartition("/")[0] for name in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def identity(*columns: Column) -> list[Column]:
     """Two 64-bit hashes of a row's id and text: equal rows share them, copies under other ids do not."""
     return [F.xxhash64(*columns).alias("_a"), F.xxhash64(F.lit(1), *columns).alias("_b")]
@@ -63,4 +72,4 @@ def labelled_sample(rows: DataFrame, label: str, unit: Column, rows_per_label: i
     return rows.filter(place < share)
 
 
-__all__ = ["BATCH_BYTES", "identity", "labelled_sample", "materialise", "pack", "prepare", "table", "unpack"]
+__all__ = ["BATCH_BYTES", "discard", "identity", "labelled_sample", "materialise", "pack", "prepare", "table", "unpack"]

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.common import materialise, pack
+from rankweave.llm.common import discard, materialise, pack
 from rankweave.llm.components import connect
 
 PERMUTATIONS = 64
@@ -373,13 +373,15 @@ def _tested(base: DataFrame, pairs: DataFrame) -> DataFrame:
     """Written pairs (u, v, cu, cv) with ``same``, from the texts of ``base`` (id, text)."""
     wanted = materialise(pairs.select(F.col("u").alias("id")).union(pairs.select("v")).distinct())
     # Ids of checked size filter the texts where they are read; more of them meet the texts in a join.
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = base.join(wanted, "id", "left_semi").mapInArrow(_compressed, "id long, z binary")
+    few = wanted.count() <= BROADCAST_IDS
+    texts = base.join(F.broadcast(wanted) if few else wanted, "id", "left_semi").mapInArrow(_compressed, "id long, z binary")
     single = materialise(texts.dropDuplicates(["id"]))
     left = pairs.join(single.select(F.col("id").alias("u"), F.col("z").alias("zu")), "u")
     both = left.join(single.select(F.col("id").alias("v"), F.col("z").alias("zv")), "v").select("u", "v", "cu", "cv", "zu", "zv")
-    return materialise(both.mapInArrow(_verified, "u long, v long, cu long, cv long, same boolean"))
+    tested = materialise(both.mapInArrow(_verified, "u long, v long, cu long, cv long, same boolean"))
+    # Texts are the largest of all written tables, and of no more use.
+    discard(wanted, single)
+    return tested
 
 
 def _moved(rows: DataFrame, roots: DataFrame) -> DataFrame:
