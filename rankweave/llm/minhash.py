@@ -441,4 +441,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
         failed = failed.unionByName(tested.filter("NOT same").select("u", "v"))
     members = made.select("id", "set_a", "set_b").join(rooted, ["set_a", "set_b"]).groupBy("id").agg(F.min("class_id").alias("class_id"))
     # A class's smallest id needs no row: it is its own class.
-    return members.filter("id <> class_id")
+    classes = materialise(members.filter("id <> class_id"))
+    # What led to the classes is of no more use once they are written.
+    discard(made, items, least, starred, rooted)
+    return classes
