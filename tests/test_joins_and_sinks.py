@@ -50,6 +50,22 @@ def test_only_rare_tokens_are_indexed(spark):
         S.similar_sets(classes, 0)
 
 
+def test_few_pairs_of_unlike_sets_are_verified(spark):
+    """Sets over one vocabulary share many tokens; nearly all pairs end before their sets are moved."""
+    rng = random.Random(8)
+    sets = [rng.sample(range(1_200), 200) for _ in range(300)]
+    sets += [[*s[:180], *range(2_000 + 20 * i, 2_020 + 20 * i)] for i, s in enumerate(sets[:40])]
+    classes, _ = S.set_classes(spark.createDataFrame(list(enumerate(sets)), "id INT, tokens ARRAY<INT>"), "id", "tokens")
+    tried = {(r["left"], r["right"]) for r in S.candidate_pairs(classes, 0.6).collect()}
+    assert {(i, 300 + i) for i in range(40)} <= tried and len(tried) < 60
+
+
+def test_one_set_twice_under_one_key_is_one_class(spark):
+    rows = spark.createDataFrame([(1, [1, 2, 3]), (1, [1, 2, 3]), (2, [1, 2, 3, 4])], "id INT, tokens ARRAY<INT>")
+    classes, _ = S.set_classes(rows, "id", "tokens")
+    assert classes.count() == 2 and S.similar_sets(classes, 0.7).count() == 1
+
+
 @pytest.mark.parametrize("values", ["normal", "ties", "few"])
 def test_quantiles_of_huge_groups(spark, hot, values):
     rng = random.Random(3)
