@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,6 +41,21 @@ def test_concordance_equals_enumeration(spark, request, huge):
         assert got[k][:5] == want[:5] and (got[k][5] == pytest.approx(want[5]) if want[5] is not None else got[k][5] is None)
 
 
+@pytest.mark.parametrize("n", [1, 2, 31, 32, 33, 64, 65, 1000])
+def test_inversions_of_one_list(n):
+    rng = random.Random(n)
+    for most in (2, 7, 5 * n):
+        values = [rng.randrange(most) for _ in range(n)]
+        assert K.count_inversions(np.array(values)) == sum(a > b for a, b in itertools.combinations(values, 2))
+
+
+def test_short_lists_move_once(spark):
+    """No row per binary digit where every list fits one task."""
+    rows = spark.range(20_000).select((F.col("id") % 50).alias("k"), (F.col("id") * 7919 % 1009).alias("x"), (F.col("id") * 31 % 97).alias("y"))
+    plan = K.order_concordance(rows, ["k"], "x", "y")._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "FlatMapGroupsInArrow" in plan
+
+
 def test_concordance_of_5000_items(spark):
     items = made(9, 5_000, 3_000)
     row = K.order_concordance(spark.createDataFrame([(1, *i) for i in items], "k INT, x INT, y DOUBLE"), ["k"], "x", "y").first()
