@@ -19,6 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +31,10 @@ from rankweave.session import materialise
 
 BLOCK = 65_536
 _CHUNK = 1_000
+# Rows of a task, and bits of the most buckets, of a permutation.  A draw has as many rows of bucket counts as rows in the
+# buckets that a boundary cuts; both are about n / 256, however many rows there are.
+PERMUTED_BLOCK = 262_144
+_BUCKET_BITS = 10
 LOW, HIGH = 0.025, 0.975
 FLIP_TOLERANCE = 1e-15
 
@@ -75,6 +80,37 @@ def picks(clusters: DataFrame, key: str, draws: int, seed: int) -> DataFrame:
     return drawn.select("draw", F.coalesce(F.col("_r") % F.col("size"), F.lit(0)).alias("idx"), "size")  # not null, as in ``rng``
 
 
+def pick_counts(clusters: DataFrame, draws: int, seed: int) -> DataFrame:
+    """(draw, slots, distinct_clusters) of ``picks``, without a row per slot and draw.
+
+    A task marks the picks of its slots as bits, for every draw; marks meet by draw and 32,768 clusters.
+    """
+    spark, size = clusters.sparkSession, clusters.count()
+    start, bits = mix(seed), 32_768
+
+    def mark(batches):
+        here = [b.column(0).to_numpy() for b in batches]
+        slots = np.concatenate(here) if here else np.empty(0, np.int64)
+        for draw in range(draws) if len(slots) else ():
+            picked = absorb_array(absorb_array(absorb_array(np.int64(start), 0), draw), slots) % size
+            own = np.unique(picked)
+            bucket = own // bits
+            cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+            marks = []
+            for part in np.split(own % bits, cuts[1:]):
+                flags = np.zeros(bits, np.uint8)
+                flags[part] = 1
+                marks.append(np.packbits(flags).tobytes())
+            slots_of = np.r_[len(slots), np.zeros(len(cuts) - 1, int)]
+            yield pa.RecordBatch.from_pydict({
+                "draw": pa.array(np.full(len(cuts), draw, np.int32)), "bucket": pa.array(bucket[cuts]),
+                "slots": pa.array(slots_of, pa.int64()), "marks": pa.array(marks, pa.binary())})
+
+    marked = spark.range(0, size, 1, max(1, -(-size // PERMUTED_BLOCK))).mapInArrow(mark, "draw int, bucket long, slots long, marks binary")
+    merged = marked.groupBy("draw", "bucket").agg(F.sum("slots").alias("slots"), F.bitmap_or_agg("marks").alias("marks"))
+    return merged.groupBy("draw").agg(F.sum("slots").alias("slots"), F.sum(F.bitmap_count("marks")).alias("distinct_clusters"))
+
+
 def _chunked(placed: DataFrame, draws: int) -> DataFrame:
     """A copy of each row per chunk of draws."""
     return placed.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.lit((draws - 1) // _CHUNK).cast("long"))))
@@ -234,7 +270,7 @@ def sign_flip(totals: DataFrame, values: Sequence[str], draws: int, seed: int, b
 
 def permuted_sums(
     rows: DataFrame, key: str, value: str, sizes: Sequence[tuple[str, int]], draws: int, seed: int,
-    block: int = BLOCK,
+    block: int = PERMUTED_BLOCK,
 ) -> DataFrame:
     """Per draw and label: sum of values when labels are dealt out in random order.
 
@@ -247,8 +283,8 @@ def permuted_sums(
     for label, n in sizes:
         upto += n
         ends.append((label, upto))
-    # About 256 rows a bucket, however many rows there are.
-    bits, start = min(31, max(1, math.ceil(math.log2(max(2, total) / 256)))), mix(seed)
+    # About 256 rows a bucket, until there are as many buckets as a task should count per draw.
+    bits, start = min(_BUCKET_BITS, max(1, math.ceil(math.log2(max(2, total) / 256)))), mix(seed)
     dealt = rows.select(F.col(key).cast("long").alias("_id"), F.col(value).cast("double").alias("_value")).withColumn(
         "block", F.pmod(F.xxhash64("_id"), F.lit(max(1, -(-total // block)))))
     group = ["block", "chunk"]
@@ -324,7 +360,7 @@ def label_sizes(rows: DataFrame, label: str) -> list[tuple[str, int]]:
     return [(r[0], r["n"]) for r in found]
 
 
-def omnibus_permutation(rows: DataFrame, key: str, value: str, label: str, draws: int, seed: int, block: int = BLOCK) -> DataFrame:
+def omnibus_permutation(rows: DataFrame, key: str, value: str, label: str, draws: int, seed: int, block: int = PERMUTED_BLOCK) -> DataFrame:
     """Permutation test of equal label means, upper tail of the between-group statistic."""
     rows = materialise(rows.select(key, value, label))
     sums = rows.groupBy(label).agg(F.sum(value).alias("total"), F.count(F.lit(1)).alias("n"))
@@ -343,7 +379,7 @@ def mean_contrast(rows: DataFrame, value: str, label: str, left: Sequence, right
         F.raise_error(F.lit("empty contrast group")).cast("double")).alias("contrast"))
 
 
-def contrast_permutation(rows: DataFrame, key: str, value: str, label: str, left, right, draws: int, seed: int, block: int = BLOCK) -> DataFrame:
+def contrast_permutation(rows: DataFrame, key: str, value: str, label: str, left, right, draws: int, seed: int, block: int = PERMUTED_BLOCK) -> DataFrame:
     """Two-sided permutation test of a mean contrast."""
     kept = materialise(rows.filter(F.col(label).isin(*left, *right)).select(key, value, label))
     observed = mean_contrast(kept, value, label, left, right).first()["contrast"]

@@ -225,3 +225,20 @@ def test_signed_rank_known_value_and_rule(spark):
 def test_string_clusters_have_their_own_counters(spark):
     keys = spark.range(400_000).select(F.concat(F.lit("cluster "), "id").alias("k"))
     assert keys.select(RS.key_number("k", "string").alias("n")).distinct().count() == 400_000
+
+
+def test_pick_counts_equal_the_picks(spark):
+    clusters = spark.range(40_000).select((F.col("id") * 3).alias("c"))
+    want = RS.picks(clusters, "c", 3, 11).groupBy("draw").agg(F.count(F.lit(1)), F.count_distinct("idx")).collect()
+    assert sorted(tuple(r) for r in RS.pick_counts(clusters, 3, 11).collect()) == sorted(tuple(r) for r in want)
+    assert RS.pick_counts(clusters.limit(0), 3, 11).count() == 0
+
+
+def test_permutation_counts_few_rows_per_draw(spark, monkeypatch):
+    """Rows of counts per task and draw have a bound that rows of the table do not raise; sums are the same for any buckets."""
+    rows = spark.range(3_000).select("id", (F.col("id") % 17).cast("double").alias("v"))
+    sums = lambda: sorted((r["draw"], r["label"], round(r["total"], 6), r["n"]) for r in RS.permuted_sums(
+        rows, "id", "v", [("a", 900), ("b", 1_300), ("c", 800)], 5, 3).collect())
+    want = sums()
+    monkeypatch.setattr(RS, "_BUCKET_BITS", 1)
+    assert sums() == want and RS.PERMUTED_BLOCK > 2 ** 10
