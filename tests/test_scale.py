@@ -99,6 +99,14 @@ def test_a_plan_that_multiplies_rows_is_never_small(spark):
     assert scale.is_small(few) and not scale.is_small(few.select(F.explode(F.sequence(F.lit(1), F.lit(1000))).alias("x")))
 
 
+def test_passes_over_a_huge_group_do_not_repeat_what_comes_before(hot):
+    """The plan of the last pass starts from written rows, not from the input."""
+    df = hot.range(500).select((F.col("id") % 2).alias("k"), (F.col("id") * 7 % 97).cast("double").alias("v"), "id")
+    made = [scale.running(df, ["k"], [F.col("id")], {"s": ("sum", F.col("v"))}), scale.midranked(df, ["k"], F.col("v"), "m"),
+            scale.quantiles(df, ["k"], "v", [0.5], "q")]
+    assert all("Range (" not in one._jdf.queryExecution().optimizedPlan().toString() for one in made)
+
+
 def test_many_pieces_are_joined_instead_of_broadcast(hot, monkeypatch):
     monkeypatch.setattr(scale, "BROADCAST_PIECES", 0)
     test_rank_and_size(hot, ["k"])
