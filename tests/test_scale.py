@@ -134,3 +134,20 @@ def test_list_order_and_adjustment_on_a_huge_group(hot):
     p = tests["p_value"].to_numpy()
     scaled = p * len(p) / np.arange(1, len(p) + 1)
     assert np.allclose(got["p_bh"], np.minimum(np.minimum.accumulate(scaled[::-1])[::-1], 1))
+
+
+def test_rows_are_worked_out_once(hot):
+    """The count of groups and the ranking read rows written once, they do not each repeat what comes before."""
+    seen = hot.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def noted(value):
+        seen.add(1)
+        return value
+
+    rows = hot.range(300, numPartitions=3).select((noted("id") % 30).alias("k"), F.col("id").alias("v"))
+    for make in (lambda: scale.ranked(rows, ["k"], [F.col("v")]), lambda: scale.midranked(rows, ["k"], F.col("v"), "r"),
+                 lambda: scale.quantiles(rows, ["k"], "v", [0.5], "q")):
+        before = seen.value
+        assert len(make().collect()) in (30, 300)
+        assert seen.value - before == 300
