@@ -166,14 +166,19 @@ def merge_sources(a: DataFrame, b: DataFrame, extras: Sequence[str] = ()) -> Dat
 
 
 def overlap_by_query(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Shared, combined and Jaccard counts of two pools per query."""
-    both = a.select(QUERY, CAND, F.lit(1).alias("_a")).join(
-        b.select(QUERY, CAND, F.lit(1).alias("_b")), [QUERY, CAND], "full_outer")
+    """Shared, combined and Jaccard counts of two pools per query.
+
+    From hash aggregates alone: no side is sorted.  Repeated lines count once, so raw lines do as well as pools.
+    """
+    rows = a.select(QUERY, CAND, F.lit(1).alias("_a"), F.lit(0).alias("_b")).unionByName(
+        b.select(QUERY, CAND, F.lit(0).alias("_a"), F.lit(1).alias("_b")))
+    per = rows.groupBy(QUERY, CAND).agg(F.max("_a").alias("_a"), F.max("_b").alias("_b"))
+    # Null keys meet nothing.
+    both = F.when(F.col(QUERY).isNotNull() & F.col(CAND).isNotNull(), F.col("_a") * F.col("_b")).otherwise(0)
     return (
-        both.groupBy(QUERY)
-        .agg(F.count("_a").alias("n_a"), F.count("_b").alias("n_b"),
-             F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("shared"),
-             F.count(F.lit(1)).alias("combined"))
+        per.groupBy(QUERY)
+        .agg(F.sum("_a").alias("n_a"), F.sum("_b").alias("n_b"), F.sum(both).alias("shared"),
+             F.sum(F.col("_a") + F.col("_b") - both).alias("combined"))
         .withColumn("jaccard", F.col("shared") / F.col("combined"))
     )
 

@@ -111,7 +111,7 @@ FROM plain_qs LEFT JOIN j USING (query_id)""")
 def g05(t: Tables):
     """Overlap of two pools; two empty lists count as equal."""
     per = V.plain_queries(t).select("query_id").join(
-        P.overlap_by_query(V.pool(t, "alpha"), V.pool(t, "beta")), "query_id", "left")
+        P.overlap_by_query(V.raw_lines(t, "alpha"), V.raw_lines(t, "beta")), "query_id", "left")
     per = materialise(per.withColumn("jaccard", F.coalesce("jaccard", F.lit(1.0))))
     counts = per.agg(
         rows_().alias("n_queries"), F.avg("jaccard").alias("mean_jaccard"), F.sum("shared").alias("shared"),

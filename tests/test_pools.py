@@ -144,3 +144,13 @@ def test_missing_column_fails_at_plan_time(spark):
     from rankweave.sources.candidates import require_columns
     with pytest.raises(ValueError, match="missing"):
         require_columns(spark.range(1), ["id", "other"])
+
+
+def test_overlap_counts_repeated_lines_once_and_sorts_nothing(spark):
+    a = spark.createDataFrame([(1, 10), (1, 10), (1, 11), (2, None), (None, 10)], "query_id INT, cand_key INT")
+    b = spark.createDataFrame([(1, 10), (1, 12), (2, None), (3, 10), (3, 10), (None, 10)], "query_id INT, cand_key INT")
+    out = P.overlap_by_query(a, b)
+    got = {r["query_id"]: tuple(r)[1:] for r in out.collect()}
+    assert got == {1: (2, 2, 1, 3, pytest.approx(1 / 3)), 2: (1, 1, 0, 2, 0.0), 3: (0, 1, 0, 1, 0.0), None: (1, 1, 0, 2, 0.0)}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Sort" not in plan
