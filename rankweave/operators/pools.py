@@ -41,9 +41,9 @@ def list_order() -> list[Column]:
     return [F.col("prior").isNull(), -F.col("prior"), F.col("first_seen"), F.col(CAND)]
 
 
-def full_list(pool: DataFrame, by: Sequence[str] = (QUERY,)) -> DataFrame:
-    """Rank whole lists, whatever their length."""
-    return ranked(pool, by, list_order(), "rank", "n")
+def full_list(pool: DataFrame, by: Sequence[str] = (QUERY,), checked: bool = False) -> DataFrame:
+    """Rank whole lists, whatever their length; ``checked`` where all are known to be short."""
+    return ranked(pool, by, list_order(), "rank", "n", checked)
 
 
 def top_list(
