@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -332,14 +334,18 @@ SELECT pool, count(*) AS n_covered, round(count(*) / (SELECT count(*) FROM plain
 FROM covered_in LEFT JOIN common_ids c USING (query_id) GROUP BY pool""")
 def g17_coverage(t: Tables):
     """Coverage of each pool and the part of it in the common cohort."""
-    from rankweave.plans.joins import common_cohort
+    V.share(t, V.again(V.POOLS))
     covered = None
     for name in V.POOLS:
         part = covered_ids(t, name).withColumn("pool", F.lit(name))
         covered = part if covered is None else covered.unionByName(part)
-    common = common_cohort(t).withColumn("_c", F.lit(1))
     total = V.plain_queries(t).agg(rows_().alias("_total"))
-    out = covered.join(common, "query_id", "left").groupBy("pool").agg(rows_().alias("n_covered"), F.count("_c").alias("in_common"))
+    # One row per query with its rows in each pool; a query is common that has one in all.
+    per = covered.groupBy("query_id").agg(*[F.count_if(F.col("pool") == name).alias(name) for name in V.POOLS])
+    common = reduce(lambda a, b: a & b, [F.col(name) > 0 for name in V.POOLS])
+    counts = per.groupBy(common.alias("_common")).agg(*[F.sum(name).alias(name) for name in V.POOLS])
+    out = counts.unpivot(["_common"], list(V.POOLS), "pool", "k").filter("k > 0").groupBy("pool").agg(
+        F.sum("k").alias("n_covered"), F.sum(F.when(F.col("_common"), F.col("k")).otherwise(0)).alias("in_common"))
     return V.rounded(with_row(out, total).select(
         "pool", "n_covered", (F.col("n_covered") / F.col("_total")).alias("coverage"), "in_common",
         (F.col("in_common") / F.col("n_covered")).alias("common_share")))

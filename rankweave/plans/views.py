@@ -33,6 +33,8 @@ def split_column(key: Column) -> Column:
 
 def queries(t: Tables) -> DataFrame:
     """query_id, cluster_key, class, split, truth_key (-1 where there is no answer)."""
+    if "queries" in t.shared:
+        return t.shared["queries"]
     best = _lines(t).groupBy(F.col("l_orderkey").alias("query_id")).agg(
         F.max(F.struct(F.col("l_discount"), (-F.col("l_partkey")).alias("neg"))).alias("b"))
     truth = best.select("query_id", (-F.col("b.neg")).alias("found"))
@@ -71,6 +73,8 @@ def raw_lines(t: Tables, pool: str) -> DataFrame:
 
 def pool(t: Tables, name: str) -> DataFrame:
     """Deduplicated pool, not yet ordered."""
+    if f"pool_{name}" in t.shared:
+        return t.shared[f"pool_{name}"]
     if name == "merged":
         return P.merge_sources(*[P.full_list(pool(t, n), checked=short(t)) for n in ("alpha", "beta")], ["feat"])
     return P.dedupe(raw_lines(t, name), extras=["feat"])
