@@ -21,13 +21,14 @@ def truth_ranks(marked: DataFrame, scores: Sequence[str]) -> DataFrame:
     descending; ties keep the stored order.  0 where the answer is not in the list.
     All columns share one exchange, and no list is sorted again.
     """
-    answer = [f"max(CASE WHEN is_truth THEN `{c}` END) OVER (PARTITION BY query_id) AS `_t_{c}`"
-              for c in (*scores, "rank")]
-    ahead = [f"count_if(`{s}` > `_t_{s}` OR (`{s}` = `_t_{s}` AND rank <= _t_rank)) AS `{s}`" for s in scores]
+    # The answer's row goes to all rows of its list as one value, not a window per score.
+    fields = ", ".join(f"`{c}`" for c in (*scores, "rank"))
+    answer = f"max(CASE WHEN is_truth THEN struct({fields}) END) OVER (PARTITION BY query_id) AS _t"
+    ahead = [f"count_if(`{s}` > _t.`{s}` OR (`{s}` = _t.`{s}` AND rank <= _t.rank)) AS `{s}`" for s in scores]
     return (
-        marked.selectExpr("query_id", "rank", "n", *[f"`{s}`" for s in scores], *answer)
+        marked.selectExpr("query_id", "rank", "n", *[f"`{s}`" for s in scores], answer)
         .groupBy("query_id")
-        .agg(F.max("n").alias("list_len"), F.coalesce(F.max("_t_rank"), F.lit(0)).alias("prior_rank"),
+        .agg(F.max("n").alias("list_len"), F.coalesce(F.max("_t.rank"), F.lit(0)).alias("prior_rank"),
              *[F.expr(e) for e in ahead])
     )
 

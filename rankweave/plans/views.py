@@ -106,6 +106,11 @@ def again(names: tuple[str, ...]) -> tuple[str, ...]:
 def short(t: Tables) -> bool:
     """Whether all lists are known to be short: ``share`` lays tables together only after that check."""
     return bool(t.shared)
+
+
+def ordered(t: Tables, name: str) -> DataFrame:
+    """Whole lists in order."""
+    return P.full_list(pool(t, name), checked=short(t)).select(
         "query_id", "cand_key", "prior", "feat", "first_seen", "rank", "n")
 
 
@@ -152,6 +157,8 @@ def wide_ranks(t: Tables, name: str, seeds: tuple[int, ...] = SEEDS) -> DataFram
 def ranks(t: Tables, names: tuple[str, ...] = ("historical",), seeds=SEEDS) -> DataFrame:
     """Long rank rows: pool, arm, seed, query and the rank of the answer (0 = not covered)."""
     out = None
+    if len(names) > 2:
+        share(t, again(names))
     for name in names:
         wide = wide_ranks(t, name, seeds)
         cells = F.explode(F.array(*[
@@ -166,6 +173,8 @@ def ranks(t: Tables, names: tuple[str, ...] = ("historical",), seeds=SEEDS) -> D
 def effects(t: Tables, names: tuple[str, ...] = ("historical",), seeds=SEEDS) -> DataFrame:
     """Per covered query and seed: augmented minus baseline top-1 and reciprocal rank."""
     out = None
+    if len(names) > 2:
+        share(t, again(names))
     for name in names:
         wide = wide_ranks(t, name, seeds).filter(F.col("prior_rank") > 0)
         cells = []
