@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from rankweave.rng import with_random
 from rankweave.scale import ranked, with_row
+from rankweave.session import materialise
 
 QUERY, CAND = "query_id", "cand_key"
 
@@ -121,7 +122,8 @@ def fit_pairwise_ranker(pairs: DataFrame, features: Sequence[str], reg: float =
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
 
-    deltas = pairs.select(*[(F.col(f"pos_{c}") - F.col(f"neg_{c}")).alias(c) for c in features])
+    # The fit passes over its rows several times before it holds them.
+    deltas = materialise(pairs.select(*[(F.col(f"pos_{c}") - F.col(f"neg_{c}")).alias(c) for c in features]))
     both = deltas.withColumn("label", F.lit(1.0)).unionByName(
         deltas.select(*[(-F.col(c)).alias(c) for c in features]).withColumn("label", F.lit(0.0)))
     data = VectorAssembler(inputCols=list(features), outputCol="_features").transform(both)

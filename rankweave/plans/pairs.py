@@ -16,7 +16,7 @@ from rankweave.operators import ranker as RK
 from rankweave.plans import views as V
 from rankweave.plans.registry import Tables, cte, query
 from rankweave.rng import random_sql
-from rankweave.session import materialise
+from rankweave.session import materialise, materialise_by
 
 SEED, K = 42, 5
 
@@ -28,6 +28,11 @@ def labelled_lists(t: Tables, pool: str = "historical") -> DataFrame:
     return lists.join(q, "query_id").withColumn("is_match", F.col("cand_key") == F.col("truth_key")).drop("truth_key")
 
 
+def labelled_once(t: Tables) -> DataFrame:
+    """The same written once, together by query: what pairs, counts and ranks them needs no exchange."""
+    return materialise_by(labelled_lists(t), "query_id", gather=True)
+
+
 def multi_labelled(t: Tables) -> DataFrame:
     """Capped lists in which every candidate with a high discount counts as a match."""
     return V.lists(t, "historical").withColumn("is_match", F.col("feat") >= 0.08)
@@ -137,8 +142,10 @@ def m05(t: Tables):
 @query("m06_fitted_ranker")
 def m06(t: Tables):
     """Fit the linear pairwise ranker on train and report validation metrics."""
-    weights = X.fit_pairwise_ranker(train_pairs(t), ["norm", "feat"], reg=0.01)
-    scored = labelled_lists(t).filter(F.col("split") == "valid").withColumn("score", S.linear_score(weights))
+    lists = labelled_once(t)
+    pairs = X.training_pairs(lists.filter(F.col("split") == "train"), SEED, K, ["norm", "feat"])
+    weights = X.fit_pairwise_ranker(pairs, ["norm", "feat"], reg=0.01)
+    scored = lists.filter(F.col("split") == "valid").withColumn("score", S.linear_score(weights))
     placed = M.truth_ranks(scored.withColumnRenamed("is_match", "is_truth"), ["score"])
     rows = placed.filter(F.col("prior_rank") > 0).withColumnRenamed("score", "rank")
     out = M.ranking_metrics(rows, [], (1, 3, 5))
@@ -151,7 +158,7 @@ RANKER_FEATURES = ("norm", "feat")
 @query("m06_layered_ranker")
 def m06_layered(t: Tables):
     """Fit a ranker with two hidden layers on train, stop early on validation lists, report every epoch."""
-    lists = materialise(labelled_lists(t))
+    lists = labelled_once(t)
     data = RK.prepare_pairs(X.training_pairs(lists.filter(F.col("split") == "train"), SEED, K, RANKER_FEATURES), RANKER_FEATURES)
     valid = lists.filter(F.col("split") == "valid").withColumnRenamed("is_match", "is_truth")
     fit = RK.fit_layered(data, RK.prepare_lists(valid, RANKER_FEATURES, data), (8, 4), seed=SEED, learning_rate=0.05, max_epochs=12, patience=5)
