@@ -14,7 +14,7 @@ import heapq
 import itertools
 import math
 import re
-from collections import defaultdict
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,11 +28,36 @@ from rankweave.llm.common import pack, unpack
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 4
 _SPACE = "▁"
-# Chunks one worker remembers, some 200 MB of them.
-_CACHED = 700_000
+# Chunks one worker remembers, and their characters: some 80 MB.
+_CACHED = 400_000
+_CACHED_CHARS = 8_000_000
+# Characters of the texts that are worked on at once; an Arrow batch is done in such runs, as its chunks take many times its bytes.
+_RUN_CHARS = 1 << 19
 _NONE = -math.inf
 
 
+class Solved:
+    """Chunks that were solved: a place each, and ids, scores and what the second best costs by place in flat arrays."""
+
+    def __init__(self):
+        self.place: dict[str, int] = {}
+        self.chars = 0
+        self.ids, self.ends = array("i"), array("q", [0])
+        self.score, self.cost = array("d"), array("d")
+
+    def add(self, chunk: str, ids: tuple[int, ...], score: float, cost: float) -> None:
+        self.place[chunk] = len(self.score)
+        self.chars += len(chunk)
+        self.ids.extend(ids)
+        self.ends.append(len(self.ids))
+        self.score.append(score)
+        self.cost.append(cost)
+
+    def __getitem__(self, chunk: str) -> tuple[tuple[int, ...], float, float]:
+        at = self.place[chunk]
+        return tuple(self.ids[self.ends[at]:self.ends[at + 1]]), self.score[at], self.cost[at]
+
+
 @dataclass
 class Vocabulary:
     """Surface text of pieces with (id, score), the same as a tree read backwards, byte ids and the score of a byte.
@@ -45,12 +70,12 @@ class Vocabulary:
     byte_score: float
     surface: dict[int, bytes]
     chunks: re.Pattern[str]
-    solved: dict[str, tuple[tuple[int, ...], float, float]] = field(default_factory=dict)
+    solved: Solved = field(default_factory=Solved)
     options: dict[tuple[str, int], list[tuple[float, tuple[int, ...]]]] = field(default_factory=dict)
     flat: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def __getstate__(self):
-        return {**self.__dict__, "solved": {}, "options": {}, "flat": None}
+        return {**self.__dict__, "solved": Solved(), "options": {}, "flat": None}
 
     def surfaces(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Bytes of all ids end to end, the length of each and where it begins; a last place stands for unknown ids."""
@@ -203,10 +228,12 @@ def split(v: Vocabulary, texts: list[str]) -> list[list[str]]:
     """Chunks of each text; all chunks are solved afterwards."""
     found = [v.chunks.findall(" " + text) if text else [] for text in texts]
     every = set().union(*found)
-    if len(v.solved) + len(every) > _CACHED:
-        v.solved.clear()
-    new = sorted(every.difference(v.solved))
-    v.solved.update(zip(new, solve(v, new)))
+    new = every.difference(v.solved.place)
+    if len(v.solved.place) + len(new) > _CACHED or v.solved.chars + sum(map(len, new)) > _CACHED_CHARS:
+        v.solved, new = Solved(), every
+    new = sorted(new)
+    for chunk, best in zip(new, solve(v, new)):
+        v.solved.add(chunk, *best)
     return found
 
 
@@ -255,31 +282,55 @@ class Encoded:
 
 
 def encode_batch(v: Vocabulary, texts: list[str], n: int = N_BEST) -> Encoded:
-    """As ``encode`` on every text, with the distinct chunks of the batch numbered and gathered in numpy."""
+    """As ``encode`` on every text, gathered in numpy from the flat arrays of solved chunks."""
     found = split(v, texts)
-    number: defaultdict[str, int] = defaultdict(itertools.count().__next__)
-    places = [np.fromiter(map(number.__getitem__, chunks), np.int64, len(chunks)) for chunks in found]
-    solved = [v.solved[c] for c in number]
-    score, cost = np.array([p[1] for p in solved]), np.array([p[2] for p in solved])
-    length = np.fromiter((len(p[0]) for p in solved), np.int64, len(solved))
-    flat = np.fromiter(itertools.chain.from_iterable(p[0] for p in solved), np.int32, int(length.sum()))
-    begin = np.cumsum(length) - length
+    # The arrays can't grow while these views are there.
+    own, place = v.solved, v.solved.place
+    score, cost, flat = np.frombuffer(own.score), np.frombuffer(own.cost), np.frombuffer(own.ids, np.int32)
+    begin, length = np.frombuffer(own.ends, np.int64)[:-1], np.diff(np.frombuffer(own.ends, np.int64))
     out, sizes, scores, digests = [np.zeros(0, np.int32)], [0], [], []
-    for chunks, at in zip(found, places):
+    for chunks in found:
+        at = np.fromiter(map(place.__getitem__, chunks), np.int64, len(chunks))
         own_length = length[at]
         ends = np.cumsum(own_length)
         size = int(ends[-1]) if len(at) else 0
-        own = flat[np.repeat(begin[at] - (ends - own_length), own_length) + np.arange(size)]
+        ids = flat[np.repeat(begin[at] - (ends - own_length), own_length) + np.arange(size)]
         total = math.fsum(score[at].tolist())
         ways = _choices(v, chunks.__getitem__, cost[at], n)
         starts = np.concatenate([[0], ends])
-        out.append(own)
+        out.append(ids)
         sizes.append(size)
         scores.append([total - extra for extra, _ in ways])
-        digests.append([_digest(own, picks, starts) for _, picks in ways])
+        digests.append([_digest(ids, picks, starts) for _, picks in ways])
     return Encoded(np.concatenate(out), np.cumsum(sizes), scores, digests)
 
 
+def runs(texts: list[str], chars: int = _RUN_CHARS) -> Iterator[list[str]]:
+    """The texts in order, in runs that end once they have so many characters."""
+    run, size = [], 0
+    for text in texts:
+        run.append(text)
+        size += len(text)
+        if size >= chars:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
+
+
+def encode_checked(v: Vocabulary, texts: list[str], n: int = N_BEST) -> tuple[Encoded, list[bool]]:
+    """``encode_batch`` run by run, and for each text whether its ids give it back."""
+    out, sizes, scores, digests, same = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)], [], [], []
+    for run in runs(texts):
+        made = encode_batch(v, run, n)
+        out.append(made.ids)
+        sizes.append(np.diff(made.starts))
+        scores += made.scores
+        digests += made.digests
+        same += [b == t.encode("utf-8", "surrogatepass") for t, b in zip(run, decode_batch(v, made.ids, made.starts))]
+    return Encoded(np.concatenate(out), np.cumsum(np.concatenate(sizes)), scores, digests), same
+
+
 def decode_batch(v: Vocabulary, ids: np.ndarray, starts: np.ndarray) -> list[bytes | None]:
     """The bytes of each text from its ids; None where an id has no text."""
     data, length, begin = v.surfaces()
@@ -319,17 +370,15 @@ def segment(docs: DataFrame, text_column: str = "text", model: str = DEFAULT_MOD
     def apply(texts: pa.Array) -> pa.Array:
         v = shared.value
         rows = texts.to_pylist()
-        made = encode_batch(v, [t or "" for t in rows], n)
+        made, same = encode_checked(v, [t or "" for t in rows], n)
         null = [t is None for t in rows]
-        back = decode_batch(v, made.ids, made.starts)
         mask = pa.array(null, pa.bool_())
         ids = pa.ListArray.from_arrays(pa.array(made.starts, pa.int32()), pa.array(made.ids), mask=mask)
         sizes = pa.array(np.diff(made.starts).astype(np.int32), mask=np.array(null, bool))
         blank = lambda values: [None if gone else x for gone, x in zip(null, values)]
-        same = [None if t is None else b == t.encode("utf-8", "surrogatepass") for t, b in zip(rows, back)]
         return pa.StructArray.from_arrays(
             [ids, sizes, pa.array(blank(made.scores), pa.list_(pa.float64())), pa.array(blank(made.digests), pa.list_(pa.string())),
-             pa.array(same, pa.bool_())], ["ids", "n_pieces", "nbest_scores", "nbest_digests", "round_trip"])
+             pa.array(blank(same), pa.bool_())], ["ids", "n_pieces", "nbest_scores", "nbest_digests", "round_trip"])
 
     names = ["ids", "n_pieces", "nbest_scores", "nbest_digests", "round_trip"]
     made = pack(docs).withColumn("made", apply.asNondeterministic()(F.col("row")[text_column]))

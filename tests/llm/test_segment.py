@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -132,3 +133,27 @@ def test_a_table_of_ids_is_decoded(odd, spark):
     rows = spark.createDataFrame([(1, None), (2, []), (3, [10**8]), (4, [-1])], "a INT, ids ARRAY<INT>")
     assert [r["text"] for r in segment.unsegment(rows).orderBy("a").collect()] == [None, "", None, None]
     assert segment.unsegment(coded.limit(0)).count() == 0
+
+
+def test_remembered_chunks_take_little_memory():
+    v = segment.load()
+    texts = [" ".join(f"{i:x}{k}q" for k in range(1_000)) for i in range(30)]
+    segment.split(v, texts[:1])
+    tracemalloc.start()
+    segment.encode_batch(v, texts)
+    kept, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert kept < 30_000 * 230
+
+
+def test_runs_and_forgetting_change_nothing(monkeypatch):
+    texts = ["", *[f"wort {i} Straße {i % 7}\n" * (i % 5) for i in range(60)], "", "x" * 500]
+    want = segment.encode_batch(segment.load(), texts)
+    v = segment.load()
+    monkeypatch.setattr(segment, "_CACHED", 20)
+    monkeypatch.setattr(segment, "_CACHED_CHARS", 90)
+    monkeypatch.setattr(segment.runs, "__defaults__", (50,))
+    made, same = segment.encode_checked(v, texts)
+    assert made.ids.tolist() == want.ids.tolist() and made.starts.tolist() == want.starts.tolist()
+    assert made.scores == want.scores and made.digests == want.digests and all(same) and len(same) == len(texts)
+    assert len(v.solved.place) < 20 and segment.encode_checked(v, [])[1] == []
