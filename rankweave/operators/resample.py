@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from rankweave.rng import absorb_array, mix, with_random
-from rankweave.scale import meet, midranked, ranked, with_row
+from rankweave.scale import ranked, running, with_row
 from rankweave.session import materialise
 
 BLOCK = 65_536
@@ -573,15 +573,19 @@ def wilcoxon_pratt(rows: DataFrame, value: str, by: Sequence[str] = (), exact_up
     if exact_up_to > EXACT_SIGNED_RANK:
         raise ValueError(f"the exact distribution goes up to {EXACT_SIGNED_RANK} differences")
     by = list(by)
-    placed = midranked(rows.select(*by, F.col(value).alias("_d")).filter("_d IS NOT NULL"), by, F.abs("_d"), "_rank")
-    d = F.col("_d")
-    ties = placed.filter(d != 0).groupBy(*by, "_rank").agg(F.count(F.lit(1)).alias("_t")).groupBy(*by).agg(
-        F.sum(F.col("_t").cast("double") * (F.col("_t").cast("double") * F.col("_t") - 1)).alias("_ties"))
-    sums = placed.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(d == 0).cast("double").alias("zeros"),
-        F.coalesce(F.sum(F.when(d > 0, F.col("_rank"))), F.lit(0.0)).alias("w_plus"),
-        F.coalesce(F.sum(F.when(d < 0, F.col("_rank"))), F.lit(0.0)).alias("w_minus"))
-    joined = meet(sums, ties, by, "left") if by else with_row(sums, ties)
+    d, t = F.col("_d"), F.col("_t").cast("double")
+    # Differences of one size share a rank, so rows are counted by size before any is ordered.
+    counts = rows.select(*by, F.col(value).alias("_d")).filter("_d IS NOT NULL").groupBy(*by, F.abs("_d").alias("_size")).agg(
+        F.count(F.lit(1)).alias("_t"), F.count_if(d > 0).alias("_plus"), F.count_if(d < 0).alias("_minus"), F.count_if(d == 0).alias("_zero"))
+    placed = running(counts, by, [F.col("_size")], {"_upto": ("sum", F.col("_t"))})
+    rank = F.col("_upto") - F.col("_t") + (F.col("_t") + 1) / F.lit(2.0)
+    joined = placed.groupBy(*by).agg(
+        F.sum("_t").alias("n"), F.sum("_zero").cast("double").alias("zeros"),
+        F.coalesce(F.sum(F.when(F.col("_plus") > 0, rank * F.col("_plus"))), F.lit(0.0)).alias("w_plus"),
+        F.coalesce(F.sum(F.when(F.col("_minus") > 0, rank * F.col("_minus"))), F.lit(0.0)).alias("w_minus"),
+        F.sum(F.when(F.col("_zero") == 0, t * (t * t - 1))).alias("_ties"))
+    if not by:
+        joined = joined.withColumn("n", F.coalesce("n", F.lit(0))).withColumn("zeros", F.coalesce("zeros", F.lit(0.0)))
     n, z, tied = F.col("n").cast("double"), F.col("zeros"), F.coalesce("_ties", F.lit(0.0))
     mean = (n * (n + 1) - z * (z + 1)) / 4
     variance = (n * (n + 1) * (2 * n + 1) - z * (z + 1) * (2 * z + 1) - 0.5 * tied) / 24

@@ -242,3 +242,17 @@ def test_permutation_counts_few_rows_per_draw(spark, monkeypatch):
     want = sums()
     monkeypatch.setattr(RS, "_BUCKET_BITS", 1)
     assert sums() == want and RS.PERMUTED_BLOCK > 2 ** 10
+
+
+def test_signed_ranks_are_of_counted_sizes(hot):
+    """Differences of few sizes are counted before they are ordered: one row per group and size, not one per difference."""
+    rows = hot.range(0, 4_000, 1, 4).select((F.col("id") % 2).alias("g"), (F.pmod(F.xxhash64("id"), F.lit(7)) - 3.0).alias("d"))
+    out = RS.wilcoxon_pratt(rows, "d", ["g"])
+    got = {r["g"]: r for r in out.collect()}
+    for g, part in rows.toPandas().groupby("g"):
+        rank = part["d"].abs().rank()
+        want = min(rank[part["d"] > 0].sum(), rank[part["d"] < 0].sum())
+        assert got[g]["n"] == len(part) and got[g]["statistic"] == want and not got[g]["exact"]
+    # With every group above the limit, what is written and ordered are the 2 x 4 sizes.
+    files = {name for name in out.inputFiles()}
+    assert files and hot.read.parquet(*files).count() <= 2 * 4
