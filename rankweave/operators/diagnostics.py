@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rankweave.operators.features import pair_count, pair_fold
-from rankweave.scale import midranked, quantiles, ranked, running, with_row
+from rankweave.scale import midranked, quantiles, ranked, running, settled, with_row
 
 QUERY, CAND = "query_id", "cand_key"
 QUARTILES = (0.25, 0.5, 0.75)
@@ -89,6 +89,8 @@ def gap_groups(lists: DataFrame, value: str = "prior") -> DataFrame:
     """
     gaps = lists.filter(F.col("rank") <= 2).groupBy(QUERY).agg(
         (F.max(F.when(F.col("rank") == 1, F.col(value))) - F.max(F.when(F.col("rank") == 2, F.col(value)))).alias("gap"))
+    # The cuts and the groups read the same gaps.
+    gaps, _ = settled(gaps)
     cuts = quantiles(gaps, [], "gap", QUARTILES, "_cuts")
     joined = with_row(gaps, cuts)
     group = F.when(F.col("gap").isNull(), -1)

@@ -171,6 +171,8 @@ weights_sql("w_42", 42, DRAWS)
 
 
 def gap_effects(t: Tables) -> DataFrame:
+    # Answers, lists for the ranks and lists for the gaps all read the lines by order.
+    V.share(t)
     groups = D.gap_groups(V.lists(t, "historical")).filter(F.col("gap_group") >= 0).select("query_id", "gap_group")
     return renamed_effects(t).join(groups, "query_id")
 

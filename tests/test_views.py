@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import pytest
+from rankweave.operators.diagnostics import gap_groups
 from rankweave.plans import views as V
+from rankweave.plans.inference import gap_effects
 from rankweave.plans.registry import Tables
 
 DATA = "/root/testdata/sf0.001"
@@ -17,3 +19,17 @@ def test_pools_of_one_query_are_worked_out_once(spark, make):
     assert {"lines", "orders", "queries", "pool_alpha", "pool_beta"} <= set(t.shared)
     assert "lineitem.parquet" not in plan
     assert V.short(t)
+
+
+def test_gap_effects_work_lines_out_once(spark):
+    spark.conf.set("spark.rankweave.smallInputBytes", "0")
+    try:
+        t = Tables(spark, DATA)
+        made = gap_effects(t)
+        gaps = gap_groups(V.lists(t, "historical"))
+    finally:
+        spark.conf.unset("spark.rankweave.smallInputBytes")
+    lines = set(t.shared.get("lines", t.lineitem).inputFiles())
+    # Ranks and gaps read lines laid together; the groups read the gaps where they were written, as do the quartile cuts.
+    assert {"lines", "orders"} <= set(t.shared) and not set(made.inputFiles()) & set(t.lineitem.inputFiles())
+    assert gaps.inputFiles() and not set(gaps.inputFiles()) & lines
