@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from rankweave import scale
 from rankweave.functions import tables
 from rankweave.operators import simjoin as S
+from rankweave.plans import queries
 from rankweave.sources import commit
 
 
@@ -116,3 +117,22 @@ def test_table_function(spark):
     assert got[2, "d"] == (0.0, 0.0, None, None) and got[3, "e"] == (0.0, None, 1.0, None)
     with pytest.raises(Exception, match="lacks"):
         spark.sql("SELECT * FROM list_features(TABLE(SELECT 1 AS query_id))")
+
+
+def test_packed_table_function_takes_batches_of_lists(spark):
+    rows = [(1, "b", 2, 1.0), (1, "a", 1, 3.0), (2, "c", 1, 0.0), (2, "d", 2, None), (3, "e", 1, 2.0), (None, "f", 1, 2.0), (None, "g", 2, 1.0)]
+    lists = spark.createDataFrame(rows, "query_id INT, cand_key STRING, rank INT, prior DOUBLE")
+    lists.createOrReplaceTempView("lists_of_test")
+    tables.packed(lists).createOrReplaceTempView("packed_of_test")
+    tables.register(spark)
+    tables.register_packed(spark, lists)
+    want = spark.sql("SELECT * FROM list_features(TABLE(lists_of_test))")
+    got = spark.sql("SELECT * FROM packed_list_features(TABLE(packed_of_test))")
+    assert got.schema == want.schema and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    tables.packed(lists.limit(0)).createOrReplaceTempView("packed_of_test")
+    assert spark.sql("SELECT * FROM packed_list_features(TABLE(packed_of_test))").count() == 0
+
+
+def test_x03_works_on_arrow_batches(spark):
+    plan = queries()["x03_table_function"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPythonUDTF" in plan and "BatchEvalPythonUDTF" not in plan
