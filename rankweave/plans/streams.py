@@ -43,7 +43,7 @@ def st1_status(t: Tables):
 @query("st2_running_winners", """
 SELECT query_id, CASE WHEN cand_key % 23 <> 0 THEN cand_key END AS cand_key, max(CASE WHEN cand_key % 29 = 0 THEN -prior ELSE prior END) AS prior, min(line_no) AS first_seen, count(*) AS copies FROM raw_beta GROUP BY 1, 2""")
 def st2(t: Tables):
-    """Stateful winners per key, kept in a table by batch version."""
+    """Running winners per key, whose state is a table by batch version."""
     work = shared_dir(t.spark)
     I.run_winners(t.spark, chunk_files(t), f"{work}/winners", f"{work}/checkpoint", SCHEMA)
     return I.latest_winners(t.spark, f"{work}/winners")

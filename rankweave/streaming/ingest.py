@@ -46,10 +46,10 @@ def status_counts(spark: SparkSession, target: str, schema: str) -> DataFrame:
     return lines.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def running_winners(stream: DataFrame) -> DataFrame:
-    """Best line so far per (query, candidate), with the first position and a count."""
+def running_winners(lines: DataFrame) -> DataFrame:
+    """Best line per (query, candidate), with the first position and a count."""
     best = F.max(F.struct("prior", (-F.col("line_no")).alias("_neg")))
-    return stream.groupBy("query_id", "cand_key").agg(
+    return lines.groupBy("query_id", "cand_key").agg(
         best.alias("_b"), F.min("line_no").alias("first_seen"), F.count(F.lit(1)).alias("copies")
     ).select("query_id", "cand_key", F.col("_b.prior").alias("prior"), "first_seen", "copies")
 
@@ -64,6 +64,12 @@ def _folders(spark: SparkSession, target: str, prefix: str) -> list[int]:
     return sorted(int(n.removeprefix(f"{prefix}=")) for n in names if n.startswith(f"{prefix}=") and n.removeprefix(f"{prefix}=").isdigit())
 
 
+def _bytes(spark: SparkSession, folders: list[str]) -> int:
+    """Size of all files below the folders."""
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(folder) for folder in folders]
+    return sum(path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength() for path in paths)
+
+
 def _remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -88,26 +94,27 @@ def compact_winners(spark: SparkSession, target: str) -> None:
 
 def run_winners(spark: SparkSession, source: str, target: str, checkpoint: str, schema: str, files_per_batch: int = 4,
                 compact_every: int = 8) -> None:
-    """Keep a table of running winners up to date: changes by batch, merged every ``compact_every`` batches.
+    """Keep a table of running winners up to date: the winners of each batch, merged once ``compact_every`` batches or
+    more are as large as what was merged before.
 
-    Update mode emits only the keys of a batch; each batch is written under its number, so a repeated batch
-    overwrites itself and readers take the newest row of a key.  Storage stays within one row per key and the
-    changes of ``compact_every`` batches.
+    The table is the state: best prior, first position and count of two sets of lines are worked out from those of
+    each, so no executor holds keys between batches.  Each batch is written under its number, so a repeated batch
+    overwrites itself, and readers put the rows of a key together.  Storage stays within two rows per key and the
+    winners of ``compact_every`` batches, and all merges together write a fixed multiple of what the batches wrote.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def save(batch: DataFrame, number: int) -> None:
-        session = batch.sparkSession
-        if number in _folders(session, target, "base"):
+        bases = _folders(spark, target, "base")
+        if number in bases:
             return  # a batch that was merged before its commit was recorded
-        batch.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/version={number}")
-        if len(_folders(session, target, "version")) >= compact_every:
-            compact_winners(session, target)
+        running_winners(batch).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{target}/version={number}")
+        versions = _folders(spark, target, "version")
+        if len(versions) >= compact_every and _bytes(spark, [f"{target}/version={n}" for n in versions]) >= _bytes(
+                spark, [f"{target}/base={n}" for n in bases]):
+            compact_winners(spark, target)
 
-    query = (
-        running_winners(stream).writeStream.outputMode("update").foreachBatch(save)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    query = stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -115,10 +122,10 @@ _WINNERS = "query_id LONG, cand_key LONG, prior DOUBLE, first_seen LONG, copies
 
 
 def latest_winners(spark: SparkSession, target: str, numbered: bool = False) -> DataFrame:
-    """Newest row of every key, from the newest base and the changes after it; ``numbered`` keeps the batch."""
+    """Winners of every key over the newest base and the batches after it; ``numbered`` keeps the last batch of the key."""
     base = _folders(spark, target, "base")[-1:]
     paths = [f"{target}/base={n}" for n in base] + [f"{target}/version={n}" for n in _folders(spark, target, "version") if not base or n > base[0]]
     rows = spark.read.schema(_WINNERS).parquet(*paths) if paths else spark.createDataFrame([], _WINNERS)
-    newest = F.max(F.struct("batch", "prior", "first_seen", "copies")).alias("s")
-    return rows.groupBy("query_id", "cand_key").agg(newest).select(
-        "query_id", "cand_key", "s.prior", "s.first_seen", "s.copies", *(["s.batch"] if numbered else []))
+    return rows.groupBy("query_id", "cand_key").agg(
+        F.max("prior").alias("prior"), F.min("first_seen").alias("first_seen"), F.sum("copies").alias("copies"),
+        *([F.max("batch").alias("batch")] if numbered else []))

@@ -45,6 +45,21 @@ def test_restart_in_mid_stream_and_bounded_storage(spark, tmp_path):
     assert stored <= keys * 3
 
 
+def test_the_table_is_the_state(spark, tmp_path, monkeypatch):
+    """No executor keeps keys between batches, and merges come at doubled sizes, not at every second batch."""
+    source, target, checkpoint = (f"{tmp_path}/{n}" for n in ("source", "winners", "checkpoint"))
+    rows = spark.range(16_000).selectExpr("id AS query_id", "nullif(id % 7, 0) AS cand_key", "cast(nullif(id % 5, 0) AS double) AS prior", "id AS line_no")
+    rows = rows.unionAll(rows.selectExpr("query_id", "cand_key", "-prior", "line_no - 1"))
+    rows.repartitionByRange(16, "line_no").write.parquet(source)
+    merged, compact = [], I.compact_winners
+    monkeypatch.setattr(I, "compact_winners", lambda *a: (merged.append(a), compact(*a)))
+    I.run_winners(spark, source, target, checkpoint, SCHEMA, files_per_batch=1, compact_every=2)
+    assert not os.path.exists(f"{checkpoint}/state") and 2 <= len(merged) <= 5
+    want = rows.groupBy("query_id", "cand_key").agg(F.max("prior"), F.min("line_no"), F.count("*"))
+    assert sorted(map(str, I.latest_winners(spark, target).toPandas().itertuples(index=False, name=None))) == sorted(
+        map(str, want.toPandas().itertuples(index=False, name=None)))
+
+
 def test_a_batch_that_was_merged_is_not_counted_again(spark, tmp_path):
     target = f"{tmp_path}/winners"
     rows = spark.createDataFrame([(1, 2, 3.0, 4, 5, 0)], I._WINNERS)
