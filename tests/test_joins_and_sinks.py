@@ -1,6 +1,7 @@
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -67,6 +68,42 @@ def test_one_set_twice_under_one_key_is_one_class(spark):
     assert classes.count() == 2 and S.similar_sets(classes, 0.7).count() == 1
 
 
+def brute(sets, threshold):
+    return {(i, j): len(a & b) / len(a | b) for i, a in enumerate(sets) for j, b in enumerate(sets[:i], 0) if len(a & b) / len(a | b) >= threshold}
+
+
+def test_sets_travel_once_per_family(spark):
+    """A set is moved for its family, not for each of its pairs, and indexed as often whatever the number of sets."""
+    rng = random.Random(2)
+    sets = [[*range(1_000 * f, 1_000 * f + 20), *rng.sample(range(1_000 * f + 20, 1_000 * f + 40), 4)] for f in range(3) for _ in range(60)]
+    classes, _ = S.set_classes(spark.createDataFrame(list(enumerate(sets)), "id INT, tokens ARRAY<INT>"), "id", "tokens")
+    n = classes.count()
+    placed = S.cells(S.candidate_pairs(classes, 0.6)).toPandas()
+    assert len(placed) > 20 * n
+    moved = {(c, k) for side in ("left", "right") for c, k in zip(placed["cell"], placed[side])}
+    assert len(moved) <= 2 * n and S.index_entries(classes, 0.6, S.SHARES).count() <= 2 * S.SHARES * n
+
+
+def test_cut_classes_and_families_lose_no_pair(spark, monkeypatch):
+    for name, few in (("BLOCK_SETS", 25), ("CELL_RIGHT", 3), ("CELL_LEFT", 5), ("PAIRS_AT_ONCE", 16), ("TOKENS_AT_ONCE", 40), ("LOOKUPS", 30)):
+        monkeypatch.setattr(S, name, few)
+    sets = sorted({frozenset(s) for s in family(7, 60, 14, 60) if s}, key=sorted)
+    classes, _ = S.set_classes(spark.createDataFrame([(i, list(s)) for i, s in enumerate(sets)], "id INT, tokens ARRAY<INT>"), "id", "tokens")
+    want = {(j, i): x for (i, j), x in brute(sets, 0.5 - 1e-12).items()}
+    assert {(r["left"], r["right"]): r["similarity"] for r in S.similar_sets(classes, 0.5).collect()} == pytest.approx(want)
+    # The pieces that workers use, here with little at once.
+    entries = S.index_entries(classes, 0.5, 2).toPandas()
+    assert entries["block"].max() > 0
+    met = set()
+    for _, part in entries.groupby(["grp", "share", "block"]):
+        met |= set(S._meet(pa.Table.from_pandas(part, preserve_index=False), 0.5).to_pandas().itertuples(index=False, name=None))
+    assert set(want) <= met
+    pairs = pa.table({"left": [a for a, _ in sorted(met)], "right": [b for _, b in sorted(met)]})
+    whole = pa.table({"class": list(range(len(sets))), "items": [sorted(s) for s in sets]})
+    found = S._verify(pairs, whole, 0.5).to_pandas()
+    assert dict(zip(zip(found["left"], found["right"]), found["similarity"])) == pytest.approx(want)
+
+
 @pytest.mark.parametrize("values", ["normal", "ties", "few"])
 def test_quantiles_of_huge_groups(spark, hot, values):
     rng = random.Random(3)
