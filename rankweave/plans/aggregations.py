@@ -285,10 +285,12 @@ def g16(t: Tables):
 
 def descriptors(t: Tables, names: tuple[str, ...] = V.POOLS) -> DataFrame:
     """List descriptors per (pool, query) against the historical lists, for covered queries."""
-    truth, reference, out = V.queries(t), V.lists(t, "historical"), None
+    if len(names) > 2:
+        V.share(t, V.again(names))
+    truth, reference, out = V.queries(t), V.kept_lists(t, "historical"), None
     for name in names:
         part = D.list_descriptors(
-            V.lists(t, name), reference, truth, lambda a, b: 1 - F.abs(a - b) * 10, lambda a, b: F.abs(a - b), "feat")
+            reference if name == "historical" else V.lists(t, name), reference, truth, lambda a, b: 1 - F.abs(a - b) * 10, lambda a, b: F.abs(a - b), "feat")
         part = part.withColumn("pool", F.lit(name))
         out = part if out is None else out.unionByName(part)
     return out

@@ -130,6 +130,15 @@ def all_lists(t: Tables, names: tuple[str, ...] = POOLS) -> DataFrame:
     return out
 
 
+def kept_lists(t: Tables, name: str) -> DataFrame:
+    """Capped lists for several uses: written once, together by query, where ``share`` laid the tables together."""
+    if not short(t):
+        return lists(t, name)
+    if f"lists_{name}" not in t.shared:
+        t.shared[f"lists_{name}"] = materialise_by(lists(t, name), "query_id")
+    return t.shared[f"lists_{name}"]
+
+
 def scored_lists(t: Tables, name: str, seeds: tuple[int, ...] = SEEDS) -> DataFrame:
     """Lists with one score column per arm and seed, e.g. ``baseline_42``."""
     df = lists(t, name).withColumn("norm", normalised_rank(F.col("rank"), F.col("n")))

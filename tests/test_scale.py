@@ -151,3 +151,15 @@ def test_rows_are_worked_out_once(hot):
         before = seen.value
         assert len(make().collect()) in (30, 300)
         assert seen.value - before == 300
+
+
+def test_columns_turned_into_rows_are_not_written_again(hot, tmp_path):
+    """A table read as several rows per row is read again by every pass; writing those rows would take several times its size."""
+    path = f"{tmp_path}/wide"
+    hot.range(300).selectExpr("id", "id * 0.5 AS a", "cast(id % 7 AS double) AS b", "IF(id % 3 = 0, NULL, -id * 1.0D) AS c").selectExpr(
+        "id", "cast(a AS double) AS a", "b", "c").write.parquet(path)
+    rows = hot.read.parquet(path).unpivot(["id"], ["a", "b", "c"], "feature", "value")
+    assert scale.settled(rows)[1] is False
+    got = {r["feature"]: r["q"] for r in scale.quantiles(rows, ["feature"], "value", [0.25, 0.5], "q").collect()}
+    frame = hot.read.parquet(path).toPandas()
+    assert got == {c: pytest.approx(frame[c].dropna().quantile([0.25, 0.5]).tolist()) for c in ("a", "b", "c")}

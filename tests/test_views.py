@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from rankweave.operators.diagnostics import gap_groups
 from rankweave.plans import views as V
+from rankweave.plans.aggregations import descriptors
 from rankweave.plans.inference import gap_effects
 from rankweave.plans.registry import Tables
 
@@ -21,6 +22,15 @@ def test_pools_of_one_query_are_worked_out_once(spark, make):
     assert V.short(t)
 
 
+def test_descriptors_of_all_pools_work_lines_out_once(spark):
+    t = Tables(spark, DATA)
+    wide = descriptors(t)
+    assert {"lines", "orders", "queries", "pool_alpha", "pool_beta", "lists_historical"} <= set(t.shared)
+    assert not set(wide.inputFiles()) & set(t.lineitem.inputFiles())
+    # Only the merged pool's rows, which a full outer join makes, are dealt by query again, for its lists and their entropy.
+    assert wide._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") <= 4
+
+
 def test_gap_effects_work_lines_out_once(spark):
     spark.conf.set("spark.rankweave.smallInputBytes", "0")
     try:
